@@ -67,8 +67,11 @@ def not_sentinel(c, sentinel: str = "#") -> Column:
 
 
 def round2(c, digits: int = 2) -> Column:
-    """S11."""
-    return F.round(_col(c), digits)
+    """Round half away from zero on the scaled binary value, i.e.
+    ``round(x * 10^d) / 10^d`` - the same arithmetic DuckDB's ``round(x, d)``
+    performs, so both engines agree on every tie."""
+    scale = float(10 ** digits)
+    return F.round(_col(c) * scale, 0) / scale
 
 
 def null_if_nan(c) -> Column:

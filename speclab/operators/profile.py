@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from speclab.functions.scalar import coerce_numeric
+from speclab.functions.scalar import coerce_numeric, round2
 from speclab.operators.quantiles import mode_from_counts, quantiles_wide, value_counts_by
 
 FLOATS = (T.DoubleType, T.FloatType)
@@ -88,7 +88,7 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     aggregates; a column with every row on one value collapses map-side.
     """
     cols = list(columns or df.columns)
-    pairs = _as_text_long(df, cols).where(F.col("value").isNotNull()).groupBy("column_name", "value").agg()
+    pairs = _as_text_long(df, cols).where(F.col("value").isNotNull()).dropDuplicates(["column_name", "value"])
     counts = pairs.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
     names = _names_frame(df.sparkSession, cols, "column_name")
     return (names.join(counts, "column_name", "left")
@@ -98,7 +98,7 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 def constant_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """D3: columns with exactly one distinct non-null value, and that value (as text)."""
     cols = list(columns or df.columns)
-    pairs = _as_text_long(df, cols).where(F.col("value").isNotNull()).groupBy("column_name", "value").agg()
+    pairs = _as_text_long(df, cols).where(F.col("value").isNotNull()).dropDuplicates(["column_name", "value"])
     return (pairs.groupBy("column_name")
                  .agg(F.count(F.lit(1)).alias("n_distinct"), F.min("value").alias("value"))
                  .where(F.col("n_distinct") == 1)
@@ -126,13 +126,13 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 def share_of_total(counts: DataFrame, n: str = "n", digits: int = 1, name: str = "pct_total") -> DataFrame:
     """N / total * 100 over an aggregated frame (total via scalar subquery)."""
-    return counts.withColumn(name, F.round(F.col(n) * 100.0 / _total(counts, n), digits))
+    return counts.withColumn(name, round2(F.col(n) * 100.0 / _total(counts, n), digits))
 
 
 def share_within_group(counts: DataFrame, group: str, n: str = "n", digits: int = 2,
                        name: str = "pct_within") -> DataFrame:
     """N / sum(n) over its group * 100, window over the aggregated frame."""
-    return counts.withColumn(name, F.round(F.col(n) * 100.0 / F.sum(n).over(Window.partitionBy(group)), digits))
+    return counts.withColumn(name, round2(F.col(n) * 100.0 / F.sum(n).over(Window.partitionBy(group)), digits))
 
 
 def class_distribution(df: DataFrame, label: str = "label") -> DataFrame:
@@ -227,7 +227,7 @@ def numeric_statistics(df: DataFrame, variables: Sequence[str], digits: int | No
     mode = mode_from_counts(vc, ["variable"], "value")
     names = _names_frame(df.sparkSession, variables)
     out = (names.join(mom, "variable", "left").join(med, "variable", "left").join(mode, "variable", "left"))
-    r = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
+    r = (lambda c: round2(c, digits)) if digits is not None else (lambda c: c)
     return out.select(
         "variable",
         F.coalesce("unique_count", F.lit(0)).cast("long").alias("unique_count"),
@@ -246,7 +246,7 @@ def grouped_statistics(df: DataFrame, id_var: str, variables: Sequence[str], dig
         (F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")).alias("mean_value"))
     med = quantiles_wide(long, keys, "value", {"median_value": 0.5}, vc=vc)
     out = stats.join(med, keys)
-    r = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
+    r = (lambda c: round2(c, digits)) if digits is not None else (lambda c: c)
     return out.select(*keys, *[r(F.col(c)).alias(c) for c in
                                ("min_value", "max_value", "mean_value", "median_value")])
 
@@ -271,7 +271,7 @@ def boxplot_summary(df: DataFrame, id_var: str, variables: Sequence[str], whiske
                     F.max(F.when(inside, v)).alias("whisker_high"),
                     F.sum(F.when(~inside, F.col("cnt")).otherwise(0)).alias("n_outliers")))
     out = q.join(tails, keys)
-    r = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
+    r = (lambda c: round2(c, digits)) if digits is not None else (lambda c: c)
     return out.select(*keys, F.col("n").cast("long").alias("n"),
                       *[r(F.col(c)).alias(c) for c in ("q1", "median", "q3", "iqr", "lower_fence",
                                                         "upper_fence", "whisker_low", "whisker_high")],

@@ -48,8 +48,8 @@ def value_counts_by(df: DataFrame, keys: Sequence[str], value: str, count_col: s
               .agg(F.count(F.lit(1)).alias(count_col)))
 
 
-def _bucket_offsets(vc: DataFrame, keys: list[str], value: str) -> DataFrame:
-    bt = (vc.withColumn("_b", value_bucket(F.col(value)))
+def _bucket_offsets(vc: DataFrame, keys: list[str], value: str, bucket_fn=value_bucket) -> DataFrame:
+    bt = (vc.withColumn("_b", bucket_fn(F.col(value)))
             .groupBy(*keys, "_b").agg(F.sum("cnt").alias("_bcnt")))
     w = Window.partitionBy(*keys).orderBy("_b")
     return bt.select(*keys, "_b", "_bcnt",
@@ -58,15 +58,17 @@ def _bucket_offsets(vc: DataFrame, keys: list[str], value: str) -> DataFrame:
                      F.sum("_bcnt").over(Window.partitionBy(*keys)).alias("n"))
 
 
-def rows_at_ranks(vc: DataFrame, keys: Sequence[str], value: str, ranks: DataFrame) -> DataFrame:
+def rows_at_ranks(vc: DataFrame, keys: Sequence[str], value: str, ranks: DataFrame,
+                  bucket_fn=value_bucket) -> DataFrame:
     """For a table ``ranks(keys..., rank)`` of 0-based ranks, return
-    ``(keys..., rank, value)``: the value at that rank in sorted order."""
+    ``(keys..., rank, value)``: the value at that rank in sorted order.
+    ``vc`` holds (keys, value, cnt); raw rows work with cnt = 1."""
     keys = list(keys)
-    offs = _bucket_offsets(vc, keys, value)
+    offs = _bucket_offsets(vc, keys, value, bucket_fn)
     inb = (F.col("_boff") <= F.col("rank")) & (F.col("rank") < F.col("_boff") + F.col("_bcnt"))
     tb = ranks.join(offs, keys).where(inb).select(*keys, "rank", "_b", "_boff")
     open_b = tb.select(*keys, "_b", "_boff").distinct()
-    cand = vc.withColumn("_b", value_bucket(F.col(value))).join(open_b, keys + ["_b"])
+    cand = vc.withColumn("_b", bucket_fn(F.col(value))).join(open_b, keys + ["_b"])
     w = Window.partitionBy(*keys, "_b").orderBy(value)
     ranked = cand.withColumn(
         "_r0", F.col("_boff") + F.coalesce(F.sum("cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)),
@@ -76,6 +78,19 @@ def rows_at_ranks(vc: DataFrame, keys: Sequence[str], value: str, ranks: DataFra
                   .select(*keys, "rank", value))
 
 
+def rank_of(df: DataFrame, keys: Sequence[str], value: str, bucket_fn=value_bucket) -> DataFrame:
+    """Every row plus ``_rank``: its 0-based position by ``value`` inside its key
+    (ties broken arbitrarily but consistently). One shuffle, by (key, bucket)."""
+    keys = list(keys)
+    counted = df.withColumn("cnt", F.lit(1).cast("long")) if "cnt" not in df.columns else df
+    offs = _bucket_offsets(counted.select(*keys, value, "cnt"), keys, value, bucket_fn) \
+        .select(*keys, "_b", "_boff")
+    w = Window.partitionBy(*keys, "_b").orderBy(value)
+    return (df.withColumn("_b", bucket_fn(F.col(value))).join(offs, keys + ["_b"])
+              .withColumn("_rank", F.col("_boff") + F.row_number().over(w) - 1)
+              .drop("_b", "_boff"))
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
                     vc: DataFrame | None = None) -> DataFrame:
     """(keys, prob, quantile) with linear interpolation; exact, distributed."""
