@@ -708,3 +708,195 @@ FROM (SELECT *, coalesce(2 * p1 * r1 / nullif(p1 + r1, 0), 0.0) AS f1_1,
 def _h15(spark, sf):
     return r6(H.evaluate_model(scored(spark, sf)),
               ["accuracy", "precision", "recall", "f1", "macro_f1", "auc_hard"])
+
+# ------------------------------------------------------------------ C2 / G3: SMOTE
+
+KNN_VARS = ["heat_temp", "feed_flow", "discount", "size"]
+
+
+def _knn_sql():
+    d2 = " + ".join(f"(a.{f} - b.{f}) * (a.{f} - b.{f})" for f in KNN_VARS)
+    return O.with_lab("t5", f"""SELECT row_id, nn_rank, nn_row_id, round(sqrt(d2), 6) AS distance FROM (
+  SELECT row_id, nn_row_id, d2, CAST(row_number() OVER (PARTITION BY row_id ORDER BY d2, nn_row_id) AS INTEGER) AS nn_rank
+  FROM (SELECT a.row_id, b.row_id AS nn_row_id, {d2} AS d2 FROM p a JOIN p b ON a.row_id <> b.row_id))
+WHERE nn_rank <= 5""", "p AS (SELECT row_id, " + ", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in KNN_VARS) +
+                      " FROM lab WHERE label = 1)")
+
+
+@q("nearest_minority_neighbours", _knn_sql())
+def _c2(spark, sf):
+    from speclab.operators.smote import nearest_neighbours
+    pts = lab(spark, sf, "t5").where("label = 1")
+    return r6(nearest_neighbours(pts, KNN_VARS), ["distance"])
+
+
+@q("smote_oversample", O.with_lab("t2", f"""SELECT split,
+  CAST(CASE WHEN split = 'val' THEN n_pos ELSE greatest(n_pos, n_neg) END AS BIGINT) AS n_pos,
+  CAST(CASE WHEN split = 'val' THEN n_neg ELSE greatest(n_pos, n_neg) END AS BIGINT) AS n_neg
+FROM (SELECT split, count(*) FILTER (WHERE label = 1) AS n_pos, count(*) FILTER (WHERE label = 0) AS n_neg
+      FROM (SELECT l.label, CASE WHEN rn > CAST(ceil(n * 0.3) AS BIGINT) THEN 'train'
+                 WHEN rn2 <= CAST(ceil(n2 * 0.5) AS BIGINT) THEN 'val' ELSE 'test' END AS split
+            FROM lab l JOIN h USING (row_id) LEFT JOIN (
+              SELECT row_id, row_number() OVER (ORDER BY md5(row_id || '|42|b')) AS rn2, count(*) OVER () AS n2
+              FROM h WHERE rn <= CAST(ceil(n * 0.3) AS BIGINT)) t USING (row_id)) GROUP BY split)""",
+                                     """h AS (SELECT row_id, row_number() OVER (ORDER BY md5(row_id || '|42')) AS rn,
+                count(*) OVER () AS n FROM lab)"""))
+def _g3(spark, sf):
+    from speclab.operators.smote import smote_oversample
+    d = G.split_70_15_15(lab(spark, sf, "t2").select("row_id", *KNN_VARS, "label"))
+    return D.label_balance(smote_oversample(d, KNN_VARS, "label", splits=("train", "test")))
+
+# ------------------------------------------------------------------ H1-H5, H11-H14, H16, A7, A8: models (rows-only)
+
+MODEL_VARS = ["feed_flow", "heat_temp", "heat_temp_2", "discount", "size", "unit_cost"]
+_MEMO: dict = {}
+
+
+def _model_data(spark, sf):
+    key = ("data", sf)
+    if key not in _MEMO:
+        d = G.split_70_15_15(lab(spark, sf, "t2").select("row_id", *MODEL_VARS, "label"))
+        from speclab.session import cut_lineage
+        _MEMO[key] = cut_lineage(d)
+    return _MEMO[key]
+
+
+def _model(spark, sf, depth):
+    key = ("tree", sf, depth)
+    if key not in _MEMO:
+        d = _model_data(spark, sf)
+        _MEMO[key] = ML.fit_tree(d.where("split = 'train'"), MODEL_VARS, "label", depth)
+    return _MEMO[key]
+
+
+def _grid(spark, sf):
+    key = ("grid", sf)
+    if key not in _MEMO:
+        train = _model_data(spark, sf).where("split = 'train'")
+        _MEMO[key] = ML.grid_search(G.stratified_folds(train), MODEL_VARS, "label")
+    return _MEMO[key]
+
+
+def _test(spark, sf):
+    return _model_data(spark, sf).where("split = 'test'")
+
+
+@q("tree_default")
+def _h1(spark, sf):
+    return ML.predict_labels(_model(spark, sf, None), _test(spark, sf))
+
+
+@q("tree_depth_limited")
+def _h2(spark, sf):
+    return ML.predict_labels(_model(spark, sf, TARGETS["t2"].max_depth), _test(spark, sf))
+
+
+@q("tree_shape")
+def _h3(spark, sf):
+    return ML.tree_shape(spark, _model(spark, sf, TARGETS["t2"].max_depth))
+
+
+@q("predict_labels")
+def _h4(spark, sf):
+    return ML.predict_labels(_model(spark, sf, TARGETS["t2"].max_depth), _test(spark, sf)).drop("probability")
+
+
+@q("predict_probability")
+def _h5(spark, sf):
+    return ML.predict_labels(_model(spark, sf, TARGETS["t2"].max_depth), _test(spark, sf)) \
+        .select("row_id", "probability")
+
+
+@q("cross_validation_scores")
+def _h11(spark, sf):
+    train = _model_data(spark, sf).where("split = 'train'")
+    return ML.cross_validation_scores(G.stratified_folds(train), MODEL_VARS, "label",
+                                      max_depth=TARGETS["t2"].max_depth)
+
+
+@q("grid_search")
+def _h12(spark, sf):
+    cvm, grid = _grid(spark, sf)
+    return ML.grid_scores(spark, cvm, grid)
+
+
+@q("best_params")
+def _h13(spark, sf):
+    return ML.best_params(spark, _grid(spark, sf)[0])
+
+
+@q("tree_rules")
+def _h14(spark, sf):
+    return ML.tree_rules(spark, _model(spark, sf, TARGETS["t2"].max_depth), MODEL_VARS)
+
+
+@q("feature_importance_ranked")
+def _f2(spark, sf):
+    return ML.feature_importance_ranked(spark, _model(spark, sf, TARGETS["t2"].max_depth), MODEL_VARS)
+
+
+@q("save_model")
+def _a7(spark, sf):
+    path = A.save_model(_model(spark, sf, TARGETS["t2"].max_depth), scratch_path(spark, "model"))
+    _MEMO[("saved", sf)] = path
+    return spark.createDataFrame([(path,)], "path string")
+
+
+@q("load_model")
+def _a8(spark, sf):
+    path = _MEMO.get(("saved", sf)) or A.save_model(_model(spark, sf, TARGETS["t2"].max_depth),
+                                                     scratch_path(spark, "model"))
+    return ML.predict_labels(A.load_model(path), _test(spark, sf))
+
+
+@q("validate_model")
+def _h16(spark, sf):
+    m = A.load_model(A.save_model(_model(spark, sf, TARGETS["t2"].max_depth), scratch_path(spark, "model")))
+    val = _model_data(spark, sf).where("split = 'val'")
+    return r6(H.classification_report(ML.predict_labels(m, val)), ["precision", "recall", "f1"])
+
+# ------------------------------------------------------------------ P: pipelines
+
+
+def _prep(spark, sf, t):
+    key = ("prep", sf, t)
+    if key not in _MEMO:
+        _MEMO[key] = preprocess(spark, sf, TARGETS[t])
+    return _MEMO[key]
+
+
+def _reg_pre(t):
+    @q(f"preprocess_{t}")
+    def _p(spark, sf):
+        return _prep(spark, sf, t).df.select("row_id", "label", "split")
+    return _p
+
+
+for _t in ("t1", "t2", "t3", "t4", "t5", "t6"):
+    _reg_pre(_t)
+
+T1_VARS = ["order_no", "batch_source", "method", "swirl", "feed_flow", "heat_temp", "discount", "tax_text",
+           "size", "unit_cost"]
+
+
+@q("descriptive_report", O.numeric_statistics_sql((O.LAB_CTES["t1"],), "lab", T1_VARS,
+                                                  O.with_readings))
+def _p7(spark, sf):
+    from speclab.plans.pipelines import descriptive_report
+    return descriptive_report(lab(spark, sf, "t1"), T1_VARS)["numeric_statistics"]
+
+
+@q("train_report")
+def _p8(spark, sf):
+    from speclab.plans.pipelines import train_report
+    rep = train_report(_prep(spark, sf, "t2"), grid=False)
+    _MEMO[("train_report", sf)] = rep
+    return rep["evaluation"]
+
+
+@q("validation_report")
+def _p9(spark, sf):
+    from speclab.plans.pipelines import train_report, validation_report
+    rep = _MEMO.get(("train_report", sf)) or train_report(_prep(spark, sf, "t2"), grid=False)
+    return r6(validation_report(rep["best_model"], _prep(spark, sf, "t2"))["classification_report"],
+              ["precision", "recall", "f1"])
