@@ -56,8 +56,13 @@ def dropna_subset(df: DataFrame, subset: Sequence[str]) -> DataFrame:
 
 
 def dropna_any(df: DataFrame) -> DataFrame:
-    """Drop rows with any NULL / NaN."""
-    return df.na.drop(how="any")
+    """Drop rows with any NULL / NaN.
+
+    Only columns the schema marks nullable can hold NULL, so only those are
+    tested (same result); a derived non-null column such as the md5 row key is
+    then not computed just for the test, and column pruning still applies."""
+    nullable = [f.name for f in df.schema.fields if f.nullable or isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    return df.na.drop(how="any", subset=nullable) if nullable else df
 
 
 def unmapped_rows(df: DataFrame, code_col: str) -> DataFrame:

@@ -753,7 +753,7 @@ _MEMO: dict = {}
 
 
 def _model_data(spark, sf):
-    key = ("data", sf)
+    key = ("data", id(spark), sf)
     if key not in _MEMO:
         d = G.split_70_15_15(lab(spark, sf, "t2").select("row_id", *MODEL_VARS, "label"))
         from speclab.session import cut_lineage
@@ -762,7 +762,7 @@ def _model_data(spark, sf):
 
 
 def _model(spark, sf, depth):
-    key = ("tree", sf, depth)
+    key = ("tree", id(spark), sf, depth)
     if key not in _MEMO:
         d = _model_data(spark, sf)
         _MEMO[key] = ML.fit_tree(d.where("split = 'train'"), MODEL_VARS, "label", depth)
@@ -770,7 +770,7 @@ def _model(spark, sf, depth):
 
 
 def _grid(spark, sf):
-    key = ("grid", sf)
+    key = ("grid", id(spark), sf)
     if key not in _MEMO:
         train = _model_data(spark, sf).where("split = 'train'")
         _MEMO[key] = ML.grid_search(G.stratified_folds(train), MODEL_VARS, "label")
@@ -838,13 +838,13 @@ def _f2(spark, sf):
 @q("save_model")
 def _a7(spark, sf):
     path = A.save_model(_model(spark, sf, TARGETS["t2"].max_depth), scratch_path(spark, "model"))
-    _MEMO[("saved", sf)] = path
+    _MEMO[("saved", id(spark), sf)] = path
     return spark.createDataFrame([(path,)], "path string")
 
 
 @q("load_model")
 def _a8(spark, sf):
-    path = _MEMO.get(("saved", sf)) or A.save_model(_model(spark, sf, TARGETS["t2"].max_depth),
+    path = _MEMO.get(("saved", id(spark), sf)) or A.save_model(_model(spark, sf, TARGETS["t2"].max_depth),
                                                      scratch_path(spark, "model"))
     return ML.predict_labels(A.load_model(path), _test(spark, sf))
 
@@ -859,14 +859,23 @@ def _h16(spark, sf):
 
 
 def _prep(spark, sf, t):
-    key = ("prep", sf, t)
+    key = ("prep", id(spark), sf, t)
     if key not in _MEMO:
         _MEMO[key] = preprocess(spark, sf, TARGETS[t])
     return _MEMO[key]
 
 
+def _pre_sql(t):
+    """T1 / T4 (no SMOTE): rows left after coercion (swirl code and tax present),
+    label, and the exact-size 80 / 20 split over them."""
+    return O.with_lab(t, """SELECT row_id, CAST(label AS INTEGER) AS label,
+  CASE WHEN rn <= CAST(ceil(n * 0.2) AS BIGINT) THEN 'val' ELSE 'train' END AS split
+FROM (SELECT row_id, label, row_number() OVER (ORDER BY md5(row_id || '|42')) AS rn, count(*) OVER () AS n
+      FROM lab WHERE swirl IS NOT NULL AND TRY_CAST(tax_text AS DOUBLE) IS NOT NULL AND label IS NOT NULL)""")
+
+
 def _reg_pre(t):
-    @q(f"preprocess_{t}")
+    @q(f"preprocess_{t}", _pre_sql(t) if t in ("t1", "t4") else None)
     def _p(spark, sf):
         return _prep(spark, sf, t).df.select("row_id", "label", "split")
     return _p
@@ -890,13 +899,13 @@ def _p7(spark, sf):
 def _p8(spark, sf):
     from speclab.plans.pipelines import train_report
     rep = train_report(_prep(spark, sf, "t2"), grid=False)
-    _MEMO[("train_report", sf)] = rep
+    _MEMO[("train_report", id(spark), sf)] = rep
     return rep["evaluation"]
 
 
 @q("validation_report")
 def _p9(spark, sf):
     from speclab.plans.pipelines import train_report, validation_report
-    rep = _MEMO.get(("train_report", sf)) or train_report(_prep(spark, sf, "t2"), grid=False)
+    rep = _MEMO.get(("train_report", id(spark), sf)) or train_report(_prep(spark, sf, "t2"), grid=False)
     return r6(validation_report(rep["best_model"], _prep(spark, sf, "t2"))["classification_report"],
               ["precision", "recall", "f1"])

@@ -1,0 +1,6 @@
+"""No streaming operators.
+
+The reference has no streams, watermarks, windows over event time or stateful
+operators; its only hint is retraining "as new data becomes available", with no
+code. Batch jobs over new partitions (``scan_table`` + the pipelines) cover that.
+"""
