@@ -80,6 +80,24 @@ def _as_text_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return proj.unpivot([], list(cols), "column_name", "value")
 
 
+def _typed_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column_name, value) where value is a struct with one typed slot per
+    type family (double / long / text): one unpivot, no number-to-text
+    conversion, and equal values compare equal inside each column."""
+    def slot(c):
+        dt = df.schema[c].dataType
+        none_d, none_l, none_s = (F.lit(None).cast(t) for t in ("double", "long", "string"))
+        if isinstance(dt, FLOATS):
+            d, l, s_ = _nan_to_null(df, c).cast("double"), none_l, none_s
+        elif isinstance(dt, (T.IntegralType, T.BooleanType)):
+            d, l, s_ = none_d, F.col(c).cast("long"), none_s
+        else:
+            d, l, s_ = none_d, none_l, F.col(c).cast("string")
+        st = F.struct(d.alias("d"), l.alias("l"), s_.alias("s"))
+        return F.when(d.isNotNull() | l.isNotNull() | s_.isNotNull(), st).alias(c)
+    return df.select(*[slot(c) for c in cols]).unpivot([], list(cols), "column_name", "value")
+
+
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Non-null distinct count per column.
 
@@ -88,7 +106,7 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     aggregates; a column with every row on one value collapses map-side.
     """
     cols = list(columns or df.columns)
-    pairs = _as_text_long(df, cols).where(F.col("value").isNotNull()).dropDuplicates(["column_name", "value"])
+    pairs = _typed_long(df, cols).where(F.col("value").isNotNull()).dropDuplicates(["column_name", "value"])
     counts = pairs.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
     names = _names_frame(df.sparkSession, cols, "column_name")
     return (names.join(counts, "column_name", "left")
@@ -105,12 +123,31 @@ def constant_columns(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
                  .select("column_name", "value"))
 
 
+# A HyperLogLog++ estimate is exact in practice for tiny cardinalities (linear
+# counting), so a column estimated at or above this bound surely has more than a
+# handful of distinct values; only the columns below it need an exact count.
+SKETCH_SCREEN = 50
+
+
+def low_cardinality_candidates(df: DataFrame, columns: Sequence[str], bound: int = SKETCH_SCREEN) -> list[str]:
+    """Columns whose sketch estimate is below ``bound``: one pass of mergeable
+    sketches (a few KB per column), no shuffle of the values themselves."""
+    cols = list(columns)
+    if not cols:
+        return []
+    est = df.agg(*[F.approx_count_distinct(_nan_to_null(df, c)).alias(c) for c in cols]).first().asDict()
+    return [c for c in cols if est[c] < bound]
+
+
 def drop_constant_columns(df: DataFrame, keep: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
-    """Drop the D3 columns. Only the k-row D3 result reaches the driver.
+    """Drop the D3 columns. Only k-row results reach the driver.
 
-    Dropping columns cannot make another column constant, so one pass suffices.
+    Sketches screen out high-cardinality columns first, so the exact
+    (column, value) count only runs on the few low-cardinality ones. Dropping
+    columns cannot make another column constant, so one pass suffices.
     """
-    found = [r["column_name"] for r in constant_columns(df).collect()]
+    cand = low_cardinality_candidates(df, [c for c in df.columns if c not in set(keep)], 10)
+    found = [r["column_name"] for r in constant_columns(df, cand).collect()] if cand else []
     drop = [c for c in df.columns if c in set(found) and c not in set(keep)]
     return df.drop(*drop), drop
 
@@ -177,11 +214,15 @@ def unique_values_table(df: DataFrame, variables: Sequence[str]) -> DataFrame:
     """D9 as the reference shows it: per variable unique count, value list and
     value -> count map (NULL kept in the list, left out of the map)."""
     lv = unique_values_long(df, variables)
-    return (lv.groupBy("variable")
-              .agg(F.max("n_unique").alias("unique_count"),
-                   F.sort_array(F.collect_list(F.col("value"))).alias("unique_values"),
-                   F.map_from_entries(F.collect_list(
-                       F.when(F.col("value").isNotNull(), F.struct("value", "n")))).alias("value_counts")))
+    out = (lv.groupBy("variable")
+             .agg(F.max("n_unique").alias("unique_count"),
+                  F.sort_array(F.collect_list(F.col("value"))).alias("_vals"),
+                  F.max(F.col("value").isNull().cast("int")).alias("_has_null"),
+                  F.map_from_entries(F.collect_list(
+                      F.when(F.col("value").isNotNull(), F.struct("value", "n")))).alias("value_counts")))
+    vals = F.when(F.col("_has_null") == 1, F.concat("_vals", F.array(F.lit(None).cast("string")))) \
+        .otherwise(F.col("_vals"))
+    return out.select("variable", "unique_count", vals.alias("unique_values"), "value_counts")
 
 
 # ---------------------------------------------------------------- D10-D13

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from speclab.functions.scalar import coerce_numeric, safe_corr
-from speclab.operators.profile import distinct_counts
+from speclab.operators.profile import distinct_counts, low_cardinality_candidates
 
 CATEGORY_MAX_DISTINCT = 5   # fewer than this many distinct values -> category
 CORR_THRESHOLD = 0.8
@@ -47,8 +47,17 @@ def apply_kinds(df: DataFrame, kinds: dict[str, str], keep: Sequence[str] = ())
     return df.select(*out)
 
 
-def kinds_of(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, str]:
-    return {r["column_name"]: r["kind"] for r in infer_column_kind(df, columns).collect()}
+def kinds_of(df: DataFrame, columns: Sequence[str] | None = None,
+             max_distinct: int = CATEGORY_MAX_DISTINCT) -> dict[str, str]:
+    """M7 as the pipelines use it: sketches screen out clearly numeric columns,
+    the exact distinct count runs only on the low-cardinality rest."""
+    cols = list(columns or df.columns)
+    cand = low_cardinality_candidates(df, cols)
+    kinds = {c: "numeric" for c in cols}
+    if cand:
+        for r in infer_column_kind(df, cand, max_distinct).collect():
+            kinds[r["column_name"]] = r["kind"]
+    return kinds
 
 
 # ---------------------------------------------------------------- M1 / M2

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speclab.sources.io import scan_table
+from speclab.sources.io import scan_table, spread_small_scan
 
 
 def _hex2int(c, start: int, n: int = 2):
@@ -18,7 +18,7 @@ def _hex2int(c, start: int, n: int = 2):
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = scan_table(spark, f"{sf_dir}/lineitem.parquet")
+    li = spread_small_scan(scan_table(spark, f"{sf_dir}/lineitem.parquet"))
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     day = F.date_format(F.col("l_shipdate"), "yyyy-MM-dd")
     row_id = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in

@@ -24,6 +24,21 @@ def scan_table(spark: SparkSession, path: str | None = None, fmt: str = "parquet
     return reader.load(path) if path is not None else reader.load()
 
 
+def spread_small_scan(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give a scan at least as many partitions as the session has task slots.
+
+    A big table arrives in thousands of splits and is returned untouched (no
+    shuffle). Only an input with fewer splits than slots - e.g. one parquet
+    file with a single row group - is spread round-robin, so the map-side
+    work after the scan (expressions, join probes, partial aggregation) does
+    not run in one task.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
+
+
 def register_view(df: DataFrame, name: str) -> DataFrame:
     """A2: name a frame for SQL."""
     df.createOrReplaceTempView(name)

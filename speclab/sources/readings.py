@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speclab.sources.io import scan_table
+from speclab.sources.io import scan_table, spread_small_scan
 
 # Fixed values of the derived view (they define the fixture, both engines use them).
 BATCH_SOURCES = ["  100%  liquid milk ", "100% powder", "50% liquid milk + 50%   powder"]
@@ -79,5 +79,5 @@ def readings_from(lineitem: DataFrame, part: DataFrame) -> DataFrame:
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readings_from(scan_table(spark, f"{sf_dir}/lineitem.parquet"),
+    return readings_from(spread_small_scan(scan_table(spark, f"{sf_dir}/lineitem.parquet")),
                          scan_table(spark, f"{sf_dir}/part.parquet"))
