@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 
 from speclab.functions.scalar import coerce_numeric, round2
 from speclab.operators.quantiles import mode_from_counts, quantiles_wide, value_counts_by
+from speclab.session import cut_lineage
 
 FLOATS = (T.DoubleType, T.FloatType)
 
@@ -262,7 +263,7 @@ def numeric_statistics(df: DataFrame, variables: Sequence[str], digits: int | No
     keep their row (unique_count 0, NULL stats), as pandas prints them.
     """
     long = melt_features(df, [], variables)
-    vc = value_counts_by(long, ["variable"], "value")
+    vc = cut_lineage(value_counts_by(long, ["variable"], "value"))
     mom = _moments(vc, ["variable"])
     med = quantiles_wide(long, ["variable"], "value", {"median": 0.5}, vc=vc)
     mode = mode_from_counts(vc, ["variable"], "value")
@@ -281,7 +282,7 @@ def grouped_statistics(df: DataFrame, id_var: str, variables: Sequence[str], dig
     """Melt, coerce, drop NULL, then min / max / mean / median by (id_var, variable)."""
     long = melt_features(df, [id_var], variables).where(F.col(id_var).isNotNull())
     keys = [id_var, "variable"]
-    vc = value_counts_by(long, keys, "value")
+    vc = cut_lineage(value_counts_by(long, keys, "value"))
     stats = vc.groupBy(*keys).agg(
         F.min("value").alias("min_value"), F.max("value").alias("max_value"),
         (F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")).alias("mean_value"))
@@ -298,7 +299,7 @@ def boxplot_summary(df: DataFrame, id_var: str, variables: Sequence[str], whiske
     whiskers (most extreme points inside the fences) and the outlier count."""
     long = melt_features(df, [id_var], variables).where(F.col(id_var).isNotNull())
     keys = [id_var, "variable"]
-    vc = value_counts_by(long, keys, "value")
+    vc = cut_lineage(value_counts_by(long, keys, "value"))
     q = quantiles_wide(long, keys, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, vc=vc)
     q = (q.withColumn("iqr", F.col("q3") - F.col("q1"))
           .withColumn("lower_fence", F.col("q1") - whisker * F.col("iqr"))

@@ -84,15 +84,13 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], full: bool = True)
                 e = safe_corr(cols[i], cols[j])
             exprs.append(e.alias(f"r_{i}_{j}"))
         wide = df.agg(*exprs)
-        stack = F.explode(F.array(*[F.struct(F.lit(i).alias("pos_a"), F.lit(j).alias("pos_b"),
-                                             F.col(f"r_{i}_{j}").alias("r")) for i, j in chunk]))
+        cells = [(i, j) for i, j in chunk] + ([(j, i) for i, j in chunk if i != j] if full else [])
+        stack = F.explode(F.array(*[F.struct(F.lit(a).alias("pos_a"), F.lit(b).alias("pos_b"),
+                                             F.col(f"r_{min(a, b)}_{max(a, b)}").alias("r")) for a, b in cells]))
         parts.append(wide.select(stack.alias("p")).select("p.*"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    if full:
-        out = out.unionByName(out.where(F.col("pos_a") != F.col("pos_b"))
-                                 .select(F.col("pos_b").alias("pos_a"), F.col("pos_a").alias("pos_b"), "r"))
     names = F.array(*[F.lit(c) for c in cols])
     return out.select(F.element_at(names, F.col("pos_a") + 1).alias("col_a"),
                       F.element_at(names, F.col("pos_b") + 1).alias("col_b"),

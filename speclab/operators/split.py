@@ -10,14 +10,17 @@ split is a threshold comparison - a narrow, per-row operation.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speclab.operators.quantiles import rank_of, rows_at_ranks
+from speclab.operators.quantiles import rank_of
 
 _HEX = 13                 # 52 bits of md5: exact in a double
 _SCALE = float(16 ** _HEX)
-_BUCKETS = 1 << 20        # linear buckets for a uniform hash
+_BUCKETS = 1 << 16        # linear buckets for a uniform hash: the bucket table stays small
+                          # (its running sum is one task per key); one bucket is opened
 
 
 def hash_order(key: str, seed) -> Column:
@@ -30,40 +33,55 @@ def _uniform_bucket(v: Column) -> Column:
     return F.floor(v / _SCALE * _BUCKETS).cast("long")
 
 
-def _threshold_split(df: DataFrame, h: Column, frac: float, group: Column | None = None) -> DataFrame:
-    """Adds ``_in`` = True for the first ceil(n * frac) rows by h (per group)."""
-    g = group if group is not None else F.lit(0)
-    base = df.withColumn("_h", h).withColumn("_g", g)
-    sizes = base.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
-    ranks = sizes.select("_g", (F.ceil(F.col("_n") * F.lit(frac)) - 1).cast("long").alias("rank")) \
-                 .where(F.col("rank") >= 0)
-    pts = base.select("_g", "_h", F.lit(1).cast("long").alias("cnt"))
-    thr = rows_at_ranks(pts, ["_g"], "_h", ranks, bucket_fn=_uniform_bucket) \
-        .select("_g", F.col("_h").alias("_thr"))
-    return (base.join(thr, "_g", "left")
-                .withColumn("_in", F.coalesce(F.col("_h") <= F.col("_thr"), F.lit(False)))
-                .drop("_thr"))
+def threshold_at(df: DataFrame, h: Column, frac: float) -> float | None:
+    """The hash value of the row at rank ceil(n * frac) (1-based), as a driver scalar.
+
+    Two passes over the input: (1) counts per uniform hash bucket - the partial
+    aggregate emits at most 2^16 rows however large the input, and that bounded
+    table is what reaches the driver; (2) only the bucket that holds the rank is
+    read again and its rows are ordered (top-k with an offset, inside that bucket).
+    """
+    base = df.select(h.alias("_h")).withColumn("_b", _uniform_bucket(F.col("_h")))
+    counts = sorted((r["_b"], r["n"]) for r in base.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect())
+    n = sum(c for _, c in counts)
+    k = math.ceil(n * frac) - 1
+    if n == 0 or k < 0:
+        return None
+    before = 0
+    for b, c in counts:
+        if before + c > k:
+            row = (base.where(F.col("_b") == F.lit(b)).select("_h").orderBy("_h")
+                       .offset(int(k - before)).limit(1).first())
+            return float(row["_h"])
+        before += c
+    return None
+
+
+def _threshold_split(df: DataFrame, h: Column, frac: float) -> DataFrame:
+    """Adds ``_in`` = True for the first ceil(n * frac) rows by h: a narrow
+    comparison against a scalar, no join and no sort of the rows."""
+    thr = threshold_at(df, h, frac)
+    flag = (h <= F.lit(thr)) if thr is not None else F.lit(False)
+    return df.withColumn("_in", flag)
 
 
 def split_80_20(df: DataFrame, key: str = "row_id", seed: int = 42, test_frac: float = 0.2,
                 names=("train", "val")) -> DataFrame:
     """G1: shuffle split, not stratified; the held-out part has ceil(n * 0.2) rows."""
     s = _threshold_split(df, hash_order(key, seed), test_frac)
-    return (s.withColumn("split", F.when(F.col("_in"), F.lit(names[1])).otherwise(F.lit(names[0])))
-             .drop("_h", "_g", "_in"))
+    return s.withColumn("split", F.when(F.col("_in"), F.lit(names[1])).otherwise(F.lit(names[0]))).drop("_in")
 
 
 def split_70_15_15(df: DataFrame, key: str = "row_id", seed: int = 42, temp_frac: float = 0.3,
                    val_frac: float = 0.5) -> DataFrame:
     """70 / 30, then the 30 in halves (validation = ceil(half))."""
-    s1 = _threshold_split(df, hash_order(key, seed), temp_frac) \
-        .withColumnRenamed("_in", "_temp").drop("_h", "_g")
-    temp = s1.where("_temp")
-    s2 = _threshold_split(temp, hash_order(key, f"{seed}|b"), val_frac)
-    temp_split = s2.withColumn("split", F.when(F.col("_in"), "val").otherwise("test")) \
-        .drop("_h", "_g", "_in", "_temp")
-    train = s1.where(~F.col("_temp")).drop("_temp").withColumn("split", F.lit("train"))
-    return train.unionByName(temp_split)
+    h1, h2 = hash_order(key, seed), hash_order(key, f"{seed}|b")
+    t1 = threshold_at(df, h1, temp_frac)
+    in_temp = (h1 <= F.lit(t1)) if t1 is not None else F.lit(False)
+    t2 = threshold_at(df.where(in_temp), h2, val_frac)
+    in_val = (h2 <= F.lit(t2)) if t2 is not None else F.lit(False)
+    return df.withColumn("split", F.when(~in_temp, F.lit("train"))
+                                   .when(in_val, F.lit("val")).otherwise(F.lit("test")))
 
 
 def stratified_folds(df: DataFrame, label: str = "label", key: str = "row_id", k: int = 10,

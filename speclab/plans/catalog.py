@@ -50,8 +50,15 @@ def q(name, sql=None):
     return deco
 
 
+_VIEWS: dict = {}
+
+
 def R(spark, sf):
-    return readings(spark, sf)
+    """The readings view, built once per session and folder (a lazy plan: no data is cached)."""
+    key = (id(spark), sf)
+    if key not in _VIEWS:
+        _VIEWS[key] = readings(spark, sf)
+    return _VIEWS[key]
 
 
 def lab(spark, sf, t):
