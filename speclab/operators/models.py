@@ -62,10 +62,11 @@ def tree_shape(spark: SparkSession, model) -> DataFrame:
                                  "depth int, num_nodes int, n_leaves int")
 
 
-def predict_labels(model, df: DataFrame, key: str = "row_id", label: str = "label") -> DataFrame:
-    """H4 + H5: class and P(class 1) per row."""
+def predict_labels(model, df: DataFrame, key: str = "row_id", label: str = "label",
+                   keep: Sequence[str] = ()) -> DataFrame:
+    """H4 + H5: class and P(class 1) per row (plus any ``keep`` columns)."""
     out = model.transform(df)
-    cols = [c for c in (key, label) if c in df.columns]
+    cols = [c for c in (key, label, *keep) if c in df.columns]
     return out.select(*cols, F.col("prediction").cast("int").alias("prediction"),
                       vector_to_array("probability")[1].alias("probability"))
 

@@ -132,7 +132,7 @@ def train_report(prep: Prepared, parallelism: int = 4, grid: bool = True, folds:
     m_limited = ML.fit_tree(train, prep.features, LABEL, prep.spec.max_depth)
     out["tree_default_shape"] = ML.tree_shape(spark, m_default)
     out["tree_limited_shape"] = ML.tree_shape(spark, m_limited)
-    scored = ML.predict_labels(m_limited, fit_on).join(fit_on.select(KEY, "split"), KEY)
+    scored = ML.predict_labels(m_limited, fit_on, keep=("split",))
     out["evaluation"] = H.evaluate_model(scored)
     folded = G.stratified_folds(train, LABEL, KEY, k=folds)
     out["cv_scores"] = ML.cross_validation_scores(folded, prep.features, LABEL, k=folds,
@@ -140,7 +140,7 @@ def train_report(prep: Prepared, parallelism: int = 4, grid: bool = True, folds:
     out["cv_summary"] = D.cv_score_summary(out["cv_scores"])
     best = m_limited
     if grid:
-        cvm, g = ML.grid_search(folded, prep.features, LABEL, parallelism=parallelism)
+        cvm, g = ML.grid_search(folded, prep.features, LABEL, parallelism=parallelism, k=folds)
         out["grid_scores"] = ML.grid_scores(spark, cvm, g)
         out["best_params"] = ML.best_params(spark, cvm)
         best = cvm.bestModel
