@@ -93,25 +93,35 @@ def rank_of(df: DataFrame, keys: Sequence[str], value: str, bucket_fn=value_buck
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
                     vc: DataFrame | None = None) -> DataFrame:
-    """(keys, prob, quantile) with linear interpolation; exact, distributed."""
+    """(keys, prob, quantile) with linear interpolation; exact, distributed.
+
+    The wanted ranks are computed row-wise on the small bucket-offset table
+    (it carries the group size), which also says which buckets to open; the
+    value counts are joined to those few buckets only and ranked inside them.
+    """
     keys = list(keys)
     if vc is None:
         vc = value_counts_by(df, keys, value)
-    sizes = vc.groupBy(*keys).agg(F.sum("cnt").alias("n"))
-    probs_col = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
-    targets = (sizes.select(*keys, "n", probs_col)
-                    .withColumn("pos", (F.col("n") - 1) * F.col("prob"))
-                    .select(*keys, "prob", F.floor("pos").cast("long").alias("r_lo"),
-                            F.ceil("pos").cast("long").alias("r_hi"),
-                            (F.col("pos") - F.floor("pos")).alias("frac")))
-    ranks = (targets.select(*keys, F.col("r_lo").alias("rank"))
-                    .union(targets.select(*keys, F.col("r_hi").alias("rank"))).distinct())
-    vals = rows_at_ranks(vc, keys, value, ranks)
-    lo = vals.select(*keys, F.col("rank").alias("r_lo"), F.col(value).alias("_vlo"))
-    hi = vals.select(*keys, F.col("rank").alias("r_hi"), F.col(value).alias("_vhi"))
-    out = targets.join(lo, keys + ["r_lo"]).join(hi, keys + ["r_hi"])
+    offs = _bucket_offsets(vc, keys, value)
+    pos = (F.col("n") - 1) * F.col("prob")
+    in_b = lambda r: (F.col("_boff") <= r) & (r < F.col("_boff") + F.col("_bcnt"))
+    tb = (offs.select(*keys, "_b", "_boff", "_bcnt", "n",
+                      F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
+              .select(*keys, "_b", "_boff", "_bcnt", "prob", F.floor(pos).cast("long").alias("r_lo"),
+                      F.ceil(pos).cast("long").alias("r_hi"), (pos - F.floor(pos)).alias("frac"))
+              .where(in_b(F.col("r_lo")) | in_b(F.col("r_hi")))
+              .drop("_bcnt"))
+    cand = vc.withColumn("_b", value_bucket(F.col(value))).join(tb, keys + ["_b"])
+    w = Window.partitionBy(*keys, "prob", "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    r0 = F.col("_boff") + F.coalesce(F.sum("cnt").over(w), F.lit(0))
+    ranked = cand.withColumn("_r0", r0)
+    hit = lambda r: (F.col("_r0") <= r) & (r < F.col("_r0") + F.col("cnt"))
+    out = (ranked.groupBy(*keys, "prob")
+                 .agg(F.max(F.when(hit(F.col("r_lo")), F.col(value))).alias("_vlo"),
+                      F.max(F.when(hit(F.col("r_hi")), F.col(value))).alias("_vhi"),
+                      F.max("frac").alias("_frac")))
     return out.select(*keys, "prob",
-                      (F.col("_vlo") + F.col("frac") * (F.col("_vhi") - F.col("_vlo"))).alias("quantile"))
+                      (F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))).alias("quantile"))
 
 
 def quantiles_wide(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
