@@ -1,19 +1,23 @@
 """SMOTE over Spark (C2 nearest minority neighbours, G3 oversampling).
 
 Exact k nearest neighbours inside the minority class, without a self cross
-join and without a cap on candidates:
-
-1. Every point gets a projection ``s`` on the feature with the largest variance
-   (it dominates Euclidean distance, so it prunes best) and its rank by ``s``
-   (distributed rank lookup, no global sort).
-2. Upper bound: each point is compared with the points of its own and the two
-   adjacent rank blocks (block = k ranks), an equi-join on the block id. The
-   k-th smallest distance found, ``ub``, bounds the true k-th distance.
-3. Exact pass: any true neighbour q satisfies |s_q - s_p| <= ub_p. Points are
-   bucketed by ``s`` (width = median ub), each point asks for the buckets its
-   band covers (``sequence`` + ``explode``), and the band is joined on the
-   bucket id. Distances are computed only inside the band; the k smallest per
-   point are kept with a window over that point's band (ties broken by key).
+join and without a cap on candidates, on DISTINCT positions (feature vectors)
+weighted by their multiplicity:
+
+1. Positions: ``groupBy(features)`` (partial aggregation collapses duplicates)
+   and the k+1 smallest keys of each position (two-level salted top-k, so a
+   position holding a third of the rows is never one task). A position with
+   more than k points has all its neighbours among its own copies.
+2. Only the remaining (sparse) positions search: each gets a projection ``s``
+   on the feature with the largest variance and a rank by ``s`` (distributed
+   rank lookup). An upper bound ``ub`` on the distance that covers k+1 points
+   (weighted) comes from its own and the two adjacent rank blocks.
+3. Exact pass: any true neighbour q satisfies |s_q - s_p| <= ub_p. Positions
+   are bucketed by ``s``, each sparse position asks for the buckets its band
+   covers (``sequence`` + ``explode``), and the band is joined on the bucket
+   id. Its candidate list is its own copies (distance 0) plus the band's
+   positions' smallest keys, top k+1 by (distance, key).
+4. Every point joins its position's list (k+1 rows), drops itself and keeps k.
 
 Oversampling: the minority of each chosen split is raised to the majority
 count. The needed number of samples is spread evenly over minority points
@@ -50,53 +54,102 @@ def _prefixed(df: DataFrame, key: str, feats: Sequence[str], pre: str, extra: Se
                      *[F.col(e).alias(pre + e) for e in extra])
 
 
+SALT = 64   # sub-groups for the two-level top-k inside one position
+
+
+def _smallest_keys(pts: DataFrame, pos_cols: list[str], key: str, m: int) -> DataFrame:
+    """The m smallest keys of every position, as (pos..., q_key, _kr).
+
+    Two levels: rank inside (position, salt) first, so a position that holds a
+    third of all points is split over SALT tasks; the second window only sees
+    SALT * m rows per position."""
+    salted = pts.withColumn("_salt", F.pmod(F.xxhash64(F.col(key)), F.lit(SALT)))
+    w1 = Window.partitionBy(*pos_cols, "_salt").orderBy(key)
+    lvl1 = salted.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= m)
+    w2 = Window.partitionBy(*pos_cols).orderBy(key)
+    return (lvl1.withColumn("_kr", F.row_number().over(w2)).where(F.col("_kr") <= m)
+                .select(*pos_cols, F.col(key).alias("q_key"), "_kr"))
+
+
 def nearest_neighbours(points: DataFrame, features: Sequence[str], key: str = "row_id",
                        k: int = K_NEIGHBOURS, group: str | None = None) -> DataFrame:
-    """(group, row_id, nn_rank 1..k, nn_row_id, distance) - exact, per group."""
+    """(group, row_id, nn_rank 1..k, nn_row_id, distance) - exact, per group,
+    ties broken by the neighbour's key.
+
+    Works on distinct positions (feature vectors) weighted by multiplicity, so
+    duplicated points - discrete features, or one vector holding a third of the
+    rows - never turn into all pairs: a position with more than k points finds
+    all its neighbours among its own copies at distance 0 and needs no search.
+    """
     feats = list(features)
     g = group or "_grp"
     pts = points if group else points.withColumn("_grp", F.lit(0))
     pts = pts.select(key, g, *[F.col(f).cast("double").alias(f) for f in feats])
-    # projection axis: largest variance (a k-row metadata result)
+    pos_cols = [g] + feats
+    m = k + 1                                       # enough for any point once itself is removed
+    small = cut_lineage(_smallest_keys(pts, pos_cols, key, m))
+    positions = pts.groupBy(*pos_cols).agg(F.count(F.lit(1)).alias("_c"))
     var = pts.agg(*[F.var_pop(f).alias(f) for f in feats]).first().asDict()
     axis = max(feats, key=lambda f: var[f] if var[f] is not None else -1.0)
-    pts = pts.withColumn("_s", F.col(axis))
-    ranked = cut_lineage(rank_of(pts, [g], "_s").withColumn("_blk", F.floor(F.col("_rank") / k).cast("long")))
-
-    # pass 1: upper bound from the own and adjacent blocks
-    p1 = _prefixed(ranked, key, feats, "p_", [g, "_blk", "_s"]) \
-        .withColumn("_qb", F.explode(F.array(F.col("p__blk") - 1, F.col("p__blk"), F.col("p__blk") + 1)))
-    q1 = _prefixed(ranked, key, feats, "q_", [g, "_blk"])
-    near = (p1.join(q1, (F.col(f"p_{g}") == F.col(f"q_{g}")) & (F.col("_qb") == F.col("q__blk")))
-              .where(F.col("p_key") != F.col("q_key"))
-              .withColumn("_d2", _sqdist(feats)))
-    wk = Window.partitionBy("p_key").orderBy("_d2", "q_key")
-    ub = (near.withColumn("_i", F.row_number().over(wk)).where(F.col("_i") <= k)
-              .groupBy("p_key").agg(F.max("_d2").alias("_ub2"), F.count(F.lit(1)).alias("_nc")))
-    # fewer than k others in the three blocks only happens for groups with <= k points:
-    # then every point of the group is a neighbour, so the band is the whole (tiny) group
-    span = ranked.groupBy(g).agg((F.max("_s") - F.min("_s")).alias("_span"))
-    base = (ranked.join(ub, ranked[key] == ub["p_key"], "left").drop("p_key")
-                  .join(span, g)
-                  .withColumn("_ub", F.when(F.col("_nc") >= k, F.sqrt("_ub2")).otherwise(F.col("_span"))))
-    # bucket width: median positive bound (a scalar); duplicates (ub = 0) need one bucket
-    width = base.where(F.col("_ub") > 0).agg(F.percentile_approx("_ub", 0.5).alias("w")).first()["w"]
+    positions = positions.withColumn("_s", F.col(axis)).withColumn("_w", F.least(F.col("_c"), F.lit(m)))
+    positions = cut_lineage(rank_of(positions, [g], "_s"))
+    sparse = positions.where(F.col("_c") < m).withColumn("_need", F.lit(m) - F.col("_c"))
+
+    def side(df, pre, extra):
+        return df.select(*[F.col(c).alias(pre + c) for c in pos_cols + extra])
+
+    def d2():
+        return _sqdist(feats, "p_", "q_")
+
+    same_pos = None
+    for c in pos_cols:
+        e = F.col("p_" + c).eqNullSafe(F.col("q_" + c))
+        same_pos = e if same_pos is None else same_pos & e
+
+    # pass 1 (sparse positions only): weighted bound from the adjacent rank blocks
+    blk = lambda c: F.floor(F.col(c) / F.lit(m)).cast("long")
+    p1 = side(sparse, "p_", ["_rank", "_need"]).withColumn("_qb", F.explode(F.array(
+        blk("p__rank") - 1, blk("p__rank"), blk("p__rank") + 1)))
+    q1 = side(positions, "q_", ["_rank", "_w"]).withColumn("_blk", blk("q__rank"))
+    near = (p1.join(q1, (F.col("p_" + g) == F.col("q_" + g)) & (F.col("_qb") == F.col("_blk")))
+              .where(~same_pos).withColumn("_d2", d2()))
+    pkey = ["p_" + c for c in pos_cols]
+    wcum = Window.partitionBy(*pkey).orderBy("_d2").rowsBetween(Window.unboundedPreceding, 0)
+    ub = (near.withColumn("_cw", F.sum("q__w").over(wcum))
+              .groupBy(*pkey).agg(F.min(F.when(F.col("_cw") >= F.col("p__need"), F.col("_d2"))).alias("_ub2")))
+    span = positions.groupBy(g).agg((F.max("_s") - F.min("_s")).alias("_span"))
+    bound = (side(sparse, "p_", ["_s"]).join(ub, pkey, "left")
+             .join(span.withColumnRenamed(g, "p_" + g), "p_" + g)
+             .withColumn("_ub", F.coalesce(F.sqrt("_ub2"), F.col("_span"))))
+    bound = cut_lineage(bound)
+    width = bound.where(F.col("_ub") > 0).agg(F.percentile_approx("_ub", 0.5).alias("w")).first()["w"]
     width = float(width) if width and width > 0 else 1.0
-    base = cut_lineage(base)
 
-    # pass 2: exact band join on the bucket of s
+    # pass 2: exact band of other positions around each sparse position
     cell = lambda c: F.floor(c / F.lit(width)).cast("long")
-    p2 = (_prefixed(base, key, feats, "p_", [g, "_s", "_ub"])
-          .withColumn("_cell", F.explode(F.sequence(cell(F.col("p__s") - F.col("p__ub")),
-                                                    cell(F.col("p__s") + F.col("p__ub"))))))
-    q2 = _prefixed(base, key, feats, "q_", [g, "_s"]).withColumn("_cell", cell(F.col("q__s")))
-    band = (p2.join(q2, (F.col(f"p_{g}") == F.col(f"q_{g}")) & (p2["_cell"] == q2["_cell"]))
-              .where((F.col("p_key") != F.col("q_key")) &
-                     (F.abs(F.col("p__s") - F.col("q__s")) <= F.col("p__ub")))
-              .withColumn("_d2", _sqdist(feats)))
-    top = (band.withColumn("nn_rank", F.row_number().over(Window.partitionBy("p_key").orderBy("_d2", "q_key")))
-               .where(F.col("nn_rank") <= k))
-    out = top.select(F.col(f"p_{g}").alias(g), F.col("p_key").alias(key), "nn_rank",
+    p2 = bound.withColumn("_cell", F.explode(F.sequence(cell(F.col("p__s") - F.col("_ub")),
+                                                        cell(F.col("p__s") + F.col("_ub")))))
+    q2 = side(positions, "q_", ["_s"]).withColumn("_qcell", cell(F.col("q__s")))
+    band = (p2.join(q2, (F.col("p_" + g) == F.col("q_" + g)) & (F.col("_cell") == F.col("_qcell")))
+              .where(~same_pos & (F.abs(F.col("p__s") - F.col("q__s")) <= F.col("_ub")))
+              .withColumn("_d2", d2())
+              # a pass-1 bound also bounds the full distance; the span fallback
+              # (group too small to reach k+1 points) only bounds the projection
+              .where(F.col("_ub2").isNull() | (F.col("_d2") <= F.col("_ub2"))))
+    qsmall = small.select(*[F.col(c).alias("q_" + c) for c in pos_cols], "q_key")
+    others = band.join(qsmall, ["q_" + c for c in pos_cols]).select(*pkey, "q_key", "_d2")
+    own = small.select(*[F.col(c).alias("p_" + c) for c in pos_cols], "q_key", F.lit(0.0).alias("_d2"))
+    # candidate list per position: its own copies at 0 plus the band, top m by (distance, key)
+    wl = Window.partitionBy(*pkey).orderBy("_d2", "q_key")
+    lists = (own.unionByName(others).withColumn("_lr", F.row_number().over(wl))
+                .where(F.col("_lr") <= m).drop("_lr"))
+    lists = cut_lineage(lists)
+    # every point takes its position's list, minus itself, first k
+    me = pts.select(*[F.col(c).alias("p_" + c) for c in pos_cols], F.col(key).alias("p_key"))
+    wp = Window.partitionBy("p_key").orderBy("_d2", "q_key")
+    top = (me.join(lists, pkey).where(F.col("q_key") != F.col("p_key"))
+             .withColumn("nn_rank", F.row_number().over(wp)).where(F.col("nn_rank") <= k))
+    out = top.select(F.col("p_" + g).alias(g), F.col("p_key").alias(key), "nn_rank",
                      F.col("q_key").alias("nn_" + key), F.sqrt("_d2").alias("distance"))
     return out if group else out.drop("_grp")
 
