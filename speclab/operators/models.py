@@ -32,6 +32,11 @@ GRID_MIN_SAMPLES_LEAF = [1, 2, 4]
 GRID_MIN_SAMPLES_SPLIT = [2, 5, 10]   # no Spark counterpart: not searched
 
 
+def default_parallelism(spark: SparkSession, cap: int = 8) -> int:
+    """Concurrent fits for CV / grid search: the session's task slots, capped."""
+    return max(1, min(cap, spark.sparkContext.defaultParallelism))
+
+
 def spark_depth(d: int | None) -> int:
     return SPARK_MAX_DEPTH if d is None else min(int(d), SPARK_MAX_DEPTH)
 
@@ -89,10 +94,11 @@ def tree_rules(spark: SparkSession, model, features: Sequence[str]) -> DataFrame
 
 def cross_validation_scores(df: DataFrame, features: Sequence[str], label: str = "label",
                             fold_col: str = "fold", k: int = 10, max_depth: int | None = None,
-                            min_leaf: int = 1, seed: int = SEED, parallelism: int = 4) -> DataFrame:
+                            min_leaf: int = 1, seed: int = SEED, parallelism: int | None = None) -> DataFrame:
     """Accuracy per fold (stratified fold column); folds are fitted concurrently,
     each fit a distributed job."""
     spark = df.sparkSession
+    parallelism = parallelism or default_parallelism(spark)
     pipe = tree_pipeline(features, label, max_depth, min_leaf, seed)
 
     def one(f):
@@ -107,11 +113,12 @@ def cross_validation_scores(df: DataFrame, features: Sequence[str], label: str =
 
 def grid_search(df: DataFrame, features: Sequence[str], label: str = "label", fold_col: str = "fold",
                 depths=GRID_MAX_DEPTH, min_leaf=GRID_MIN_SAMPLES_LEAF, seed: int = SEED,
-                parallelism: int = 4, k: int = 10):
+                parallelism: int | None = None, k: int = 10):
     """Depth x min leaf grid, k-fold CV on accuracy, refit of the best.
 
     Depth values that map to the same Spark depth are searched once.
     """
+    parallelism = parallelism or default_parallelism(df.sparkSession)
     pipe = tree_pipeline(features, label, None, 1, seed)
     dt = pipe.getStages()[-1]
     depths_s = sorted({spark_depth(d) for d in depths})

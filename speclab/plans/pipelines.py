@@ -122,7 +122,7 @@ def descriptive_report(df: DataFrame, variables: list[str], label: str = LABEL)
     }
 
 
-def train_report(prep: Prepared, parallelism: int = 4, grid: bool = True, folds: int = 10) -> dict:
+def train_report(prep: Prepared, parallelism: int | None = None, grid: bool = True, folds: int = 10) -> dict:
     """Default and depth-limited trees, CV scores, grid search, evaluation."""
     spark = prep.df.sparkSession
     train = prep.df.where(F.col("split") == "train")

@@ -33,7 +33,10 @@ def spread_small_scan(df: DataFrame, min_partitions: int | None = None) -> DataF
     work after the scan (expressions, join probes, partial aggregation) does
     not run in one task.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    if spark.conf.get("speclab.spreadSmallScans", "true").lower() != "true":
+        return df
+    target = min_partitions or spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target)
