@@ -145,3 +145,31 @@ def test_minority_smaller_than_k(spark):
     syn = out.where("label = 1 and row_id not like 'm%'").collect()
     for r in syn:                       # on the segment between two minority points: y = 2x
         assert r.y == pytest.approx(2 * r.x) and 0 <= r.x <= 2
+
+
+def test_knn_hot_duplicate_vector_and_brute_force(spark):
+    import numpy as np
+    from speclab.operators.smote import nearest_neighbours
+    rng = np.random.default_rng(7)
+    rows = [(f"h{i:04d}", 1.0, 1.0) for i in range(200)]                      # one hot vector
+    rows += [(f"r{i:04d}", float(rng.integers(0, 4)), float(rng.integers(0, 3))) for i in range(60)]
+    rows += [(f"c{i:04d}", float(rng.normal(10, 3)), float(rng.normal(-5, 2))) for i in range(40)]
+    df = spark.createDataFrame(rows, "row_id string, x double, y double")
+    got = {(r.row_id, r.nn_rank): (r.nn_row_id, r.distance)
+           for r in nearest_neighbours(df, ["x", "y"], k=5).collect()}
+    keys = [r[0] for r in rows]
+    pts = np.array([[r[1], r[2]] for r in rows])
+    for i, p in enumerate(keys):
+        d2 = ((pts - pts[i]) ** 2).sum(axis=1)
+        order = sorted((d2[j], keys[j]) for j in range(len(keys)) if j != i)[:5]
+        for rank, (dd, q) in enumerate(order, start=1):
+            assert got[(p, rank)][0] == q
+            assert got[(p, rank)][1] == pytest.approx(dd ** 0.5)
+
+
+def test_spread_small_scan_leaves_split_inputs(spark):
+    from speclab.sources.io import spread_small_scan
+    many = spark.range(0, 1000, numPartitions=16)
+    assert spread_small_scan(many) is many
+    one = spark.range(0, 1000, numPartitions=1)
+    assert spread_small_scan(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
