@@ -548,18 +548,31 @@ def _m2(spark, sf):
     return r6(M.correlated_pairs(R(spark, sf), CORR_VARS), ["r"])
 
 
-M3_PAIRS = "p AS (SELECT * FROM (" + " UNION ALL ".join(
-    f"SELECT '{a}' AS col_a, '{b}' AS col_b, {j} AS pos_b, corr({a}, {b}) AS r FROM readings"
-    for i, a in enumerate(CORR_VARS) for j, b in enumerate(CORR_VARS) if i < j) + \
-    ") WHERE abs(r) > 0.8 AND NOT isnan(r))"
-
-
-# Each anchor keeps its first later partner above the threshold; this equals the
-# greedy walk while no partner is picked by two anchors (true here: one pair).
-@q("remove_highly_correlated_features", O.with_readings(
-    """SELECT anchor, dropped, round(abs_r, 6) AS abs_r FROM (
-  SELECT col_a AS anchor, col_b AS dropped, abs(r) AS abs_r,
-         row_number() OVER (PARTITION BY col_a ORDER BY pos_b) AS k FROM p) WHERE k = 1""", M3_PAIRS))
+def _greedy_walk_sql(cols, threshold=0.8):
+    """The M3 walk in SQL: a recursive CTE visits the columns in order (dropped
+    ones too) and drops each anchor's first later partner above the threshold
+    that is not dropped yet."""
+    pairs = " UNION ALL ".join(
+        f"SELECT {i} AS pos_a, {j} AS pos_b, '{a}' AS col_a, '{b}' AS col_b, corr({a}, {b}) AS r FROM readings"
+        for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j)
+    sql = O.with_readings(f"""SELECT x.anchor, x.dropped, round(x.abs_r, 6) AS abs_r
+FROM (SELECT unnest(picks) AS x FROM walk WHERE step = {len(cols)})""",
+                          f"""p AS (SELECT * FROM ({pairs}) WHERE abs(r) > {threshold} AND NOT isnan(r))""",
+                           f"""walk(step, dropped, picks) AS (
+  SELECT 0, CAST([] AS VARCHAR[]), CAST([] AS STRUCT(anchor VARCHAR, dropped VARCHAR, abs_r DOUBLE)[])
+  UNION ALL
+  SELECT w.step + 1,
+         CASE WHEN pk.col_b IS NULL THEN w.dropped ELSE list_append(w.dropped, pk.col_b) END,
+         CASE WHEN pk.col_b IS NULL THEN w.picks
+              ELSE list_append(w.picks, struct_pack(anchor := pk.col_a, dropped := pk.col_b, abs_r := abs(pk.r))) END
+  FROM walk w LEFT JOIN LATERAL (
+      SELECT col_a, col_b, r FROM p WHERE p.pos_a = w.step AND NOT list_contains(w.dropped, p.col_b)
+      ORDER BY pos_b LIMIT 1) pk ON true
+  WHERE w.step < {len(cols)})""")
+    return "WITH RECURSIVE " + sql[len("WITH "):]
+
+
+@q("remove_highly_correlated_features", _greedy_walk_sql(CORR_VARS))
 def _m3(spark, sf):
     return r6(M.remove_highly_correlated_features(R(spark, sf), CORR_VARS)[1], ["abs_r"])
 
