@@ -587,15 +587,17 @@ def _m4(spark, sf):
                                        "label"), ["r"])
 
 
-def _chi2_sql(cols):
+def _chi2_pairs_cte(cols):
     parts = []
     for i, a in enumerate(cols):
         for b in cols[i + 1:]:
             parts.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, CAST({a} AS VARCHAR) AS a, "
                          f"CAST({b} AS VARCHAR) AS b FROM readings WHERE {a} IS NOT NULL AND {b} IS NOT NULL")
-    pairs = " UNION ALL ".join(parts)
-    return O.with_readings("""SELECT col_a, col_b,
-  round(CASE WHEN dof = 0 THEN 0.0 ELSE sum(power(adj - e, 2) / e) END, 6) AS statistic, CAST(dof AS BIGINT) AS dof
+    return "x AS (" + " UNION ALL ".join(parts) + ")"
+
+
+CHI2_STAT_SQL = """SELECT col_a, col_b,
+  CASE WHEN dof = 0 THEN 0.0 ELSE sum(power(adj - e, 2) / e) END AS statistic, CAST(dof AS BIGINT) AS dof
 FROM (SELECT g.*, CASE WHEN dof = 1 THEN o + sign(e - o) * least(0.5, abs(e - o)) ELSE o END AS adj
       FROM (SELECT ra.col_a, ra.col_b, ra.a, cb.b, coalesce(ob.o, 0) AS o, ra.ra * cb.cb * 1.0 / t.n AS e,
                    (t.nr - 1) * (t.nc - 1) AS dof
@@ -605,7 +607,51 @@ FROM (SELECT g.*, CASE WHEN dof = 1 THEN o + sign(e - o) * least(0.5, abs(e - o)
                   FROM x GROUP BY 1, 2) t USING (col_a, col_b)
             LEFT JOIN (SELECT col_a, col_b, a, b, count(*) AS o FROM x GROUP BY 1, 2, 3, 4) ob
                    ON ob.col_a = ra.col_a AND ob.col_b = ra.col_b AND ob.a = ra.a AND ob.b = cb.b) g)
-GROUP BY col_a, col_b, dof""", f"x AS ({pairs})")
+GROUP BY col_a, col_b, dof"""
+
+
+def _chi2_sql(cols):
+    return O.with_readings("SELECT col_a, col_b, round(statistic, 6) AS statistic, dof FROM stat",
+                           _chi2_pairs_cte(cols), f"stat AS ({CHI2_STAT_SQL})")
+
+
+def _chi2_critical(dof: int, alpha: float = 0.05) -> float:
+    """Upper alpha point of the chi-square distribution, by bisection on the
+    same survival function the Spark operator uses for its p-values."""
+    lo, hi = 0.0, 10.0 * (dof + 10)
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        if M._chi2_sf(mid, dof) > alpha:
+            lo = mid
+        else:
+            hi = mid
+    return hi
+
+
+def _m6_sql(cols):
+    """M6 walk in SQL: significant ordered pairs (statistic above the critical
+    value of its dof, i.e. p < 0.05) in column order; a recursive CTE removes the
+    second column unless either was removed already."""
+    pos = " UNION ALL ".join(f"SELECT '{c}' AS col, {i} AS pos" for i, c in enumerate(cols))
+    crit = ", ".join(f"({d}, {_chi2_critical(d)!r})" for d in range(1, 17))
+    ordered = """SELECT a.pos AS pa, b.pos AS pb, s.col_a AS ca, s.col_b AS cb, s.statistic, s.dof FROM stat s
+        JOIN cols a ON a.col = s.col_a JOIN cols b ON b.col = s.col_b
+      UNION ALL
+      SELECT b.pos, a.pos, s.col_b, s.col_a, s.statistic, s.dof FROM stat s
+        JOIN cols a ON a.col = s.col_a JOIN cols b ON b.col = s.col_b"""
+    sql = O.with_readings(f"""SELECT unnest(removed) AS column_name FROM walk
+WHERE step = (SELECT count(*) FROM sig)""",
+                          _chi2_pairs_cte(cols), f"stat AS ({CHI2_STAT_SQL})", f"cols AS ({pos})",
+                          f"crit(dof, c) AS (VALUES {crit})",
+                          f"""sig AS (SELECT row_number() OVER (ORDER BY pa, pb) AS idx, ca, cb
+            FROM ({ordered}) o JOIN crit USING (dof) WHERE o.statistic > crit.c)""",
+                          """walk(step, removed) AS (
+  SELECT 0, CAST([] AS VARCHAR[])
+  UNION ALL
+  SELECT w.step + 1, CASE WHEN list_contains(w.removed, s.ca) OR list_contains(w.removed, s.cb)
+                          THEN w.removed ELSE list_append(w.removed, s.cb) END
+  FROM walk w JOIN sig s ON s.idx = w.step + 1)""")
+    return "WITH RECURSIVE " + sql[len("WITH "):]
 
 
 @q("chi2_pairwise", _chi2_sql(CAT_VARS))
@@ -613,7 +659,7 @@ def _m5(spark, sf):
     return r6(M.chi2_pairwise(R(spark, sf), CAT_VARS, with_p=False), ["statistic"])
 
 
-@q("drop_associated_categoricals")
+@q("drop_associated_categoricals", _m6_sql(CAT_VARS))
 def _m6(spark, sf):
     return M.drop_associated_categoricals(R(spark, sf), CAT_VARS)[1]
 
