@@ -127,7 +127,10 @@ def _write_splits(spark, sf):
     return A.read_dataset(spark, path).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@q("read_split_datasets")
+@q("read_split_datasets", O.with_readings(
+    """SELECT row_id, heat_temp, 'val' AS split FROM h WHERE rn <= CAST(ceil(n * 0.2) AS BIGINT)""",
+    """h AS (SELECT row_id, heat_temp, row_number() OVER (ORDER BY md5(row_id || '|42')) AS rn,
+                count(*) OVER () AS n FROM readings)"""))
 def _read_splits(spark, sf):
     s = G.split_80_20(R(spark, sf).select("row_id", "heat_temp"))
     path = A.write_split_datasets({"train": s.where("split = 'train'").drop("split"),
