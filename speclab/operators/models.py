@@ -46,7 +46,10 @@ def tree_pipeline(features: Sequence[str], label: str = "label", max_depth: int
     asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
     dt = DecisionTreeClassifier(featuresCol="features", labelCol=label, impurity="gini",
                                 maxDepth=spark_depth(max_depth), minInstancesPerNode=min_leaf,
-                                maxBins=max_bins, seed=seed)
+                                maxBins=max_bins, seed=seed,
+                                # deep trees: keep each row's node id on the executors instead of
+                                # shipping the growing tree every level (checkpointed every 10)
+                                cacheNodeIds=True)
     return Pipeline(stages=[asm, dt])
 
 
