@@ -143,7 +143,6 @@ def nearest_neighbours(points: DataFrame, features: Sequence[str], key: str = "r
     wl = Window.partitionBy(*pkey).orderBy("_d2", "q_key")
     lists = (own.unionByName(others).withColumn("_lr", F.row_number().over(wl))
                 .where(F.col("_lr") <= m).drop("_lr"))
-    lists = cut_lineage(lists)
     # every point takes its position's list, minus itself, first k
     me = pts.select(*[F.col(c).alias("p_" + c) for c in pos_cols], F.col(key).alias("p_key"))
     wp = Window.partitionBy("p_key").orderBy("_d2", "q_key")

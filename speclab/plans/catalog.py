@@ -103,9 +103,6 @@ def _read(spark, sf):
     return _write(spark, sf)
 
 
-
-
-
 SPLIT70_CTE = """h AS (SELECT row_id, row_number() OVER (ORDER BY md5(row_id || '|42')) AS rn,
                     count(*) OVER () AS n FROM readings)"""
 SPLIT70_BODY = """SELECT row_id, CASE WHEN rn > CAST(ceil(n * 0.3) AS BIGINT) THEN 'train'
