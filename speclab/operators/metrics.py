@@ -88,6 +88,10 @@ def classification_report(df: DataFrame, label: str = "label", prediction: str =
     return (cls.drop("_n", "_correct").unionByName(acc).unionByName(macro).unionByName(weighted))
 
 
+def _win(by: list[str]):
+    return Window.partitionBy(*by) if by else Window.partitionBy()
+
+
 def roc_running_counts(df: DataFrame, label: str = "label", score: str = "score",
                        by: Sequence[str] = ()) -> DataFrame:
     """Per distinct score, positives / negatives at or above it (descending order).
@@ -102,7 +106,7 @@ def roc_running_counts(df: DataFrame, label: str = "label", score: str = "score"
     # descending score order = ascending order of the negated score
     per = per.withColumn("_b", value_bucket(-F.col(score).cast("double")))
     bt = per.groupBy(*by, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
-    wb = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    wb = _win(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     bt = bt.select(*by, "_b", F.coalesce(F.sum("_bp").over(wb), F.lit(0)).alias("_op"),
                    F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_on"))
     wi = Window.partitionBy(*by, "_b").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
@@ -117,19 +121,28 @@ def roc_curve_from_scores(df: DataFrame, label: str = "label", score: str = "sco
     """(threshold, fpr, tpr) for every distinct score plus roc_auc.
 
     Trapezoid AUC without a lag: each threshold adds
-    neg_i * (TP_i - pos_i / 2) / (P * N).
+    neg_i * (TP_i - pos_i / 2) / (P * N). Totals per group come from a join on
+    the group keys; without keys they are scalar subqueries (never a join on a
+    constant, which Catalyst would turn into a cartesian product).
     """
     by = list(by)
-    keyed = by or ["_all"]
-    d = df if by else df.withColumn("_all", F.lit(0))
-    rc = roc_running_counts(d, label, score, keyed)
-    tot = rc.groupBy(*keyed).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"),
-                                 F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0)).alias("_area"))
-    return rc.join(tot, keyed).select(
+    rc = roc_running_counts(df, label, score, by)
+    area_term = F.col("neg") * (F.col("tp") - F.col("pos") / 2.0)
+    if by:
+        tot = rc.groupBy(*by).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"),
+                                  F.sum(area_term).alias("_area"))
+        j = rc.join(tot, by)
+        P, N, area = F.col("_P"), F.col("_N"), F.col("_area")
+    else:
+        j = rc
+        P = rc.agg(F.sum("pos")).scalar()
+        N = rc.agg(F.sum("neg")).scalar()
+        area = rc.agg(F.sum(area_term)).scalar()
+    return j.select(
         *by, F.col(score).cast("double").alias("threshold"),
-        F.try_divide(F.col("fp").cast("double"), F.col("_N")).alias("fpr"),
-        F.try_divide(F.col("tp").cast("double"), F.col("_P")).alias("tpr"),
-        F.try_divide(F.col("_area"), (F.col("_P") * F.col("_N")).cast("double")).alias("roc_auc"))
+        F.try_divide(F.col("fp").cast("double"), N.cast("double")).alias("fpr"),
+        F.try_divide(F.col("tp").cast("double"), P.cast("double")).alias("tpr"),
+        F.try_divide(area, (P * N).cast("double")).alias("roc_auc"))
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
