@@ -5,6 +5,13 @@ import pytest
 import __spark_entry__ as E
 
 
+@pytest.fixture(autouse=True)
+def _no_cached_plans(spark):
+    """Other modules cache the readings view; cached plans would replace the scans."""
+    spark.catalog.clearCache()
+    yield
+
+
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
