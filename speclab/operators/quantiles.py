@@ -58,26 +58,6 @@ def _bucket_offsets(vc: DataFrame, keys: list[str], value: str, bucket_fn=value_
                      F.sum("_bcnt").over(Window.partitionBy(*keys)).alias("n"))
 
 
-def rows_at_ranks(vc: DataFrame, keys: Sequence[str], value: str, ranks: DataFrame,
-                  bucket_fn=value_bucket) -> DataFrame:
-    """For a table ``ranks(keys..., rank)`` of 0-based ranks, return
-    ``(keys..., rank, value)``: the value at that rank in sorted order.
-    ``vc`` holds (keys, value, cnt); raw rows work with cnt = 1."""
-    keys = list(keys)
-    offs = _bucket_offsets(vc, keys, value, bucket_fn)
-    inb = (F.col("_boff") <= F.col("rank")) & (F.col("rank") < F.col("_boff") + F.col("_bcnt"))
-    tb = ranks.join(offs, keys).where(inb).select(*keys, "rank", "_b", "_boff")
-    open_b = tb.select(*keys, "_b", "_boff").distinct()
-    cand = vc.withColumn("_b", bucket_fn(F.col(value))).join(open_b, keys + ["_b"])
-    w = Window.partitionBy(*keys, "_b").orderBy(value)
-    ranked = cand.withColumn(
-        "_r0", F.col("_boff") + F.coalesce(F.sum("cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                                           F.lit(0)))
-    hit = (F.col("_r0") <= F.col("rank")) & (F.col("rank") < F.col("_r0") + F.col("cnt"))
-    return (ranked.join(tb.select(*keys, "_b", "rank"), keys + ["_b"]).where(hit)
-                  .select(*keys, "rank", value))
-
-
 def rank_of(df: DataFrame, keys: Sequence[str], value: str, bucket_fn=value_bucket) -> DataFrame:
     """Every row plus ``_rank``: its 0-based position by ``value`` inside its key
     (ties broken arbitrarily but consistently). One shuffle, by (key, bucket)."""
