@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from speclab.llm import html_text, simhash, token_count
+from speclab.llm import html_text, language, simhash, token_count, toxicity
 from speclab.llm.common import table
 
 QUERIES = {}
@@ -31,3 +32,21 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+HELD_OUT = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 4 = 2, false)"
+LEARNABLE = "crc32(cast(cast(doc_id as string) as binary)) % 4 != 2"
+
+
+@_query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = language.train(docs.where(LEARNABLE))
+    return language.identify(docs, net).select("doc_id", F.expr(HELD_OUT).alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(LEARNABLE))
+    return toxicity.score(docs, model).select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", "predicted", "spans")
