@@ -2,10 +2,11 @@
 
 Labels mark documents, so tokens of the training sample are labelled first: in
 a toxic document, a word whose document frequency is much higher among toxic than among
-clean documents is toxic; every token of a clean document is clean. Near copies count
+clean documents is toxic, and so is a word whose stem (first letters) has that excess;
+every token of a clean document is clean. Near copies count
 once, so a copied document does not make its words toxic.
 
-The field has two tags, emission weights for words and word endings and one weight for each pair
+The field has two tags, emission weights for words, stems and word endings and one weight for each pair
 of neighbouring tags. Chains end at line ends and after ``CHAIN`` tokens. Forward-backward
 marginals give each token's probability; a logistic layer over a document's marginals gives
 its score, and tokens whose marginal reaches ``SPAN_AT`` are its offending spans.
@@ -29,6 +30,9 @@ FIT_BYTES = 1 << 15          # longer documents are not drawn into the sample (t
 CHAINS_PER_CLASS = 15000     # chains with and without toxic tokens the field is fitted on
 COPY_BITS = 10               # sampled documents this close count once
 SPAN_AT = 0.5
+STEMS = (4, 5)               # letters of the stems a word is known by, if it is longer
+LEAST_SHARE = 0.005          # of the toxic documents, that a toxic word or stem stands in
+EXCESS = 8                   # times its share of the clean documents
 QUIET = 0.05                 # marginals below this say nothing about the document
 MEMORY = 1 << 19             # distinct tokens a worker remembers
 THRESHOLD = 0.3
@@ -40,16 +44,20 @@ def _line_chains(text: str) -> list[list[str]]:
             for i in range(0, len(w), CHAIN)]
 
 
+def _features(word: str) -> list[str]:
+    """What the field knows of a lower-case word: itself, its stems, its ending."""
+    return [f"w {word}", *(f"s {word[:n]}" for n in STEMS if len(word) > n), f"e {word[-3:]}"]
+
+
 class _Emissions(dict):
     """Emission weight of a token, filled in as tokens are met."""
 
-    def __init__(self, word: dict, ending: dict, bias: float):
+    def __init__(self, weight: dict, bias: float):
         super().__init__()
-        self.word, self.ending, self.bias = word, ending, bias
+        self.weight, self.bias = weight, bias
 
     def __missing__(self, token):
-        low = token.lower()
-        value = self.bias + self.word.get(low, 0.0) + self.ending.get(low[-3:], 0.0)
+        value = self.bias + sum(self.weight.get(f, 0.0) for f in _features(token.lower()))
         if len(self) < MEMORY:
             self[token] = value
         return value
@@ -86,12 +94,12 @@ def marginals(emission: np.ndarray, size: np.ndarray, t: np.ndarray, pairs: bool
     a, b = fwd[at - 1], emission[at] + back[at]
     joint = np.stack([np.zeros(len(at)) + t[0, 0], b + t[0, 1], a + t[1, 0], a + b + t[1, 1]])
     joint = np.exp(joint - joint.max(0))
-    return p, (joint / joint.sum(0)).sum(1).reshape(2, 2), at
+    return p, (joint / joint.sum(0)).sum(1).reshape(2, 2)
 
 
 class ToxicityModel:
-    def __init__(self, word: dict, ending: dict, bias: float, pair: np.ndarray, layer: np.ndarray):
-        self.word, self.ending, self.bias, self.pair, self.layer = word, ending, bias, pair, layer
+    def __init__(self, weight: dict, bias: float, pair: np.ndarray, layer: np.ndarray):
+        self.weight, self.bias, self.pair, self.layer = weight, bias, pair, layer
         self.cache = None
 
     def __getstate__(self):
@@ -100,7 +108,7 @@ class ToxicityModel:
     def tag(self, texts: list[str | None]) -> list[np.ndarray]:
         """Marginals of each text's tokens, in order."""
         if self.cache is None:
-            self.cache = _Emissions(self.word, self.ending, self.bias)
+            self.cache = _Emissions(self.weight, self.bias)
         chains = [_line_chains(t or "") for t in texts]
         size = np.array([len(c) for cs in chains for c in cs], np.int64)
         get = self.cache.__getitem__
@@ -143,60 +151,62 @@ def fit(texts: list[str], toxic: list[int]) -> ToxicityModel:
     chains = [_line_chains(t) for t in texts]
     seen: dict[str, list[int]] = {}
     for cs, y in zip(chains, toxic):
-        for w in {w.lower() for c in cs for w in c}:
-            seen.setdefault(w, [0, 0])[y] += 1
+        for f in {f for w in {w.lower() for c in cs for w in c} for f in _features(w)[:-1]}:
+            seen.setdefault(f, [0, 0])[y] += 1
     # smoothed ratio of document frequencies; a rare word proves nothing
-    bad = {w for w, (b, a) in seen.items()
-           if a >= max(3, 0.02 * n1) and (a + 0.5) / (n1 + 1) > 8 * (b + 0.5) / (n0 + 1)}
+    bad = {f for f, (b, a) in seen.items()
+           if a >= max(3, LEAST_SHARE * n1) and (a + 0.5) / (n1 + 1) > EXCESS * (b + 0.5) / (n0 + 1)}
     rng = np.random.default_rng(5)
     rows: list[tuple[list[str], list[int]]] = []
     for cs, y in zip(chains, toxic):
         for c in cs:
             low = [w.lower() for w in c]
-            rows.append((low, [int(bool(y) and w in bad) for w in low]))
+            rows.append((low, [int(bool(y) and not bad.isdisjoint(_features(w)[:-1])) for w in low]))
     hot = [i for i, (_, t) in enumerate(rows) if any(t)]
     cold = [i for i, (_, t) in enumerate(rows) if not any(t)]
     pick = sorted([*rng.permutation(hot)[:CHAINS_PER_CLASS].tolist(), *rng.permutation(cold)[:CHAINS_PER_CLASS].tolist()])
-    word, ending, bias, pair = _fit_field([rows[i] for i in pick])
-    model = ToxicityModel(word, ending, bias, pair, np.zeros(3))
+    model = ToxicityModel(*_fit_field([rows[i] for i in pick]), np.zeros(3))
     x = np.array([_document(p) for p in model.tag(texts)]).reshape(-1, 3)
     model.layer = _fit_layer(x, toxic)
     return model
 
 
 def _fit_field(rows, rounds: int = 60, rate: float = 0.3, ridge: float = 2e-4):
-    """Adam on the mean log-likelihood of the tagged chains."""
+    """Adam on the mean log-likelihood of the tagged chains: feature weights, bias, pair weights."""
     words = sorted({w for c, _ in rows for w in c})
-    ends = sorted({w[-3:] for w in words})
-    at_word, at_end = {w: i for i, w in enumerate(words)}, {w: i for i, w in enumerate(ends)}
+    known = [_features(w) for w in words]
+    names = sorted({f for fs in known for f in fs})
+    at_word, at_name = {w: i for i, w in enumerate(words)}, {f: i for i, f in enumerate(names)}
     size = np.array([len(c) for c, _ in rows], np.int64)
     x = np.array([at_word[w] for c, _ in rows for w in c], np.int64)
-    z = np.array([at_end[w[-3:]] for w in words], np.int64)[x] if len(x) else x
     y = np.array([t for _, ts in rows for t in ts], np.int64)
-    params = [np.zeros(len(words)), np.zeros(len(ends)), np.full(1, -3.0), np.zeros(4)]
     if not len(x):
-        return {}, {}, -3.0, np.zeros((2, 2))
+        return {}, -3.0, np.zeros((2, 2))
+    # words by their features, flat: a word's weight is the sum of its features'
+    owner = np.repeat(np.arange(len(words)), [len(fs) for fs in known])
+    feature = np.array([at_name[f] for fs in known for f in fs], np.int64)
     inner = np.ones(len(x), bool)
     inner[np.cumsum(size) - size] = False
     at = np.flatnonzero(inner)
     seen_pairs = np.bincount(2 * y[at - 1] + y[at], minlength=4)
+    params = [np.zeros(len(names)), np.full(1, -3.0), np.zeros(4)]
     first, second = [np.zeros_like(q) for q in params], [np.zeros_like(q) for q in params]
     for step in range(1, rounds + 1):
-        w, s, b, t = params
-        p, pairs, _ = marginals(w[x] + s[z] + b[0], size, t.reshape(2, 2), pairs=True)
+        w, b, t = params
+        weight = np.bincount(owner, w[feature], len(words))
+        p, pairs = marginals(weight[x] + b[0], size, t.reshape(2, 2), pairs=True)
         err = (y - p) / len(rows)
-        grads = [np.bincount(x, err, len(words)) - ridge * w, np.bincount(z, err, len(ends)) - ridge * s,
-                 np.array([err.sum()]), (seen_pairs - pairs.ravel()) / len(rows)]
+        by_word = np.bincount(x, err, len(words))
+        grads = [np.bincount(feature, by_word[owner], len(names)) - ridge * w, np.array([err.sum()]),
+                 (seen_pairs - pairs.ravel()) / len(rows)]
         for q, g, m, v in zip(params, grads, first, second):
             m *= 0.9
             m += 0.1 * g
             v *= 0.999
             v += 0.001 * g * g
             q += rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
-    w, s, b, t = params
-    loud = np.abs(w) > 0.05
-    return ({k: float(v) for k, v, l in zip(words, w, loud) if l}, dict(zip(ends, map(float, s))), float(b[0]),
-            t.reshape(2, 2))
+    w, b, t = params
+    return {f: float(v) for f, v in zip(names, w) if abs(v) > 0.05}, float(b[0]), t.reshape(2, 2)
 
 
 def _fit_layer(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1e-2) -> np.ndarray:
