@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speclab.llm import html_text, language, simhash, token_count, toxicity
+from speclab.llm import html_text, language, mixing, sharding, simhash, token_count, toxicity
 from speclab.llm.common import table
 
 QUERIES = {}
@@ -50,3 +50,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(LEARNABLE))
     return toxicity.score(docs, model).select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", "predicted", "spans")
+
+
+@_query
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    return sharding.shard(docs.select("doc_id", "text", n_bytes)).drop("text")
+
+
+ORACLE["op4_sharding"] = sharding.ORACLE
+
+
+@_query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op6_mixing"] = mixing.ORACLE
