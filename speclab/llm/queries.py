@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speclab.llm import html_text, language, mixing, sharding, simhash, token_count, toxicity
+from speclab.llm import decontaminate, html_text, language, mixing, sharding, simhash, token_count, toxicity
 from speclab.llm.common import table
 
 QUERIES = {}
@@ -68,3 +68,13 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op6_mixing"] = mixing.ORACLE
+
+
+@_query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items",
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+ORACLE["op9_decontamination"] = decontaminate.ORACLE
