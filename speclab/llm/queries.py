@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speclab.llm import decontaminate, html_text, language, mixing, sharding, simhash, token_count, toxicity
+from speclab.llm import decontaminate, html_text, language, mixing, sharding, simhash, token_count, topk, toxicity
 from speclab.llm.common import table
 
 QUERIES = {}
@@ -78,3 +78,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op9_decontamination"] = decontaminate.ORACLE
+
+
+@_query
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, queries="id % 50 = 0")
+
+
+ORACLE["op2_exact_topk"] = topk.ORACLE
