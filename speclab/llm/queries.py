@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speclab.llm import decontaminate, html_text, language, mixing, sharding, simhash, token_count, topk, toxicity
+from speclab.llm import decontaminate, html_text, language, mixing, passages, sharding, simhash, token_count, topk, toxicity
 from speclab.llm.common import table
 
 QUERIES = {}
@@ -86,3 +86,8 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op2_exact_topk"] = topk.ORACLE
+
+
+@_query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.duplicate_passages(table(spark, sf_dir, "documents"))
