@@ -78,4 +78,16 @@ def cut_lineage(df):
     base = ensure_checkpoint_dir(spark)
     path = os.path.join(base, "speclab-tables", uuid.uuid4().hex)
     df.write.mode("overwrite").parquet(path)
+    release_at_exit(spark, path)
     return spark.read.parquet(path)
+
+
+def release_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system delete ``path`` when the application ends.
+
+    Results are lazy, so a written intermediate table is needed until then; nothing
+    is left in the shared folder afterwards.
+    """
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
