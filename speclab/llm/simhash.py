@@ -230,3 +230,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_fp = cut_lineage(member.join(least, "root").select("fp", "component_id"))
     return own.join(by_fp, "fp").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
+    """The rows of ``docs`` whose id is its near-duplicate group's smallest, all their columns.
+
+    Rows repeated whole and other rows with that id are reduced to one; rows with a null id are kept, as
+    they cannot be told apart from the group's other members.
+    """
+    groups = near_duplicates(docs, id_col, text_col, shingle, radius)
+    first = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("sh_first")).distinct()
+    named = docs.where(docs[id_col].isNotNull())
+    kept = named.join(first, named[id_col] == F.col("sh_first"), "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.where(docs[id_col].isNull()))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speclab.llm.common import map_texts, type_of
+from speclab.llm.common import bounded_batches, map_texts, type_of
 from speclab.llm.simhash import fingerprint
 
 CHAIN = 128                  # tokens of a chain at most
@@ -272,3 +272,21 @@ def score(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id",
 
     return map_texts(docs, id_col, text_col, [], f"`{id_col}` {type_of(docs, id_col)}, score double, predicted int, "
                      "spans array<struct<start:int,end:int>>", make)
+
+
+def keep_clean(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` scored below ``threshold``, all their columns, without a join back."""
+    if model is None:
+        return docs
+    bounded_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            keep = []
+            for i in range(0, len(texts), 256):
+                keep += [model.score(p) < threshold for p in model.tag(texts[i:i + 256])]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
