@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from speclab.operators.quantiles import value_bucket
+from speclab.operators.quantiles import ranged
+from speclab.session import cut_lineage
 
 CLASSES = (0, 1)
 
@@ -96,20 +97,20 @@ def roc_running_counts(df: DataFrame, label: str = "label", score: str = "score"
                        by: Sequence[str] = ()) -> DataFrame:
     """Per distinct score, positives / negatives at or above it (descending order).
 
-    Pre-aggregate per score (partial aggregation), then running sums: bucket
-    totals give each bucket's start, and a window partitioned by (by, bucket)
-    finishes inside the bucket.
+    Pre-aggregate per score (partial aggregation), then running sums: range
+    totals give each range's start, and a window partitioned by (by, range)
+    finishes inside the range.
     """
     by = list(by)
     per = df.groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("pos"),
                                      F.count_if(F.col(label) != 1).alias("neg"))
-    # descending score order = ascending order of the negated score
-    per = per.withColumn("_b", value_bucket(-F.col(score).cast("double")))
+    # descending score order = ascending order of the negated score; ranges follow the scores
+    per = ranged(per.withColumn("_neg", -F.col(score).cast("double")), by, ["_neg"])
     bt = per.groupBy(*by, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
     wb = _win(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     bt = bt.select(*by, "_b", F.coalesce(F.sum("_bp").over(wb), F.lit(0)).alias("_op"),
                    F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_on"))
-    wi = Window.partitionBy(*by, "_b").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    wi = Window.partitionBy(*by, "_b").orderBy("_neg").rowsBetween(Window.unboundedPreceding, 0)
     return (per.join(bt, by + ["_b"])
                .select(*by, score, "pos", "neg",
                        (F.col("_op") + F.sum("pos").over(wi)).alias("tp"),
@@ -118,28 +119,28 @@ def roc_running_counts(df: DataFrame, label: str = "label", score: str = "score"
 
 def roc_curve_from_scores(df: DataFrame, label: str = "label", score: str = "score",
                           by: Sequence[str] = ()) -> DataFrame:
-    """(threshold, fpr, tpr) for every distinct score plus roc_auc.
+    """(threshold, fpr, tpr) from the origin (threshold infinity) over every distinct score, plus roc_auc.
 
-    Trapezoid AUC without a lag: each threshold adds
-    neg_i * (TP_i - pos_i / 2) / (P * N). Totals per group come from a join on
-    the group keys; without keys they are scalar subqueries (never a join on a
-    constant, which Catalyst would turn into a cartesian product).
+    Trapezoid AUC without a lag: each threshold adds neg_i * (TP_i - pos_i / 2) / (P * N).
+    The per-score running counts are written once; the totals and the curve read that
+    table, so the scored rows are read once.
     """
     by = list(by)
-    rc = roc_running_counts(df, label, score, by)
+    rc = cut_lineage(roc_running_counts(df, label, score, by))
     area_term = F.col("neg") * (F.col("tp") - F.col("pos") / 2.0)
+    tot = cut_lineage(_grouped(rc, by).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"), F.sum(area_term).alias("_area")))
+    points = rc.select(*by, F.col(score).cast("double").alias("threshold"), "tp", "fp")
     if by:
-        tot = rc.groupBy(*by).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"),
-                                  F.sum(area_term).alias("_area"))
-        j = rc.join(tot, by)
+        origin = tot.select(*by, F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"))
+        j = points.unionByName(origin).join(tot, by)
         P, N, area = F.col("_P"), F.col("_N"), F.col("_area")
     else:
-        j = rc
-        P = rc.agg(F.sum("pos")).scalar()
-        N = rc.agg(F.sum("neg")).scalar()
-        area = rc.agg(F.sum(area_term)).scalar()
+        origin = tot.where(F.col("_P").isNotNull()).select(F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("tp"),
+                                                         F.lit(0).cast("long").alias("fp"))
+        j = points.unionByName(origin)
+        P, N, area = (tot.select(c).scalar() for c in ("_P", "_N", "_area"))
     return j.select(
-        *by, F.col(score).cast("double").alias("threshold"),
+        *by, "threshold",
         F.try_divide(F.col("fp").cast("double"), N.cast("double")).alias("fpr"),
         F.try_divide(F.col("tp").cast("double"), P.cast("double")).alias("tpr"),
         F.try_divide(area, (P * N).cast("double")).alias("roc_auc"))

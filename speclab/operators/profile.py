@@ -18,10 +18,10 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from speclab.functions.scalar import coerce_numeric, round2
-from speclab.operators.quantiles import mode_from_counts, quantiles_wide, value_counts_by
-from speclab.session import cut_lineage
+from speclab.operators.quantiles import mode_from_counts, quantiles_wide, ranged, value_counts_by
 
 FLOATS = (T.DoubleType, T.FloatType)
+DISTINCT_BATCH = 6          # columns counted in one aggregate
 
 
 def _is_float(df: DataFrame, c: str) -> bool:
@@ -84,54 +84,62 @@ def _as_text_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Non-null distinct count per column, NaN not counted (pandas ``nunique``).
 
-    One aggregate with a ``count_distinct`` per column: Spark expands each row
-    once per column and runs a two-phase (partial + final) aggregation, so a
-    value shared by a third of the rows collapses map-side. Measured faster
-    than an unpivot + two groupBys at 22 columns (11 s vs 15 s at sf0.1).
+    Columns are counted in batches of ``DISTINCT_BATCH``: Spark expands each row once
+    per counted column, so one aggregate over k columns would write k x k cells a row.
+    Inside a batch the aggregation is two-phase (partial + final), so a value shared by
+    a third of the rows collapses map-side.
     """
     cols = list(columns or df.columns)
-    if not cols:
-        return df.sparkSession.createDataFrame([], "column_name string, n_distinct long")
-    wide = df.agg(*[F.count_distinct(_nan_to_null(df, c)).alias(f"_d{i}") for i, c in enumerate(cols)])
-    stack = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"_d{i}").cast("long").alias("n_distinct"))
-                                for i, c in enumerate(cols)]))
-    return wide.select(stack.alias("p")).select("p.*")
+    out = df.sparkSession.createDataFrame([], "column_name string, n_distinct long")
+    for at in range(0, len(cols), DISTINCT_BATCH):
+        part = cols[at:at + DISTINCT_BATCH]
+        wide = df.agg(*[F.count_distinct(_nan_to_null(df, c)).alias(f"_d{i}") for i, c in enumerate(part)])
+        stack = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"_d{i}").cast("long").alias("n_distinct"))
+                                    for i, c in enumerate(part)]))
+        out = out.unionByName(wide.select(stack.alias("p")).select("p.*"))
+    return out
 
 
-def constant_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """D3: columns with exactly one distinct non-null value, and that value (as text)."""
-    cols = list(columns or df.columns)
-    pairs = _as_text_long(df, cols).where(F.col("value").isNotNull()).dropDuplicates(["column_name", "value"])
-    return (pairs.groupBy("column_name")
-                 .agg(F.count(F.lit(1)).alias("n_distinct"), F.min("value").alias("value"))
-                 .where(F.col("n_distinct") == 1)
-                 .select("column_name", "value"))
+def first_distinct(df: DataFrame, columns: Sequence[str], k: int) -> dict[str, list]:
+    """Up to ``k`` smallest distinct non-null values of each column, by ``k`` narrow aggregates.
 
+    Each pass asks every unfinished column for its least value above the last one: a
+    partial aggregate of one row a task, no shuffle of values, exact at any cardinality.
+    """
+    found: dict[str, list] = {c: [] for c in columns}
+    open_ = list(columns)
+    for _ in range(k):
+        if not open_:
+            break
+        aggs = []
+        for i, c in enumerate(open_):
+            v = _nan_to_null(df, c)
+            aggs.append(F.min(F.when(v > F.lit(found[c][-1]).cast(df.schema[c].dataType), v) if found[c] else v).alias(f"_m{i}"))
+        row = df.agg(*aggs).first()
+        least = {c: row[f"_m{i}"] for i, c in enumerate(open_)}
+        open_ = [c for c in open_ if least[c] is not None]
+        for c in open_:
+            found[c].append(least[c])
+    return found
 
-# A HyperLogLog++ estimate is exact in practice for tiny cardinalities (linear
-# counting), so a column estimated at or above this bound surely has more than a
-# handful of distinct values; only the columns below it need an exact count.
-SKETCH_SCREEN = 50
 
+def constant_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """D3: columns with exactly one distinct non-null value, and that value (as text).
 
-def low_cardinality_candidates(df: DataFrame, columns: Sequence[str], bound: int = SKETCH_SCREEN) -> list[str]:
-    """Columns whose sketch estimate is below ``bound``: one pass of mergeable
-    sketches (a few KB per column), no shuffle of the values themselves."""
-    cols = list(columns)
+    One aggregate: a column is constant when its least and greatest value agree. No row is shuffled."""
+    cols = list(columns or df.columns)
     if not cols:
-        return []
-    est = df.agg(*[F.approx_count_distinct(_nan_to_null(df, c)).alias(c) for c in cols]).first().asDict()
-    return [c for c in cols if est[c] < bound]
+        return df.sparkSession.createDataFrame([], "column_name string, value string")
+    wide = df.agg(*[f(_nan_to_null(df, c)).alias(f"_{n}{i}") for i, c in enumerate(cols) for n, f in (("lo", F.min), ("hi", F.max))])
+    stack = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.when(F.col(f"_lo{i}") == F.col(f"_hi{i}"), F.col(f"_lo{i}"))
+                                         .cast("string").alias("value")) for i, c in enumerate(cols)]))
+    return wide.select(stack.alias("p")).select("p.*").where(F.col("value").isNotNull())
 
 
 def drop_constant_columns(df: DataFrame, keep: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
-    """Drop the D3 columns. Only k-row results reach the driver.
-
-    Sketches screen out high-cardinality columns first, so the exact
-    (column, value) count only runs on the few low-cardinality ones. Dropping
-    columns cannot make another column constant, so one pass suffices.
-    """
-    cand = low_cardinality_candidates(df, [c for c in df.columns if c not in set(keep)], 10)
+    """Drop the D3 columns. Only k-row results reach the driver; dropping columns
+    cannot make another column constant, so one pass suffices."""
+    cand = [c for c in df.columns if c not in set(keep)]
     found = [r["column_name"] for r in constant_columns(df, cand).collect()] if cand else []
     drop = [c for c in df.columns if c in set(found) and c not in set(keep)]
     return df.drop(*drop), drop
@@ -247,7 +255,7 @@ def numeric_statistics(df: DataFrame, variables: Sequence[str], digits: int | No
     keep their row (unique_count 0, NULL stats), as pandas prints them.
     """
     long = melt_features(df, [], variables)
-    vc = cut_lineage(value_counts_by(long, ["variable"], "value"))
+    vc = ranged(value_counts_by(long, ["variable"], "value"), ["variable"], ["value"])
     mom = _moments(vc, ["variable"])
     med = quantiles_wide(long, ["variable"], "value", {"median": 0.5}, vc=vc)
     mode = mode_from_counts(vc, ["variable"], "value")
@@ -266,7 +274,7 @@ def grouped_statistics(df: DataFrame, id_var: str, variables: Sequence[str], dig
     """Melt, coerce, drop NULL, then min / max / mean / median by (id_var, variable)."""
     long = melt_features(df, [id_var], variables).where(F.col(id_var).isNotNull())
     keys = [id_var, "variable"]
-    vc = cut_lineage(value_counts_by(long, keys, "value"))
+    vc = ranged(value_counts_by(long, keys, "value"), keys, ["value"])
     stats = vc.groupBy(*keys).agg(
         F.min("value").alias("min_value"), F.max("value").alias("max_value"),
         (F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")).alias("mean_value"))
@@ -283,7 +291,7 @@ def boxplot_summary(df: DataFrame, id_var: str, variables: Sequence[str], whiske
     whiskers (most extreme points inside the fences) and the outlier count."""
     long = melt_features(df, [id_var], variables).where(F.col(id_var).isNotNull())
     keys = [id_var, "variable"]
-    vc = cut_lineage(value_counts_by(long, keys, "value"))
+    vc = ranged(value_counts_by(long, keys, "value"), keys, ["value"])
     q = quantiles_wide(long, keys, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, vc=vc)
     q = (q.withColumn("iqr", F.col("q3") - F.col("q1"))
           .withColumn("lower_fence", F.col("q1") - whisker * F.col("iqr"))

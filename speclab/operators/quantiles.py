@@ -7,13 +7,14 @@ one is a straggler or an OOM. Here:
 
 1. ``value_counts_by`` = ``groupBy(keys, value).count()``: map-side partial
    aggregation first, so a hot key or value is collapsed before the shuffle.
-2. Every value gets an order-preserving bucket (256 buckets per power of two,
-   a pure function of the value, so every evaluation agrees).
-   Per-(key, bucket) totals are a small frame; a running sum over it gives each
-   bucket's starting rank.
-3. Only the buckets that hold a wanted rank are opened: their rows are ranked
-   with a window partitioned by (key, bucket), so a group that holds a third of
-   all rows is still split over its many buckets.
+2. The counts are dealt into value ranges by Spark's range partitioner on (keys,
+   value): its boundaries follow the data, so readings in a narrow band, or a hot
+   key, spread over as many ranges as their rows ask for. The range number is
+   written with the rows (one evaluation, so a lost executor cannot number them
+   differently). Per-(key, range) totals are a small frame - one row a range -
+   and a running sum over it gives each range's starting rank.
+3. Only the ranges that hold a wanted rank are opened: their rows are ranked
+   with a window partitioned by (key, range).
 4. All joins are between a big side and a small derived table; Catalyst / AQE
    broadcast the small side only once it is measured small.
 
@@ -29,16 +30,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_PER_OCTAVE = 256
-_SHIFT = 600_000  # > 256 * 1075, keeps positive and negative buckets apart
+from speclab.session import cut_lineage
 
 
-def value_bucket(v: Column) -> Column:
-    """Monotone bucket of a double: v1 <= v2 implies bucket(v1) <= bucket(v2)."""
-    lg = F.floor(F.log2(F.abs(v)) * _PER_OCTAVE).cast("long")
-    return (F.when(v > 0, lg + _SHIFT)
-             .when(v < 0, -(lg + _SHIFT))
-             .otherwise(F.lit(0).cast("long")))
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], ranges: int | None = None) -> DataFrame:
+    """``df`` with ``_b``: the number of the value range of each row, ascending by ``order`` inside
+    a key. ``order`` must tell any two rows of a key apart for the ranges to be even."""
+    spark = df.sparkSession
+    n = ranges or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return cut_lineage(df.repartitionByRange(n, *keys, *order).withColumn("_b", F.spark_partition_id()))
 
 
 def value_counts_by(df: DataFrame, keys: Sequence[str], value: str, count_col: str = "cnt") -> DataFrame:
@@ -48,9 +48,9 @@ def value_counts_by(df: DataFrame, keys: Sequence[str], value: str, count_col: s
               .agg(F.count(F.lit(1)).alias(count_col)))
 
 
-def _bucket_offsets(vc: DataFrame, keys: list[str], value: str, bucket_fn=value_bucket) -> DataFrame:
-    bt = (vc.withColumn("_b", bucket_fn(F.col(value)))
-            .groupBy(*keys, "_b").agg(F.sum("cnt").alias("_bcnt")))
+def _range_offsets(vc: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows and starting rank of every (key, range), and the key's size."""
+    bt = vc.groupBy(*keys, "_b").agg(F.sum("cnt").alias("_bcnt"))
     w = Window.partitionBy(*keys).orderBy("_b")
     return bt.select(*keys, "_b", "_bcnt",
                      F.coalesce(F.sum("_bcnt").over(w.rowsBetween(Window.unboundedPreceding, -1)),
@@ -58,31 +58,30 @@ def _bucket_offsets(vc: DataFrame, keys: list[str], value: str, bucket_fn=value_
                      F.sum("_bcnt").over(Window.partitionBy(*keys)).alias("n"))
 
 
-def rank_of(df: DataFrame, keys: Sequence[str], value: str, bucket_fn=value_bucket) -> DataFrame:
-    """Every row plus ``_rank``: its 0-based position by ``value`` inside its key
-    (ties broken arbitrarily but consistently). One shuffle, by (key, bucket)."""
+def rank_of(df: DataFrame, keys: Sequence[str], value: str, tie: str, ranges: int | None = None) -> DataFrame:
+    """Every row plus ``_rank``: its 0-based position by (value, tie) inside its key."""
     keys = list(keys)
-    counted = df.withColumn("cnt", F.lit(1).cast("long")) if "cnt" not in df.columns else df
-    offs = _bucket_offsets(counted.select(*keys, value, "cnt"), keys, value, bucket_fn) \
-        .select(*keys, "_b", "_boff")
-    w = Window.partitionBy(*keys, "_b").orderBy(value)
-    return (df.withColumn("_b", bucket_fn(F.col(value))).join(offs, keys + ["_b"])
-              .withColumn("_rank", F.col("_boff") + F.row_number().over(w) - 1)
-              .drop("_b", "_boff"))
+    rows = ranged(df, keys, [value, tie], ranges)
+    offs = _range_offsets(rows.withColumn("cnt", F.lit(1).cast("long")), keys).select(*keys, "_b", "_boff")
+    w = Window.partitionBy(*keys, "_b").orderBy(value, tie)
+    return (rows.join(offs, keys + ["_b"])
+                .withColumn("_rank", F.col("_boff") + F.row_number().over(w) - 1)
+                .drop("_b", "_boff"))
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
                     vc: DataFrame | None = None) -> DataFrame:
     """(keys, prob, quantile) with linear interpolation; exact, distributed.
 
-    The wanted ranks are computed row-wise on the small bucket-offset table
-    (it carries the group size), which also says which buckets to open; the
-    value counts are joined to those few buckets only and ranked inside them.
+    The wanted ranks are computed row-wise on the small range-offset table
+    (it carries the group size), which also says which ranges to open; the
+    value counts are joined to those few ranges only and ranked inside them.
     """
     keys = list(keys)
     if vc is None:
         vc = value_counts_by(df, keys, value)
-    offs = _bucket_offsets(vc, keys, value)
+    vc = ranged(vc, keys, [value]) if "_b" not in vc.columns else vc
+    offs = _range_offsets(vc, keys)
     pos = (F.col("n") - 1) * F.col("prob")
     in_b = lambda r: (F.col("_boff") <= r) & (r < F.col("_boff") + F.col("_bcnt"))
     tb = (offs.select(*keys, "_b", "_boff", "_bcnt", "n",
@@ -91,7 +90,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
                       F.ceil(pos).cast("long").alias("r_hi"), (pos - F.floor(pos)).alias("frac"))
               .where(in_b(F.col("r_lo")) | in_b(F.col("r_hi")))
               .drop("_bcnt"))
-    cand = vc.withColumn("_b", value_bucket(F.col(value))).join(tb, keys + ["_b"])
+    cand = vc.join(tb, keys + ["_b"])
     w = Window.partitionBy(*keys, "prob", "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     r0 = F.col("_boff") + F.coalesce(F.sum("cnt").over(w), F.lit(0))
     ranked = cand.withColumn("_r0", r0)

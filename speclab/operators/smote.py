@@ -92,7 +92,7 @@ def nearest_neighbours(points: DataFrame, features: Sequence[str], key: str = "r
     var = pts.agg(*[F.var_pop(f).alias(f) for f in feats]).first().asDict()
     axis = max(feats, key=lambda f: var[f] if var[f] is not None else -1.0)
     positions = positions.withColumn("_s", F.col(axis)).withColumn("_w", F.least(F.col("_c"), F.lit(m)))
-    positions = cut_lineage(rank_of(positions, [g], "_s"))
+    positions = cut_lineage(rank_of(positions, [g], "_s", tie=feats[0]))
     sparse = positions.where(F.col("_c") < m).withColumn("_need", F.lit(m) - F.col("_c"))
 
     def side(df, pre, extra):
@@ -163,11 +163,12 @@ def smote_oversample(df: DataFrame, features: Sequence[str], label: str = "label
                      split_col: str = "split", splits: Sequence[str] = ("train",), k: int = K_NEIGHBOURS,
                      seed: int = 42) -> DataFrame:
     """Per chosen split, synthesise minority rows until both classes have the
-    majority count; other splits pass through unchanged."""
+    majority count; other splits pass through unchanged. The result has one more
+    column, ``synthetic``."""
     feats = list(features)
     # the input is usually the end of a long split lineage: store it once (reliable
     # checkpoint) so the neighbour search and the synthesis read stored rows
-    df = cut_lineage(df)
+    df = cut_lineage(df.withColumn("synthetic", F.lit(False)))
     scope = df.where(F.col(split_col).isin(list(splits)))
     counts = {(r[split_col], r[label]): r["n"]
               for r in scope.groupBy(split_col, label).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -191,8 +192,7 @@ def smote_oversample(df: DataFrame, features: Sequence[str], label: str = "label
     need = df.sparkSession.createDataFrame([(s, int(n), int(m)) for s, _, n, m in plan],
                                            "_grp string, _need long, _m long")
     # spread the needed count evenly: every point makes floor(need/m), the first (need mod m) one more
-    ranked = rank_of(minority.select(key, "_grp", F.xxhash64(F.col(key), F.lit(seed)).cast("double").alias("_h")),
-                     ["_grp"], "_h")
+    ranked = rank_of(minority.select(key, "_grp", F.xxhash64(F.col(key), F.lit(seed)).alias("_h")), ["_grp"], "_h", tie=key)
     reps = (ranked.join(need, "_grp")
                   .withColumn("_c", F.floor(F.col("_need") / F.col("_m")).cast("long") +
                               F.when(F.col("_rank") < F.col("_need") % F.col("_m"), 1).otherwise(0))
@@ -210,7 +210,7 @@ def smote_oversample(df: DataFrame, features: Sequence[str], label: str = "label
                 .select(F.md5(F.concat_ws("|", F.col(key), F.lit("smote"), F.col("_j").cast("string"))).alias(key),
                         *[(F.col("x_" + f) + F.col("_gap") * (F.col("y_" + f) - F.col("x_" + f))).alias(f)
                           for f in feats],
-                        label, split_col))
+                        label, split_col, F.lit(True).alias("synthetic")))
     cols = df.columns
     syn = syn.select(*[F.col(c) if c in syn.columns else F.lit(None).alias(c) for c in cols])
     casted = syn.select(*[F.col(c).cast(df.schema[c].dataType).alias(c) for c in cols])

@@ -24,7 +24,7 @@ from speclab.operators import split as G
 from speclab.plans import oracle_sql as O
 from speclab.plans.fixtures import scored
 from speclab.plans.pipelines import labelled, preprocess
-from speclab.plans.targets import TARGETS
+from speclab.plans.targets import PRODUCT, TARGETS
 from speclab.session import ensure_checkpoint_dir
 from speclab.sources import io as A
 from speclab.sources.readings import readings
@@ -38,7 +38,6 @@ CORR_VARS = ["feed_flow", "heat_temp", "heat_temp_2", "discount", "size", "unit_
 BOX_VARS = ["feed_flow", "heat_temp", "discount", "size"]
 TEXT_VARS = ["batch_source", "method", "swirl", "tax_text", "size"]
 CAT_VARS = ["test_code", "line_status", "swirl", "method", "result_grade"]
-PRODUCT = "Brand#13"
 
 
 def q(name, sql=None):
@@ -55,7 +54,7 @@ _VIEWS: dict = {}
 
 def R(spark, sf):
     """The readings view, built once per session and folder (a lazy plan: no data is cached)."""
-    key = (id(spark), sf)
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _VIEWS:
         _VIEWS[key] = readings(spark, sf)
     return _VIEWS[key]
@@ -125,7 +124,7 @@ def _write_splits(spark, sf):
 
 
 @q("read_split_datasets", O.with_readings(
-    """SELECT row_id, heat_temp, 'val' AS split FROM h WHERE rn <= CAST(ceil(n * 0.2) AS BIGINT)""",
+    """SELECT row_id, heat_temp, CASE WHEN rn <= CAST(ceil(n * 0.2) AS BIGINT) THEN 'val' ELSE 'train' END AS split FROM h""",
     """h AS (SELECT row_id, heat_temp, row_number() OVER (ORDER BY md5(row_id || '|42')) AS rn,
                 count(*) OVER () AS n FROM readings)"""))
 def _read_splits(spark, sf):
@@ -134,7 +133,7 @@ def _read_splits(spark, sf):
                                    "val": s.where("split = 'val'").drop("split")},
                                   scratch_path(spark, "splits2"))
     parts = A.read_split_datasets(spark, path, names=("train", "val"))
-    return parts["val"].select("row_id", "heat_temp", "split")
+    return parts["train"].unionByName(parts["val"]).select("row_id", "heat_temp", "split")
 
 # ------------------------------------------------------------------ B: filters, projections
 
@@ -182,10 +181,10 @@ def _b7(spark, sf):
     return B.unmapped_rows(df, "swirl_code")
 
 
-@q("split_features_label", O.with_lab("t2", "SELECT row_id, label FROM lab"))
+@q("split_features_label", O.with_lab("t2", "SELECT * FROM lab"))
 def _b8(spark, sf):
     x, y = B.split_features_label(lab(spark, sf, "t2"), "label")
-    return y
+    return x.join(y, "row_id")
 
 
 @q("select_by_kind", O.with_readings("SELECT row_id, test_code, line_status, plant FROM readings"))
@@ -611,21 +610,16 @@ GROUP BY col_a, col_b, dof"""
 
 
 def _chi2_sql(cols):
-    return O.with_readings("SELECT col_a, col_b, round(statistic, 6) AS statistic, dof FROM stat",
-                           _chi2_pairs_cte(cols), f"stat AS ({CHI2_STAT_SQL})")
+    """Statistic and dof of every pair; p in its closed form where dof is even (odd dof need the error
+    function, which this SQL lacks: pytest holds those against a published table)."""
+    return O.with_readings("""SELECT col_a, col_b, round(statistic, 6) AS statistic, dof, round(CASE dof WHEN 0 THEN 1.0
+  WHEN 2 THEN exp(-h) WHEN 4 THEN exp(-h) * (1 + h) WHEN 6 THEN exp(-h) * (1 + h + h * h / 2) END, 6) AS p_value
+FROM (SELECT *, statistic / 2 AS h FROM stat)""", _chi2_pairs_cte(cols), f"stat AS ({CHI2_STAT_SQL})")
 
 
-def _chi2_critical(dof: int, alpha: float = 0.05) -> float:
-    """Upper alpha point of the chi-square distribution, by bisection on the
-    same survival function the Spark operator uses for its p-values."""
-    lo, hi = 0.0, 10.0 * (dof + 10)
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        if M._chi2_sf(mid, dof) > alpha:
-            lo = mid
-        else:
-            hi = mid
-    return hi
+# Published upper 5 % points of the chi-square distribution, degrees of freedom 1 to 12.
+CHI2_CRITICAL = (3.841459, 5.991465, 7.814728, 9.487729, 11.070498, 12.591587, 14.067140, 15.507313, 16.918978,
+                 18.307038, 19.675138, 21.026070)
 
 
 def _m6_sql(cols):
@@ -633,7 +627,7 @@ def _m6_sql(cols):
     value of its dof, i.e. p < 0.05) in column order; a recursive CTE removes the
     second column unless either was removed already."""
     pos = " UNION ALL ".join(f"SELECT '{c}' AS col, {i} AS pos" for i, c in enumerate(cols))
-    crit = ", ".join(f"({d}, {_chi2_critical(d)!r})" for d in range(1, 17))
+    crit = ", ".join(f"({d}, {c!r})" for d, c in enumerate(CHI2_CRITICAL, 1))
     ordered = """SELECT a.pos AS pa, b.pos AS pb, s.col_a AS ca, s.col_b AS cb, s.statistic, s.dof FROM stat s
         JOIN cols a ON a.col = s.col_a JOIN cols b ON b.col = s.col_b
       UNION ALL
@@ -656,7 +650,8 @@ WHERE step = (SELECT count(*) FROM sig)""",
 
 @q("chi2_pairwise", _chi2_sql(CAT_VARS))
 def _m5(spark, sf):
-    return r6(M.chi2_pairwise(R(spark, sf), CAT_VARS, with_p=False), ["statistic"])
+    out = M.chi2_pairwise(R(spark, sf), CAT_VARS)
+    return r6(out.withColumn("p_value", F.when(F.col("dof") % 2 == 0, F.col("p_value"))), ["statistic", "p_value"])
 
 
 @q("drop_associated_categoricals", _m6_sql(CAT_VARS))
@@ -735,14 +730,15 @@ def _h8(spark, sf):
 
 
 def _roc_sql(score_expr):
-    return O.with_scored(f"""SELECT threshold, round(fp * 1.0 / nn, 6) AS fpr, round(tp * 1.0 / pp, 6) AS tpr,
-  round(area / (pp * nn * 1.0), 6) AS roc_auc
-FROM (SELECT threshold, tp, fp, sum(pos) OVER () AS pp, sum(neg) OVER () AS nn,
+    curve = f"""(SELECT threshold, tp, fp, sum(pos) OVER () AS pp, sum(neg) OVER () AS nn,
              sum(neg * (tp - pos / 2.0)) OVER () AS area
       FROM (SELECT threshold, pos, neg, sum(pos) OVER (ORDER BY threshold DESC) AS tp,
                    sum(neg) OVER (ORDER BY threshold DESC) AS fp
             FROM (SELECT CAST({score_expr} AS DOUBLE) AS threshold, count(*) FILTER (WHERE label = 1) AS pos,
-                         count(*) FILTER (WHERE label <> 1) AS neg FROM scored GROUP BY 1)))""")
+                         count(*) FILTER (WHERE label <> 1) AS neg FROM scored GROUP BY 1)))"""
+    return O.with_scored(f"""SELECT threshold, round(fp * 1.0 / nn, 6) AS fpr, round(tp * 1.0 / pp, 6) AS tpr,
+  round(area / (pp * nn * 1.0), 6) AS roc_auc
+FROM (SELECT * FROM {curve} UNION ALL SELECT DISTINCT CAST('Infinity' AS DOUBLE), 0, 0, pp, nn, area FROM {curve})""")
 
 
 @q("roc_auc_from_labels", _roc_sql("prediction"))
@@ -819,7 +815,7 @@ _MEMO: dict = {}
 
 
 def _model_data(spark, sf):
-    key = ("data", id(spark), sf)
+    key = ("data", spark.sparkContext.applicationId, sf)
     if key not in _MEMO:
         d = G.split_70_15_15(lab(spark, sf, "t2").select("row_id", *MODEL_VARS, "label"))
         from speclab.session import cut_lineage
@@ -828,7 +824,7 @@ def _model_data(spark, sf):
 
 
 def _model(spark, sf, depth):
-    key = ("tree", id(spark), sf, depth)
+    key = ("tree", spark.sparkContext.applicationId, sf, depth)
     if key not in _MEMO:
         d = _model_data(spark, sf)
         _MEMO[key] = ML.fit_tree(d.where("split = 'train'"), MODEL_VARS, "label", depth)
@@ -836,7 +832,7 @@ def _model(spark, sf, depth):
 
 
 def _grid(spark, sf):
-    key = ("grid", id(spark), sf)
+    key = ("grid", spark.sparkContext.applicationId, sf)
     if key not in _MEMO:
         train = _model_data(spark, sf).where("split = 'train'")
         _MEMO[key] = ML.grid_search(G.stratified_folds(train), MODEL_VARS, "label")
@@ -904,13 +900,13 @@ def _f2(spark, sf):
 @q("save_model")
 def _a7(spark, sf):
     path = A.save_model(_model(spark, sf, TARGETS["t2"].max_depth), scratch_path(spark, "model"))
-    _MEMO[("saved", id(spark), sf)] = path
+    _MEMO[("saved", spark.sparkContext.applicationId, sf)] = path
     return spark.createDataFrame([(path,)], "path string")
 
 
 @q("load_model")
 def _a8(spark, sf):
-    path = _MEMO.get(("saved", id(spark), sf)) or A.save_model(_model(spark, sf, TARGETS["t2"].max_depth),
+    path = _MEMO.get(("saved", spark.sparkContext.applicationId, sf)) or A.save_model(_model(spark, sf, TARGETS["t2"].max_depth),
                                                      scratch_path(spark, "model"))
     return ML.predict_labels(A.load_model(path), _test(spark, sf))
 
@@ -925,26 +921,41 @@ def _h16(spark, sf):
 
 
 def _prep(spark, sf, t):
-    key = ("prep", id(spark), sf, t)
+    key = ("prep", spark.sparkContext.applicationId, sf, t)
     if key not in _MEMO:
         _MEMO[key] = preprocess(spark, sf, TARGETS[t])
     return _MEMO[key]
 
 
 def _pre_sql(t):
-    """T1 / T4 (no SMOTE): rows left after coercion (swirl code and tax present),
-    label, and the exact-size 80 / 20 split over them."""
-    return O.with_lab(t, """SELECT row_id, CAST(label AS INTEGER) AS label,
+    """Every labelled row with its split: 80 / 20 for T1 and T4, 70 / 15 / 15 for the others. The
+    steps are the null rule, code maps, label and split; nothing else removes a row."""
+    if TARGETS[t].split == "80_20":
+        return O.with_lab(t, """SELECT row_id, CAST(label AS INTEGER) AS label,
   CASE WHEN rn <= CAST(ceil(n * 0.2) AS BIGINT) THEN 'val' ELSE 'train' END AS split
-FROM (SELECT row_id, label, row_number() OVER (ORDER BY md5(row_id || '|42')) AS rn, count(*) OVER () AS n
-      FROM lab WHERE swirl IS NOT NULL AND TRY_CAST(tax_text AS DOUBLE) IS NOT NULL AND label IS NOT NULL)""")
+FROM (SELECT row_id, label, row_number() OVER (ORDER BY md5(row_id || '|42')) AS rn, count(*) OVER () AS n FROM lab)""")
+    return O.with_lab(t, f"SELECT row_id, CAST(label AS INTEGER) AS label, split FROM lab JOIN ({SPLIT70_BODY}) USING (row_id)",
+                      SPLIT70_CTE.replace("FROM readings", "FROM lab"))
+
+
+def _balance_sql(t):
+    """Rows of each class and split after balancing train and test."""
+    return O.with_lab(t, f"""SELECT split, CAST(CASE WHEN split = 'val' THEN n_pos ELSE greatest(n_pos, n_neg) END AS BIGINT) AS n_pos,
+  CAST(CASE WHEN split = 'val' THEN n_neg ELSE greatest(n_pos, n_neg) END AS BIGINT) AS n_neg
+FROM (SELECT split, count(*) FILTER (WHERE label = 1) AS n_pos, count(*) FILTER (WHERE label = 0) AS n_neg
+      FROM lab JOIN ({SPLIT70_BODY}) USING (row_id) GROUP BY split)""", SPLIT70_CTE.replace("FROM readings", "FROM lab"))
 
 
 def _reg_pre(t):
-    @q(f"preprocess_{t}", _pre_sql(t) if t in ("t1", "t4") else None)
+    @q(f"preprocess_{t}", _pre_sql(t))
     def _p(spark, sf):
-        return _prep(spark, sf, t).df.select("row_id", "label", "split")
-    return _p
+        """The rows of the input (synthetic rows are counted by ``preprocess_balance``)."""
+        return _prep(spark, sf, t).df.where("not synthetic").select("row_id", F.col("label").cast("int").alias("label"), "split")
+
+    if TARGETS[t].smote:
+        @q(f"preprocess_balance_{t}", _balance_sql(t))
+        def _b(spark, sf):
+            return D.label_balance(_prep(spark, sf, t).df)
 
 
 for _t in ("t1", "t2", "t3", "t4", "t5", "t6"):
@@ -965,13 +976,13 @@ def _p7(spark, sf):
 def _p8(spark, sf):
     from speclab.plans.pipelines import train_report
     rep = train_report(_prep(spark, sf, "t2"), grid=False)
-    _MEMO[("train_report", id(spark), sf)] = rep
+    _MEMO[("train_report", spark.sparkContext.applicationId, sf)] = rep
     return rep["evaluation"]
 
 
 @q("validation_report")
 def _p9(spark, sf):
     from speclab.plans.pipelines import train_report, validation_report
-    rep = _MEMO.get(("train_report", id(spark), sf)) or train_report(_prep(spark, sf, "t2"), grid=False)
+    rep = _MEMO.get(("train_report", spark.sparkContext.applicationId, sf)) or train_report(_prep(spark, sf, "t2"), grid=False)
     return r6(validation_report(rep["best_model"], _prep(spark, sf, "t2"))["classification_report"],
               ["precision", "recall", "f1"])

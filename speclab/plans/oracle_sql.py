@@ -64,7 +64,7 @@ LAB_CTES = {
               WHEN '50% liquid milk + 50% powder' THEN 2 END AS batch_source,
          CASE CAST(result_code AS INTEGER) WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 0 WHEN 3 THEN 0 END AS label
   FROM readings
-  WHERE test_code IN ('A', 'N', 'R') AND method IS NOT NULL AND feed_flow IS NOT NULL
+  WHERE product = 'Brand#13' AND test_code IN ('A', 'N', 'R') AND method IS NOT NULL AND feed_flow IS NOT NULL
     AND batch_source IS NOT NULL AND swirl IS NOT NULL)""",
     "t2": """lab AS (
   SELECT * EXCLUDE (product, order_no, batch_source, method, result_int, result_dbl, result_flow,
@@ -72,14 +72,14 @@ LAB_CTES = {
          CASE swirl WHEN 'SW6' THEN 0 WHEN 'SW5' THEN 1 END AS swirl,
          CASE WHEN CAST(result_int AS INTEGER) IN (0, 1, 2, 3) THEN 1 ELSE 0 END AS label
   FROM readings
-  WHERE test_code IN ('N') AND feed_flow IS NOT NULL AND result_int IS DISTINCT FROM '#')""",
+  WHERE product = 'Brand#13' AND test_code IN ('N') AND feed_flow IS NOT NULL AND result_int IS DISTINCT FROM '#')""",
     "t3": """lab AS (
   SELECT * EXCLUDE (product, order_no, batch_source, method, result_int, result_dbl, result_flow,
                     result_grade, result_code, result_foam, swirl),
          CASE swirl WHEN 'SW6' THEN 0 WHEN 'SW5' THEN 1 END AS swirl,
          CASE WHEN CAST(result_foam AS INTEGER) IN (10, 20) THEN 1 ELSE 0 END AS label
   FROM readings
-  WHERE test_code IN ('R') AND feed_flow IS NOT NULL)""",
+  WHERE product = 'Brand#13' AND test_code IN ('R') AND feed_flow IS NOT NULL)""",
     "t4": """lab AS (
   SELECT * EXCLUDE (product, plant, test_code, result_int, result_dbl, result_flow, result_grade,
                     result_code, result_foam, method, swirl, batch_source),
@@ -90,7 +90,7 @@ LAB_CTES = {
               WHEN '50% liquid milk + 50% powder' THEN 2 END AS batch_source,
          CASE WHEN result_grade = 'A' THEN 1 ELSE 0 END AS label
   FROM readings
-  WHERE test_code IN ('A') AND method IS NOT NULL AND feed_flow IS NOT NULL
+  WHERE product = 'Brand#13' AND test_code IN ('A') AND method IS NOT NULL AND feed_flow IS NOT NULL
     AND batch_source IS NOT NULL AND swirl IS NOT NULL AND result_grade IS DISTINCT FROM '#')""",
     "t5": """lab AS (
   SELECT * EXCLUDE (product, order_no, batch_source, method, result_int, result_dbl, result_flow,
@@ -98,14 +98,14 @@ LAB_CTES = {
          CASE swirl WHEN 'SW6' THEN 0 WHEN 'SW5' THEN 1 END AS swirl,
          CASE WHEN CAST(result_dbl AS DOUBLE) BETWEEN 0.49 AND 0.51 THEN 1 ELSE 0 END AS label
   FROM readings
-  WHERE test_code IN ('N') AND feed_flow IS NOT NULL)""",
+  WHERE product = 'Brand#13' AND test_code IN ('N') AND feed_flow IS NOT NULL)""",
     "t6": """lab AS (
   SELECT * EXCLUDE (product, order_no, batch_source, method, result_int, result_dbl, result_flow,
                     result_grade, result_code, result_foam, swirl),
          CASE swirl WHEN 'SW6' THEN 0 WHEN 'SW5' THEN 1 END AS swirl,
          CASE WHEN result_grade IN ('A+', 'A-') THEN 1 ELSE 0 END AS label
   FROM readings
-  WHERE test_code IN ('R') AND feed_flow IS NOT NULL)""",
+  WHERE product = 'Brand#13' AND test_code IN ('R') AND feed_flow IS NOT NULL)""",
 }
 
 

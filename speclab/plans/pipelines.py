@@ -2,17 +2,15 @@
 
 Stage 01 (preprocess) is one lazy chain; the driver only receives k-row
 metadata (constant columns, column kinds, correlations, chi-square results) to
-choose the next ``select``. The cleaned frame is persisted for those metadata
-passes and the final keyed frame (features, label, split) is checkpointed to the
-reliable checkpoint folder before model work, so lost executors recompute from
-stored data, not from the whole lineage.
+choose the next ``select``. The cleaned frame and the final keyed frame
+(features, label, split) are written to the shared checkpoint folder, so lost
+executors recompute from stored data, not from the whole lineage.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +21,7 @@ from speclab.operators import models as ML
 from speclab.operators import profile as D
 from speclab.operators import select as M
 from speclab.operators import split as G
-from speclab.plans.targets import RESULT_COLUMNS, TargetSpec
+from speclab.plans.targets import MISSING, RESULT_COLUMNS, TargetSpec
 from speclab.session import cut_lineage
 from speclab.sources.readings import readings
 
@@ -64,10 +62,11 @@ def labelled(rd: DataFrame, spec: TargetSpec, drop_constants: bool = True) -> tu
 
 
 def select_features(df: DataFrame, spec: TargetSpec) -> tuple[DataFrame, list[str], dict]:
-    """M7 -> M3 -> M4 -> M5/M6, then every feature made numeric (coerce), columns
-    with no numeric value at all are dropped, rows with a missing feature too."""
+    """M7 -> M3 -> M4 -> M5/M6 on the columns; every row stays."""
     rep: dict = {}
     feats = [c for c in df.columns if c not in (KEY, LABEL)]
+    if not spec.use_corr and not spec.use_chi2:
+        return df, feats, rep                       # T1, T4: no typing, no selection
     kinds = M.kinds_of(df, feats)
     rep["kinds"] = kinds
     df = M.apply_kinds(df, kinds, keep=[KEY, LABEL])
@@ -81,35 +80,56 @@ def select_features(df: DataFrame, spec: TargetSpec) -> tuple[DataFrame, list[st
         cats = [c for c in df.columns if kinds.get(c) == "category"]
         df, r6 = M.drop_associated_categoricals(df, cats)
         rep["chi2_dropped"] = [r["column_name"] for r in r6.collect()]
-    feats = [c for c in df.columns if c not in (KEY, LABEL)]
-    df = df.select(KEY, *[S.coerce_numeric(F.col(c).cast("string")).cast("double").alias(c) for c in feats],
-                   F.col(LABEL).cast("int").alias(LABEL))
-    nn = df.agg(*[F.count(c).alias(c) for c in feats]).first().asDict()
+    return df, [c for c in df.columns if c not in (KEY, LABEL)], rep
+
+
+def coerce_features(df: DataFrame, feats: list[str]) -> tuple[DataFrame, list[str], dict]:
+    """Every feature numeric (dirt -> NULL) in every split; a column without any numeric value is
+    dropped. No row is: the report counts the rows of each split with a missing feature."""
+    others = [c for c in df.columns if c not in feats]
+    df = df.select(*others, *[S.coerce_numeric(F.col(c).cast("string")).cast("double").alias(c) for c in feats])
+    df = df.withColumn(LABEL, F.col(LABEL).cast("int"))
+    nn = df.agg(*[F.count(c).alias(c) for c in feats]).first().asDict() if feats else {}
     empty = [c for c in feats if not nn[c]]
-    rep["non_numeric_dropped"] = empty
     feats = [c for c in feats if c not in empty]
-    df = df.select(KEY, *feats, LABEL).na.drop(subset=feats + [LABEL])
-    return df, feats, rep
+    df = df.drop(*empty)
+    return df, feats, {"non_numeric_dropped": empty}
 
 
 def preprocess(spark: SparkSession, sf_dir: str, spec: TargetSpec, rd: DataFrame | None = None,
-               checkpoint: bool = True, smote_k: int = 5) -> Prepared:
-    """Stage 01 end to end -> keyed frame with ``split``."""
+               smote_k: int = 5) -> Prepared:
+    """Stage 01 end to end -> keyed frame with ``split`` (and ``synthetic``).
+
+    T1 / T4: labelled rows are split as they are. The others select columns, split, coerce, and
+    balance train and test; the validation split keeps every row. ``report["rows"]``:
+    rows after each step and, by split, rows with a missing feature.
+    """
     rd = rd if rd is not None else readings(spark, sf_dir)
     df, rep = labelled(rd, spec)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        sel, feats, rep2 = select_features(df, spec)
-        rep.update(rep2)
-        split = G.split_80_20(sel) if spec.split == "80_20" else G.split_70_15_15(sel)
-        if spec.smote:
-            from speclab.operators.smote import smote_oversample
-            split = smote_oversample(split, feats, LABEL, splits=spec.balance_splits, k=smote_k)
-        out = cut_lineage(split) if checkpoint else split
-    finally:
-        if checkpoint:
-            df.unpersist()
-    return Prepared(spec, out, feats, rep)
+    df = cut_lineage(df)          # the metadata passes and the result read this table
+    rep["rows"] = {"labelled": df.count()}
+    if "swirl" in df.columns:
+        rep["rows"]["unmapped_swirl"] = B.unmapped_rows(df, "swirl").count()
+    sel, feats, rep2 = select_features(df, spec)
+    rep.update(rep2)
+    out = G.split_80_20(sel, KEY) if spec.split == "80_20" else G.split_70_15_15(sel, KEY)
+    if spec.smote:
+        out, feats, rep3 = coerce_features(out, feats)
+        rep.update(rep3)
+        if feats:
+            gap = F.greatest(*[F.col(c).isNull() for c in feats]) if len(feats) > 1 else F.col(feats[0]).isNull()
+            rep["rows"]["missing_feature"] = {r["split"]: r["n"] for r in
+                                              out.where(gap).groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
+            if spec.missing == "drop":
+                out = out.where(~(gap & F.col("split").isin(list(spec.balance_splits))))
+        from speclab.operators.smote import smote_oversample
+        filled = out.select(*[c for c in out.columns if c not in feats],
+                            *[F.coalesce(F.col(c), F.when(F.col("split").isin(list(spec.balance_splits)), F.lit(MISSING))).alias(c)
+                              for c in feats])
+        out = smote_oversample(filled, feats, LABEL, splits=spec.balance_splits, k=smote_k)
+    else:
+        out = out.withColumn("synthetic", F.lit(False))
+    return Prepared(spec, cut_lineage(out), feats, rep)
 
 
 def descriptive_report(df: DataFrame, variables: list[str], label: str = LABEL) -> dict[str, DataFrame]:

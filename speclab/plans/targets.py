@@ -16,6 +16,9 @@ from speclab.functions import scalar as S
 
 RESULT_COLUMNS = ("result_int", "result_dbl", "result_flow", "result_grade", "result_code", "result_foam")
 
+PRODUCT = "Brand#13"          # the one product (SKU) every stage is restricted to
+MISSING = -1.0                # what a missing numeric feature is to a model: below every reading
+
 # Column groups of the readings view standing in for the
 # reference's drop lists (descriptors and identifiers that are not features).
 DROP_SHORT = ("product",)                                        # T1, T4
@@ -29,7 +32,7 @@ class TargetSpec:
     name: str
     result_col: str
     tests: tuple[str, ...]
-    product: str | None = None
+    product: str | None = PRODUCT
     drop_cols: tuple[str, ...] = DROP_LONG
     known_constants: tuple[str, ...] = ()
     null_rule: str = "any"                      # "any" or "subset"
@@ -45,6 +48,9 @@ class TargetSpec:
     smote: bool = True
     balance_splits: tuple[str, ...] = ("train", "test")
     max_depth: int | None = None                # depth of the limited tree (H2)
+    # rows with a missing feature after coercion: "keep" leaves every row in its split (balancing and
+    # training see the value MISSING), "drop" removes them from the balanced splits; both are counted
+    missing: str = "keep"
     extra: dict = field(default_factory=dict)
 
     def label_expr(self, c: Column) -> Column:
