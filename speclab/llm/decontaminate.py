@@ -100,15 +100,17 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, text_col: str = "text"
     prints = None
     for m in [WINDOW, *short]:
         part = own.where(F.size("words") == m)
-        part = _with_minima(part).select(F.explode("least").alias("print")) if m == WINDOW else \
+        part = _with_minima(part).select(F.explode_outer("least").alias("print")) if m == WINDOW else \
             _with_grams(part, m).select(F.element_at(f"g{m}", 1).alias("print"))
         prints = part if prints is None else prints.unionByName(part)
     prints = cut_lineage(prints.distinct())
 
+    # explode_outer, not explode: for the latter the optimizer adds a filter on the array's size and pushes
+    # it below the projections, where each array's definition is written out twice in the next
     text = F.coalesce(docs[text_col], F.lit(""))
     slim = docs.select(text.alias("t"))
     every = _with_prints(slim.select(F.xxhash64("t").alias("text_hash"), _words(F.col("t")).alias("words")), short)
-    met = cut_lineage(every.select("text_hash", F.explode("prints").alias("print")).join(prints, "print")
+    met = cut_lineage(every.select("text_hash", F.explode_outer("prints").alias("print")).join(prints, "print")
                       .groupBy("text_hash").agg(F.collect_set("print").alias("met")))
 
     # extension: windows around the met fingerprints, texts once each
@@ -120,11 +122,11 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, text_col: str = "text"
     size = F.size("words")
     hits = None
     for m in [WINDOW, *short]:
-        part = (found.where(size >= m).select("mark", "words", F.explode(_starts(K if m == WINDOW else m, m)).alias("at"))
+        part = (found.where(size >= m).select("mark", "words", F.explode_outer(_starts(K if m == WINDOW else m, m)).alias("at"))
                 .select("mark", "at", F.lit(m).alias("m"), F.array_join(F.slice("words", F.col("at") + 1, m), " ").alias("window")))
         hits = part if hits is None else hits.unionByName(part)
     # a window that many items share is one hit; its items are joined to distinct (text, window) rows
-    hits = cut_lineage(hits.join(windows.select("window").distinct(), "window", "left_semi"))
+    hits = cut_lineage(hits.where("window is not null").join(windows.select("window").distinct(), "window", "left_semi"))
     covered = F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("at", "m")), lambda x: F.sequence(
         x["at"], x["at"] + x["m"] - 1))))
     n_hit = hits.groupBy("mark").agg(F.size(covered).cast("long").alias("n_hit"))
