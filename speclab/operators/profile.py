@@ -247,19 +247,32 @@ def _moments(vc: DataFrame, keys: Sequence[str], value: str = "value") -> DataFr
                  .drop("ss"))
 
 
-def numeric_statistics(df: DataFrame, variables: Sequence[str], digits: int | None = 2) -> DataFrame:
+def label_value_counts(df: DataFrame, id_var: str, variables: Sequence[str]) -> DataFrame:
+    """(id_var, variable, value, cnt) of every variable, dealt into value ranges and written: the one
+    pass that the statistics, grouped statistics, box plot and class tables of a report share."""
+    long = melt_features(df, [id_var], variables)
+    keys = [id_var, "variable"]
+    return ranged(value_counts_by(long, keys, "value"), keys, ["value"])
+
+
+def numeric_statistics(df: DataFrame | None, variables: Sequence[str], digits: int | None = 2,
+                       counts: DataFrame | None = None) -> DataFrame:
     """Per variable Unique_Count, Min, Max, Mean, Median, Mode, SD, Var (2 dp).
 
     One unpivot, one pre-aggregated shuffle into value counts; moments, mode and
     median are all derived from those counts. Variables that coerce to all-NULL
-    keep their row (unique_count 0, NULL stats), as pandas prints them.
+    keep their row (unique_count 0, NULL stats), as pandas prints them. ``counts``: a
+    ``label_value_counts`` table to derive everything from instead of reading ``df``.
     """
-    long = melt_features(df, [], variables)
-    vc = ranged(value_counts_by(long, ["variable"], "value"), ["variable"], ["value"])
+    if counts is None:
+        vc = value_counts_by(melt_features(df, [], variables), ["variable"], "value")
+    else:
+        vc = counts.groupBy("variable", "value").agg(F.sum("cnt").alias("cnt"))
+    vc = ranged(vc, ["variable"], ["value"])
     mom = _moments(vc, ["variable"])
-    med = quantiles_wide(long, ["variable"], "value", {"median": 0.5}, vc=vc)
+    med = quantiles_wide(None, ["variable"], "value", {"median": 0.5}, vc=vc)
     mode = mode_from_counts(vc, ["variable"], "value")
-    names = _names_frame(df.sparkSession, variables)
+    names = _names_frame(vc.sparkSession, variables)
     out = (names.join(mom, "variable", "left").join(med, "variable", "left").join(mode, "variable", "left"))
     r = (lambda c: round2(c, digits)) if digits is not None else (lambda c: c)
     return out.select(
@@ -270,15 +283,15 @@ def numeric_statistics(df: DataFrame, variables: Sequence[str], digits: int | No
         r(F.col("sd")).alias("sd"), r(F.col("var")).alias("var"))
 
 
-def grouped_statistics(df: DataFrame, id_var: str, variables: Sequence[str], digits: int | None = 2) -> DataFrame:
+def grouped_statistics(df: DataFrame | None, id_var: str, variables: Sequence[str], digits: int | None = 2,
+                       counts: DataFrame | None = None) -> DataFrame:
     """Melt, coerce, drop NULL, then min / max / mean / median by (id_var, variable)."""
-    long = melt_features(df, [id_var], variables).where(F.col(id_var).isNotNull())
     keys = [id_var, "variable"]
-    vc = ranged(value_counts_by(long, keys, "value"), keys, ["value"])
+    vc = (counts if counts is not None else label_value_counts(df, id_var, variables)).where(F.col(id_var).isNotNull())
     stats = vc.groupBy(*keys).agg(
         F.min("value").alias("min_value"), F.max("value").alias("max_value"),
         (F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")).alias("mean_value"))
-    med = quantiles_wide(long, keys, "value", {"median_value": 0.5}, vc=vc)
+    med = quantiles_wide(None, keys, "value", {"median_value": 0.5}, vc=vc)
     out = stats.join(med, keys)
     r = (lambda c: round2(c, digits)) if digits is not None else (lambda c: c)
     return out.select(*keys, *[r(F.col(c)).alias(c) for c in
@@ -286,13 +299,12 @@ def grouped_statistics(df: DataFrame, id_var: str, variables: Sequence[str], dig
 
 
 def boxplot_summary(df: DataFrame, id_var: str, variables: Sequence[str], whisker: float = 1.5,
-                    digits: int | None = 6) -> DataFrame:
+                    digits: int | None = 6, counts: DataFrame | None = None) -> DataFrame:
     """What a box plot draws per (id_var, variable): quartiles, IQR fences,
     whiskers (most extreme points inside the fences) and the outlier count."""
-    long = melt_features(df, [id_var], variables).where(F.col(id_var).isNotNull())
     keys = [id_var, "variable"]
-    vc = ranged(value_counts_by(long, keys, "value"), keys, ["value"])
-    q = quantiles_wide(long, keys, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, vc=vc)
+    vc = (counts if counts is not None else label_value_counts(df, id_var, variables)).where(F.col(id_var).isNotNull())
+    q = quantiles_wide(None, keys, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, vc=vc)
     q = (q.withColumn("iqr", F.col("q3") - F.col("q1"))
           .withColumn("lower_fence", F.col("q1") - whisker * F.col("iqr"))
           .withColumn("upper_fence", F.col("q3") + whisker * F.col("iqr")))

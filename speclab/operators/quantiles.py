@@ -69,7 +69,7 @@ def rank_of(df: DataFrame, keys: Sequence[str], value: str, tie: str, ranges: in
                 .drop("_b", "_boff"))
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
+def exact_quantiles(df: DataFrame | None, keys: Sequence[str], value: str, probs: Sequence[float],
                     vc: DataFrame | None = None) -> DataFrame:
     """(keys, prob, quantile) with linear interpolation; exact, distributed.
 
@@ -103,7 +103,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
                       (F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))).alias("quantile"))
 
 
-def quantiles_wide(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
+def quantiles_wide(df: DataFrame | None, keys: Sequence[str], value: str, probs: dict[str, float],
                    vc: DataFrame | None = None) -> DataFrame:
     """One row per key with one column per named probability."""
     q = exact_quantiles(df, keys, value, list(probs.values()), vc=vc)

@@ -8,15 +8,14 @@ weighted by their multiplicity:
    and the k+1 smallest keys of each position (two-level salted top-k, so a
    position holding a third of the rows is never one task). A position with
    more than k points has all its neighbours among its own copies.
-2. Only the remaining (sparse) positions search: each gets a projection ``s``
-   on the feature with the largest variance and a rank by ``s`` (distributed
-   rank lookup). An upper bound ``ub`` on the distance that covers k+1 points
-   (weighted) comes from its own and the two adjacent rank blocks.
-3. Exact pass: any true neighbour q satisfies |s_q - s_p| <= ub_p. Positions
-   are bucketed by ``s``, each sparse position asks for the buckets its band
-   covers (``sequence`` + ``explode``), and the band is joined on the bucket
-   id. Its candidate list is its own copies (distance 0) plus the band's
-   positions' smallest keys, top k+1 by (distance, key).
+2. Positions are dealt into cells by a tree of median cuts over all features,
+   fitted on a bounded sample (``SAMPLE_POSITIONS``): about ``CELL_POSITIONS``
+   positions a cell, at most ``MAX_CELLS`` cells. The cells' bounding boxes are a
+   table of at most that many rows.
+3. Every sparse position looks for its k+1 nearest points in its own cell, which
+   bounds their distance, and then visits only the cells whose box comes within that
+   bound; the box of a far cell rules it out whole. Exact: a nearer point lies in
+   a box at most that far away. Visits per position do not grow with the number of cells.
 4. Every point joins its position's list (k+1 rows), drops itself and keeps k.
 
 Oversampling: the minority of each chosen split is raised to the majority
@@ -31,6 +30,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,19 +40,10 @@ from speclab.operators.quantiles import rank_of
 from speclab.session import cut_lineage
 
 K_NEIGHBOURS = 5
-
-
-def _sqdist(feats: Sequence[str], a: str = "p_", b: str = "q_"):
-    expr = None
-    for f in feats:
-        t = (F.col(a + f) - F.col(b + f)) * (F.col(a + f) - F.col(b + f))
-        expr = t if expr is None else expr + t
-    return expr
-
-
-def _prefixed(df: DataFrame, key: str, feats: Sequence[str], pre: str, extra: Sequence[str] = ()):
-    return df.select(F.col(key).alias(pre + "key"), *[F.col(f).alias(pre + f) for f in feats],
-                     *[F.col(e).alias(pre + e) for e in extra])
+CELL_POSITIONS = 512         # positions of a cell, on average
+MAX_CELLS = 1 << 14
+SAMPLE_POSITIONS = 1 << 17
+ASK_PARTS = 4                # blocks the askers of a cell are dealt into
 
 
 SALT = 64   # sub-groups for the two-level top-k inside one position
@@ -71,88 +63,188 @@ def _smallest_keys(pts: DataFrame, pos_cols: list[str], key: str, m: int) -> Dat
                 .select(*pos_cols, F.col(key).alias("q_key"), "_kr"))
 
 
+class _Cells:
+    """A tree of median cuts over a sample of positions: cell numbers for any positions."""
+
+    def __init__(self, sample: np.ndarray, n: int):
+        self.axis: list[int] = []          # of each inner node; -1 in a leaf
+        self.cut: list[float] = []
+        self.child: list[tuple[int, int]] = []
+        want = max(1, min(MAX_CELLS, -(-n // CELL_POSITIONS)))
+        self.leaves = 0
+        self._grow(sample, max(1, len(sample) // want))
+
+    def _grow(self, rows: np.ndarray, least: int) -> int:
+        at = len(self.axis)
+        self.axis.append(-1)
+        self.cut.append(0.0)
+        self.child.append((0, 0))
+        spread = np.ptp(rows, axis=0) if len(rows) else np.zeros(1)
+        axis = int(spread.argmax())
+        cut = float(np.median(rows[:, axis])) if len(rows) > least else 0.0
+        left = rows[:, axis] < cut if len(rows) > least else np.zeros(0, bool)
+        if len(rows) <= least or not left.any():
+            self.child[at] = (self.leaves, -1)
+            self.leaves += 1
+            return at
+        self.axis[at], self.cut[at] = axis, cut
+        self.child[at] = (self._grow(rows[left], least), self._grow(rows[~left], least))
+        return at
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        axis, cut, child = np.array(self.axis), np.array(self.cut), np.array(self.child)
+        node = np.zeros(len(x), np.int64)
+        while True:
+            inner = np.flatnonzero(axis[node] >= 0)
+            if not len(inner):
+                return child[node, 0]
+            a = axis[node[inner]]
+            node[inner] = child[node[inner], (x[inner, a] >= cut[node[inner]]).astype(int)]
+
+
+def _columns(batch, names) -> np.ndarray:
+    """Feature columns of a batch as a matrix."""
+    return np.stack([np.asarray(batch.column(batch.schema.get_field_index(f)).to_numpy(zero_copy_only=False), float)
+                     for f in names], axis=1) if batch.num_rows else np.zeros((0, len(names)))
+
+
+def _nearest_in_cell(px, pid, limit, qx, qid, qkey, qw, m, weighted: bool):
+    """For each asking position its nearest other positions of one cell: the first ``m`` by (distance,
+    smallest key), not beyond ``limit``. With ``weighted`` also the distance within which ``need`` points lie."""
+    rank = np.argsort(np.argsort(qkey, kind="stable"), kind="stable")
+    out_p, out_q, out_d = [], [], []
+    bound = np.full(len(px), np.inf)
+    rows = max(1, (1 << 22) // max(1, len(qx)))
+    for at in range(0, len(px), rows):
+        part = px[at:at + rows]
+        d2 = np.zeros((len(part), len(qx)))
+        for f in range(px.shape[1]):                 # summed feature by feature, as the SQL form sums
+            d2 += (part[:, f, None] - qx[None, :, f]) * (part[:, f, None] - qx[None, :, f])
+        d2[pid[at:at + rows, None] == qid[None, :]] = np.inf
+        for i in range(len(part)):
+            row = d2[i]
+            near = np.flatnonzero(row <= limit[at + i])
+            near = near[np.isfinite(row[near])]
+            if len(near) > m:
+                near = near[row[near] <= np.partition(row[near], m - 1)[m - 1]]
+            near = near[np.lexsort((rank[near], row[near]))][:m]
+            if weighted:
+                enough = np.flatnonzero(np.cumsum(qw[near]) >= m)
+                if len(enough):
+                    bound[at + i] = row[near[enough[0]]]
+            out_p.append(np.full(len(near), pid[at + i]))
+            out_q.append(qid[near])
+            out_d.append(row[near])
+    empty = np.zeros(0, np.int64)
+    return (np.concatenate(out_p) if out_p else empty, np.concatenate(out_q) if out_q else empty,
+            np.concatenate(out_d) if out_d else np.zeros(0), bound)
+
+
 def nearest_neighbours(points: DataFrame, features: Sequence[str], key: str = "row_id",
                        k: int = K_NEIGHBOURS, group: str | None = None) -> DataFrame:
     """(group, row_id, nn_rank 1..k, nn_row_id, distance) - exact, per group,
-    ties broken by the neighbour's key.
+    ties broken by the neighbour's key. Features must not be null.
 
     Works on distinct positions (feature vectors) weighted by multiplicity, so
     duplicated points - discrete features, or one vector holding a third of the
     rows - never turn into all pairs: a position with more than k points finds
     all its neighbours among its own copies at distance 0 and needs no search.
     """
+    spark = points.sparkSession
     feats = list(features)
     g = group or "_grp"
-    pts = points if group else points.withColumn("_grp", F.lit(0))
-    pts = pts.select(key, g, *[F.col(f).cast("double").alias(f) for f in feats])
+    pts = points if group else points.withColumn("_grp", F.lit("all"))
+    pts = pts.select(F.col(key), F.col(g).cast("string").alias(g), *[F.col(f).cast("double").alias(f) for f in feats])
     pos_cols = [g] + feats
     m = k + 1                                       # enough for any point once itself is removed
     small = cut_lineage(_smallest_keys(pts, pos_cols, key, m))
-    positions = pts.groupBy(*pos_cols).agg(F.count(F.lit(1)).alias("_c"))
-    var = pts.agg(*[F.var_pop(f).alias(f) for f in feats]).first().asDict()
-    axis = max(feats, key=lambda f: var[f] if var[f] is not None else -1.0)
-    positions = positions.withColumn("_s", F.col(axis)).withColumn("_w", F.least(F.col("_c"), F.lit(m)))
-    positions = cut_lineage(rank_of(positions, [g], "_s", tie=feats[0]))
-    sparse = positions.where(F.col("_c") < m).withColumn("_need", F.lit(m) - F.col("_c"))
-
-    def side(df, pre, extra):
-        return df.select(*[F.col(c).alias(pre + c) for c in pos_cols + extra])
-
-    def d2():
-        return _sqdist(feats, "p_", "q_")
-
-    same_pos = None
-    for c in pos_cols:
-        e = F.col("p_" + c).eqNullSafe(F.col("q_" + c))
-        same_pos = e if same_pos is None else same_pos & e
-
-    # pass 1 (sparse positions only): weighted bound from the adjacent rank blocks
-    blk = lambda c: F.floor(F.col(c) / F.lit(m)).cast("long")
-    p1 = side(sparse, "p_", ["_rank", "_need"]).withColumn("_qb", F.explode(F.array(
-        blk("p__rank") - 1, blk("p__rank"), blk("p__rank") + 1)))
-    q1 = side(positions, "q_", ["_rank", "_w"]).withColumn("_blk", blk("q__rank"))
-    near = (p1.join(q1, (F.col("p_" + g) == F.col("q_" + g)) & (F.col("_qb") == F.col("_blk")))
-              .where(~same_pos).withColumn("_d2", d2()))
-    pkey = ["p_" + c for c in pos_cols]
-    wcum = Window.partitionBy(*pkey).orderBy("_d2").rowsBetween(Window.unboundedPreceding, 0)
-    ub = (near.withColumn("_cw", F.sum("q__w").over(wcum))
-              .groupBy(*pkey).agg(F.min(F.when(F.col("_cw") >= F.col("p__need"), F.col("_d2"))).alias("_ub2")))
-    span = positions.groupBy(g).agg((F.max("_s") - F.min("_s")).alias("_span"))
-    bound = (side(sparse, "p_", ["_s"]).join(ub, pkey, "left")
-             .join(span.withColumnRenamed(g, "p_" + g), "p_" + g)
-             .withColumn("_ub", F.coalesce(F.sqrt("_ub2"), F.col("_span"))))
-    bound = cut_lineage(bound)
-    width = bound.where(F.col("_ub") > 0).agg(F.percentile_approx("_ub", 0.5).alias("w")).first()["w"]
-    width = float(width) if width and width > 0 else 1.0
-
-    # pass 2: exact band of other positions around each sparse position
-    cell = lambda c: F.floor(c / F.lit(width)).cast("long")
-    p2 = bound.withColumn("_cell", F.explode(F.sequence(cell(F.col("p__s") - F.col("_ub")),
-                                                        cell(F.col("p__s") + F.col("_ub")))))
-    q2 = side(positions, "q_", ["_s"]).withColumn("_qcell", cell(F.col("q__s")))
-    band = (p2.join(q2, (F.col("p_" + g) == F.col("q_" + g)) & (F.col("_cell") == F.col("_qcell")))
-              .where(~same_pos & (F.abs(F.col("p__s") - F.col("q__s")) <= F.col("_ub")))
-              .withColumn("_d2", d2())
-              # a pass-1 bound also bounds the full distance; the span fallback
-              # (group too small to reach k+1 points) only bounds the projection
-              .where(F.col("_ub2").isNull() | (F.col("_d2") <= F.col("_ub2"))))
-    qsmall = small.select(*[F.col(c).alias("q_" + c) for c in pos_cols], "q_key")
-    others = band.join(qsmall, ["q_" + c for c in pos_cols]).select(*pkey, "q_key", "_d2")
-    own = small.select(*[F.col(c).alias("p_" + c) for c in pos_cols], "q_key", F.lit(0.0).alias("_d2"))
-    # candidate list per position: its own copies at 0 plus the band, top m by (distance, key)
-    wl = Window.partitionBy(*pkey).orderBy("_d2", "q_key")
-    lists = (own.unionByName(others).withColumn("_lr", F.row_number().over(wl))
-                .where(F.col("_lr") <= m).drop("_lr"))
+    positions = cut_lineage(
+        pts.groupBy(*pos_cols).agg(F.count(F.lit(1)).alias("_c"), F.min(key).alias("_key"))
+           .withColumn("_w", F.least(F.col("_c"), F.lit(m))).withColumn("_pid", F.monotonically_increasing_id()))
+    n = positions.count()
+    # a bounded sample, spread over all features alike by scaling nothing: the cuts only steer the work
+    sample = positions.orderBy(F.xxhash64(*pos_cols)).limit(SAMPLE_POSITIONS).select(*feats).toArrow()
+    cells = _Cells(np.stack([sample.column(f).to_numpy() for f in feats], axis=1), n)
+
+    def place(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells.of(_columns(b, feats)))], names=[*b.schema.names, "_cell"])
+
+    schema = positions.schema.simpleString()[len("struct<"):-1]
+    placed = cut_lineage(positions.mapInArrow(place, schema + ",_cell:bigint"))
+    boxes = placed.groupBy(g, "_cell").agg(*[x for f in feats for x in (F.min(f).alias(f"lo_{f}"), F.max(f).alias(f"hi_{f}"))]).toArrow()
+
+    def own_cell(group_rows):
+        x, pid = _columns_of(group_rows, feats), group_rows.column("_pid").to_numpy()
+        w, c = group_rows.column("_w").to_numpy(), group_rows.column("_c").to_numpy()
+        keys = np.array(group_rows.column("_key").to_pylist())
+        asks = np.flatnonzero(c < m)
+        p, q, d, bound = _nearest_in_cell(x[asks], pid[asks], np.full(len(asks), np.inf), x, pid, keys, w, m, True)
+        return asks, p, q, d, bound
+
+    def search_own(rows):
+        asks, p, q, d, _ = own_cell(rows)
+        return pa.table({"_pid": pa.array(p, pa.int64()), "_qid": pa.array(q, pa.int64()), "_d2": pa.array(d, pa.float64())})
+
+    def visits(rows):
+        """(cell, position, limit): the other cells each position must look into."""
+        asks, _, _, _, bound = own_cell(rows)
+        x, pid = _columns_of(rows, feats)[asks], rows.column("_pid").to_numpy()[asks]
+        name, home = rows.column(g)[0].as_py(), rows.column("_cell")[0].as_py()
+        same = np.array([v == name for v in boxes.column(g).to_pylist()]) & (boxes.column("_cell").to_numpy() != home)
+        lo = np.stack([boxes.column(f"lo_{f}").to_numpy()[same] for f in feats], axis=1)
+        hi = np.stack([boxes.column(f"hi_{f}").to_numpy()[same] for f in feats], axis=1)
+        number = boxes.column("_cell").to_numpy()[same]
+        out_c, out_i = [], []
+        for i in range(len(asks)):
+            gap = np.maximum(0.0, np.maximum(lo - x[i], x[i] - hi))
+            hit = np.flatnonzero((gap * gap).sum(1) <= bound[i] * (1 + 1e-9))
+            out_c.append(number[hit])
+            out_i.append(np.full(len(hit), i))
+        c = np.concatenate(out_c) if out_c else np.zeros(0, np.int64)
+        i = np.concatenate(out_i) if out_i else np.zeros(0, np.int64)
+        return pa.table({g: pa.array([name] * len(c), pa.string()), "_cell": pa.array(c, pa.int64()), "_pid": pa.array(pid[i], pa.int64()),
+                         "_limit": pa.array(bound[i], pa.float64()),
+                         **{f: pa.array(x[i, j], pa.float64()) for j, f in enumerate(feats)}})
+
+    near = placed.groupBy(g, "_cell").applyInArrow(lambda rows: search_own(rows), "_pid long, _qid long, _d2 double")
+    ask = cut_lineage(placed.groupBy(g, "_cell").applyInArrow(
+        lambda rows: visits(rows), f"{g} string, _cell long, _pid long, _limit double, " + ", ".join(f"`{f}` double" for f in feats)))
+    # a cell asked by many positions is looked into by blocks of askers
+    ask = ask.withColumn("_part", F.pmod(F.xxhash64("_pid"), F.lit(ASK_PARTS)))
+    there = placed.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ASK_PARTS - 1).cast("long"))))
+
+    def search_there(left, right):
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"_pid": pa.array([], pa.int64()), "_qid": pa.array([], pa.int64()), "_d2": pa.array([], pa.float64())})
+        p, q, d, _ = _nearest_in_cell(_columns_of(left, feats), left.column("_pid").to_numpy(), left.column("_limit").to_numpy(),
+                                      _columns_of(right, feats), right.column("_pid").to_numpy(),
+                                      np.array(right.column("_key").to_pylist()), right.column("_w").to_numpy(), m, False)
+        return pa.table({"_pid": pa.array(p, pa.int64()), "_qid": pa.array(q, pa.int64()), "_d2": pa.array(d, pa.float64())})
+
+    far = (ask.groupBy(g, "_cell", "_part").cogroup(there.groupBy(g, "_cell", "_part"))
+           .applyInArrow(lambda left, right: search_there(left, right), "_pid long, _qid long, _d2 double"))
+    found = cut_lineage(near.unionByName(far))
+
+    # candidate list per position: its own copies at 0 plus the found positions' keys, top m by (distance, key)
+    keys = cut_lineage(small.join(positions.select(*pos_cols, "_pid"), pos_cols).select("_pid", "q_key"))
+    others = found.join(keys.select(F.col("_pid").alias("_qid"), "q_key"), "_qid").select("_pid", "q_key", "_d2")
+    wl = Window.partitionBy("_pid").orderBy("_d2", "q_key")
+    lists = (keys.withColumn("_d2", F.lit(0.0)).unionByName(others).withColumn("_lr", F.row_number().over(wl))
+                 .where(F.col("_lr") <= m).drop("_lr"))
     # every point takes its position's list, minus itself, first k
-    me = pts.select(*[F.col(c).alias("p_" + c) for c in pos_cols], F.col(key).alias("p_key"))
+    me = pts.join(positions.select(*pos_cols, "_pid"), pos_cols).select(g, F.col(key).alias("p_key"), "_pid")
     wp = Window.partitionBy("p_key").orderBy("_d2", "q_key")
-    top = (me.join(lists, pkey).where(F.col("q_key") != F.col("p_key"))
+    top = (me.join(lists, "_pid").where(F.col("q_key") != F.col("p_key"))
              .withColumn("nn_rank", F.row_number().over(wp)).where(F.col("nn_rank") <= k))
-    out = top.select(F.col("p_" + g).alias(g), F.col("p_key").alias(key), "nn_rank",
-                     F.col("q_key").alias("nn_" + key), F.sqrt("_d2").alias("distance"))
+    out = top.select(g, F.col("p_key").alias(key), "nn_rank", F.col("q_key").alias("nn_" + key), F.sqrt("_d2").alias("distance"))
     return out if group else out.drop("_grp")
 
 
+def _columns_of(table: pa.Table, names) -> np.ndarray:
+    return np.stack([table.column(f).to_numpy() for f in names], axis=1) if table.num_rows else np.zeros((0, len(names)))
+
+
 def _u01(*cols):
     """Seeded uniform in [0, 1) from md5 of the given columns."""
     h = F.md5(F.concat_ws("|", *[c.cast("string") for c in cols]))

@@ -261,11 +261,12 @@ def _d5(spark, sf):
     return D.value_counts(R(spark, sf), "result_grade")
 
 
-CLASS_DIST_T5 = O.with_lab("t5", """SELECT label, CAST(count(*) AS BIGINT) AS n,
-  round(count(*) * 100.0 / sum(count(*)) OVER (), 1) AS pct FROM lab GROUP BY label""")
+def _class_sql(t):
+    return O.with_lab(t, """SELECT label, CAST(count(*) AS BIGINT) AS n,
+  round(count(*) * 100.0 / sum(count(*)) OVER (), 1) AS pct FROM lab WHERE label IS NOT NULL GROUP BY label""")
 
 
-@q("class_distribution", CLASS_DIST_T5)
+@q("class_distribution", _class_sql("t5"))
 def _d6(spark, sf):
     return D.class_distribution(lab(spark, sf, "t5"))
 
@@ -306,14 +307,15 @@ def _d10(spark, sf):
     return D.numeric_statistics(R(spark, sf), NUMERIC_VARS)
 
 
-GROUPED_SQL = O.with_lab("t6", f"""SELECT label, variable, round(min(value), 2) AS min_value,
+def _grouped_sql(t, variables):
+    return O.with_lab(t, f"""SELECT label, variable, round(min(value), 2) AS min_value,
   round(max(value), 2) AS max_value, round(avg(value), 2) AS mean_value,
   round(quantile_cont(value, 0.5), 2) AS median_value
-FROM ({O.melt_sql('lab', BOX_VARS, ids=['label'])}) WHERE value IS NOT NULL AND label IS NOT NULL
+FROM ({O.melt_sql('lab', variables, ids=['label'])}) WHERE value IS NOT NULL AND label IS NOT NULL
 GROUP BY label, variable""")
 
 
-@q("grouped_statistics", GROUPED_SQL)
+@q("grouped_statistics", _grouped_sql("t6", BOX_VARS))
 def _d11(spark, sf):
     return D.grouped_statistics(lab(spark, sf, "t6"), "label", BOX_VARS)
 
@@ -324,7 +326,8 @@ def _d12(spark, sf):
     return D.melt_features(R(spark, sf), ["row_id"], ["feed_flow", "tax_text", "size"])
 
 
-BOX_SQL = O.with_lab("t2", f"""SELECT q.label, q.variable, q.n, round(q1, 6) AS q1, round(med, 6) AS median,
+def _box_sql(t, variables):
+    return O.with_lab(t, f"""SELECT q.label, q.variable, q.n, round(q1, 6) AS q1, round(med, 6) AS median,
   round(q3, 6) AS q3, round(q3 - q1, 6) AS iqr, round(q1 - 1.5 * (q3 - q1), 6) AS lower_fence,
   round(q3 + 1.5 * (q3 - q1), 6) AS upper_fence,
   round(min(CASE WHEN value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN value END), 6) AS whisker_low,
@@ -334,11 +337,11 @@ FROM m JOIN (SELECT label, variable, CAST(count(*) AS BIGINT) AS n, quantile_con
                     quantile_cont(value, 0.5) AS med, quantile_cont(value, 0.75) AS q3
              FROM m GROUP BY label, variable) q USING (label, variable)
 GROUP BY q.label, q.variable, q.n, q1, med, q3""",
-                     f"m AS (SELECT * FROM ({O.melt_sql('lab', BOX_VARS, ids=['label'])}) "
-                     "WHERE value IS NOT NULL AND label IS NOT NULL)")
+                     f"m AS (SELECT * FROM ({O.melt_sql('lab', variables, ids=['label'])}) "
+                      "WHERE value IS NOT NULL AND label IS NOT NULL)")
 
 
-@q("boxplot_summary", BOX_SQL)
+@q("boxplot_summary", _box_sql("t2", BOX_VARS))
 def _d13(spark, sf):
     return D.boxplot_summary(lab(spark, sf, "t2"), "label", BOX_VARS)
 
@@ -965,6 +968,39 @@ T1_VARS = ["order_no", "batch_source", "method", "swirl", "feed_flow", "heat_tem
            "size", "unit_cost"]
 
 
+REPORT_VARS = {"t1": T1_VARS, "t2": NUMERIC_VARS[:-1] + ["swirl"], "t3": NUMERIC_VARS[:-1] + ["swirl"],
+               "t4": T1_VARS, "t5": NUMERIC_VARS[:-1] + ["swirl"], "t6": NUMERIC_VARS[:-1] + ["swirl"]}
+REPORT_SQLS = {
+    "class_distribution": lambda t: _class_sql(t),
+    "numeric_statistics": lambda t: O.numeric_statistics_sql((O.LAB_CTES[t],), "lab", REPORT_VARS[t], O.with_readings),
+    "grouped_statistics": lambda t: _grouped_sql(t, REPORT_VARS[t]),
+    "boxplot_summary": lambda t: _box_sql(t, REPORT_VARS[t]),
+}
+
+
+def _descriptive(spark, sf, table):
+    """One stage-02 table of all six targets."""
+    from speclab.plans.pipelines import descriptive_report
+    out = None
+    for t in TARGETS:
+        key = ("descriptive", spark.sparkContext.applicationId, sf, t)
+        if key not in _MEMO:
+            _MEMO[key] = descriptive_report(lab(spark, sf, t), REPORT_VARS[t])
+        part = _MEMO[key][table].withColumn("target", F.lit(t))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _reg_descriptive(table):
+    @q(f"descriptive_{table}", "\nUNION ALL ".join(f"SELECT *, '{t}' AS target FROM ({REPORT_SQLS[table](t)})" for t in TARGETS))
+    def _p(spark, sf):
+        return _descriptive(spark, sf, table)
+
+
+for _table in REPORT_SQLS:
+    _reg_descriptive(_table)
+
+
 @q("descriptive_report", O.numeric_statistics_sql((O.LAB_CTES["t1"],), "lab", T1_VARS,
                                                   O.with_readings))
 def _p7(spark, sf):

@@ -133,12 +133,17 @@ def preprocess(spark: SparkSession, sf_dir: str, spec: TargetSpec, rd: DataFrame
 
 
 def descriptive_report(df: DataFrame, variables: list[str], label: str = LABEL) -> dict[str, DataFrame]:
-    """The stage-02 profile of one target's variables against its label."""
+    """The stage-02 profile of one target's variables against its label.
+
+    The input is read twice: once for the class distribution, once for the written
+    (label, variable, value) counts that the other three tables derive from.
+    """
+    counts = D.label_value_counts(df, label, variables)
     return {
         "class_distribution": D.class_distribution(df, label),
-        "numeric_statistics": D.numeric_statistics(df, variables),
-        "grouped_statistics": D.grouped_statistics(df, label, variables),
-        "boxplot_summary": D.boxplot_summary(df, label, variables),
+        "numeric_statistics": D.numeric_statistics(None, variables, counts=counts),
+        "grouped_statistics": D.grouped_statistics(None, label, variables, counts=counts),
+        "boxplot_summary": D.boxplot_summary(None, label, variables, counts=counts),
     }
 
 
