@@ -3,8 +3,9 @@
 Training, cross-validation and scoring are Spark jobs over the keyed frame; the
 driver only holds models and k-row metric lists. Differences from a
 single-machine CART, stated once: Spark caps depth at 30 (deeper / unlimited
-settings map to 30), bins continuous features (``maxBins``, raised to 256), and
-has no ``min_samples_split`` (the grid keeps depth x min leaf size).
+settings map to 30; ``depth_report`` says whether that cut a tree) and bins continuous
+features (``max_bins``, 256 unless set). ``min_samples_split`` and the full grid are in
+``trees``.
 """
 
 from __future__ import annotations
@@ -14,10 +15,8 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +28,7 @@ SEED = 123
 # The reference's grid (depth None means unlimited).
 GRID_MAX_DEPTH = [None, 10, 20, 30, 50]
 GRID_MIN_SAMPLES_LEAF = [1, 2, 4]
-GRID_MIN_SAMPLES_SPLIT = [2, 5, 10]   # no Spark counterpart: not searched
+GRID_MIN_SAMPLES_SPLIT = [2, 5, 10]
 
 
 def default_parallelism(spark: SparkSession, cap: int = 8) -> int:
@@ -54,9 +53,16 @@ def tree_pipeline(features: Sequence[str], label: str = "label", max_depth: int
 
 
 def fit_tree(train: DataFrame, features: Sequence[str], label: str = "label",
-             max_depth: int | None = None, min_leaf: int = 1, seed: int = SEED) -> PipelineModel:
-    """H1 (max_depth None -> 30) / H2 (depth limited)."""
-    return tree_pipeline(features, label, max_depth, min_leaf, seed).fit(train)
+             max_depth: int | None = None, min_leaf: int = 1, seed: int = SEED, max_bins: int = MAX_BINS) -> PipelineModel:
+    """H1 (max_depth None -> 30) / H2 (depth limited). ``max_bins``: split points tried per feature."""
+    return tree_pipeline(features, label, max_depth, min_leaf, seed, max_bins).fit(train)
+
+
+def depth_report(model, asked: int | None) -> dict:
+    """The depth asked for, the depth reached, and whether the engine's limit cut the tree."""
+    reached = int(tree_of(model).depth)
+    return {"asked_depth": asked, "effective_depth": reached,
+            "limit_hit": reached >= SPARK_MAX_DEPTH and (asked is None or asked > SPARK_MAX_DEPTH)}
 
 
 def tree_of(model):
@@ -112,41 +118,3 @@ def cross_validation_scores(df: DataFrame, features: Sequence[str], label: str =
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
         scores = list(ex.map(one, range(k)))
     return spark.createDataFrame(scores, "fold int, score double")
-
-
-def grid_search(df: DataFrame, features: Sequence[str], label: str = "label", fold_col: str = "fold",
-                depths=GRID_MAX_DEPTH, min_leaf=GRID_MIN_SAMPLES_LEAF, seed: int = SEED,
-                parallelism: int | None = None, k: int = 10):
-    """Depth x min leaf grid, k-fold CV on accuracy, refit of the best.
-
-    Depth values that map to the same Spark depth are searched once.
-    """
-    parallelism = parallelism or default_parallelism(df.sparkSession)
-    pipe = tree_pipeline(features, label, None, 1, seed)
-    dt = pipe.getStages()[-1]
-    depths_s = sorted({spark_depth(d) for d in depths})
-    grid = ParamGridBuilder().addGrid(dt.maxDepth, depths_s).addGrid(dt.minInstancesPerNode, list(min_leaf)).build()
-    ev = MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction", metricName="accuracy")
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, foldCol=fold_col,
-                        numFolds=k, parallelism=parallelism, seed=seed)
-    model = cv.fit(df)
-    return model, grid
-
-
-def grid_scores(spark: SparkSession, cv_model, grid) -> DataFrame:
-    """H12 result: mean CV accuracy per setting."""
-    rows = []
-    for pm, m in zip(grid, cv_model.avgMetrics):
-        vals = {p.name: v for p, v in pm.items()}
-        rows.append((int(vals["maxDepth"]), int(vals["minInstancesPerNode"]), float(m)))
-    return spark.createDataFrame(rows, "max_depth int, min_instances_per_node int, mean_accuracy double")
-
-
-def best_params(spark: SparkSession, cv_model) -> DataFrame:
-    """Settings of the chosen tree."""
-    t = tree_of(cv_model.bestModel)
-    return spark.createDataFrame(
-        [("max_depth", float(t.getOrDefault("maxDepth"))),
-         ("min_instances_per_node", float(t.getOrDefault("minInstancesPerNode"))),
-         ("best_mean_accuracy", float(max(cv_model.avgMetrics)))],
-        "param string, value double")

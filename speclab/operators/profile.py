@@ -205,7 +205,9 @@ def unique_values_long(df: DataFrame, variables: Sequence[str]) -> DataFrame:
 
 def unique_values_table(df: DataFrame, variables: Sequence[str]) -> DataFrame:
     """D9 as the reference shows it: per variable unique count, value list and
-    value -> count map (NULL kept in the list, left out of the map)."""
+    value -> count map (NULL kept in the list, left out of the map). A display of
+    categorical variables: a variable's values become one row, so use
+    ``unique_values_long`` where a variable may have many."""
     lv = unique_values_long(df, variables)
     out = (lv.groupBy("variable")
              .agg(F.max("n_unique").alias("unique_count"),

@@ -24,7 +24,7 @@ from speclab.operators import split as G
 from speclab.plans import oracle_sql as O
 from speclab.plans.fixtures import scored
 from speclab.plans.pipelines import labelled, preprocess
-from speclab.plans.targets import PRODUCT, TARGETS
+from speclab.plans.targets import MISSING, PRODUCT, TARGETS
 from speclab.session import ensure_checkpoint_dir
 from speclab.sources import io as A
 from speclab.sources.readings import readings
@@ -835,10 +835,13 @@ def _model(spark, sf, depth):
 
 
 def _grid(spark, sf):
+    """All 45 settings on T2's hand-picked variables."""
+    from speclab.operators import trees
+    from speclab.session import cut_lineage
     key = ("grid", spark.sparkContext.applicationId, sf)
     if key not in _MEMO:
         train = _model_data(spark, sf).where("split = 'train'")
-        _MEMO[key] = ML.grid_search(G.stratified_folds(train), MODEL_VARS, "label")
+        _MEMO[key] = trees.full_grid(cut_lineage(G.stratified_folds(train)), MODEL_VARS, MISSING)
     return _MEMO[key]
 
 
@@ -881,13 +884,16 @@ def _h11(spark, sf):
 
 @q("grid_search")
 def _h12(spark, sf):
-    cvm, grid = _grid(spark, sf)
-    return ML.grid_scores(spark, cvm, grid)
+    cols = ("max_depth", "min_samples_leaf", "min_samples_split", "mean_accuracy")
+    return spark.createDataFrame([tuple(g[c] for c in cols) for g in _grid(spark, sf)],
+                                 "max_depth int, min_samples_leaf int, min_samples_split int, mean_accuracy double")
 
 
 @q("best_params")
 def _h13(spark, sf):
-    return ML.best_params(spark, _grid(spark, sf)[0])
+    from speclab.operators import trees
+    best = trees.best_setting(_grid(spark, sf))
+    return spark.createDataFrame([(k, None if v is None else float(v)) for k, v in best.items()], "param string, value double")
 
 
 @q("tree_rules")
@@ -917,8 +923,13 @@ def _a8(spark, sf):
 @q("validate_model")
 def _h16(spark, sf):
     m = A.load_model(A.save_model(_model(spark, sf, TARGETS["t2"].max_depth), scratch_path(spark, "model")))
-    val = _model_data(spark, sf).where("split = 'val'")
-    return r6(H.classification_report(ML.predict_labels(m, val)), ["precision", "recall", "f1"])
+    val = ML.predict_labels(m, _model_data(spark, sf).where("split = 'val'"))
+    from speclab.plans.pipelines import _melted
+    out = (_melted(H.accuracy(val), "accuracy", F.lit("all"))
+           .unionByName(_melted(H.confusion_matrix(val), "confusion_matrix", F.concat_ws("/", F.col("actual"), F.col("predicted"))))
+           .unionByName(_melted(H.classification_report(val), "classification_report", F.col("row_label")))
+           .unionByName(_melted(H.roc_curve_from_scores(val, "label", "probability"), "roc_curve", F.col("threshold").cast("string"))))
+    return r6(out, ["value"])
 
 # ------------------------------------------------------------------ P: pipelines
 
@@ -1008,17 +1019,40 @@ def _p7(spark, sf):
     return descriptive_report(lab(spark, sf, "t1"), T1_VARS)["numeric_statistics"]
 
 
+def _trained(spark, sf, t):
+    from speclab.plans.pipelines import train_report
+    key = ("trained", spark.sparkContext.applicationId, sf, t)
+    if key not in _MEMO:
+        _MEMO[key] = train_report(_prep(spark, sf, t))
+    return _MEMO[key]
+
+
 @q("train_report")
 def _p8(spark, sf):
-    from speclab.plans.pipelines import train_report
-    rep = train_report(_prep(spark, sf, "t2"), grid=False)
-    _MEMO[("train_report", spark.sparkContext.applicationId, sf)] = rep
-    return rep["evaluation"]
+    """Accuracy, confusion cells and class metrics of T2's chosen tree on train and test."""
+    return _trained(spark, sf, "t2").tables["evaluation"]
 
 
 @q("validation_report")
 def _p9(spark, sf):
-    from speclab.plans.pipelines import train_report, validation_report
-    rep = _MEMO.get(("train_report", spark.sparkContext.applicationId, sf)) or train_report(_prep(spark, sf, "t2"), grid=False)
-    return r6(validation_report(rep["best_model"], _prep(spark, sf, "t2"))["classification_report"],
-              ["precision", "recall", "f1"])
+    from speclab.plans.pipelines import validation_report
+    return r6(validation_report(spark, _trained(spark, sf, "t2"), _prep(spark, sf, "t2")), ["value"])
+
+
+def _reg_stages(t):
+    @q(f"train_report_{t}")
+    def _train(spark, sf):
+        return r6(_trained(spark, sf, t).tables["report"], ["value"])
+
+    @q(f"tree_nodes_{t}")
+    def _nodes(spark, sf):
+        return _trained(spark, sf, t).tables["rules"]
+
+    @q(f"validation_report_{t}")
+    def _validate(spark, sf):
+        from speclab.plans.pipelines import validation_report
+        return r6(validation_report(spark, _trained(spark, sf, t), _prep(spark, sf, t)), ["value"])
+
+
+for _t in ("t2", "t3", "t5", "t6"):
+    _reg_stages(_t)

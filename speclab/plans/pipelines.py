@@ -9,6 +9,8 @@ executors recompute from stored data, not from the whole lineage.
 
 from __future__ import annotations
 
+import os
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +23,9 @@ from speclab.operators import models as ML
 from speclab.operators import profile as D
 from speclab.operators import select as M
 from speclab.operators import split as G
+from speclab.operators import trees
 from speclab.plans.targets import MISSING, RESULT_COLUMNS, TargetSpec
-from speclab.session import cut_lineage
+from speclab.session import cut_lineage, ensure_checkpoint_dir, release_at_exit
 from speclab.sources.readings import readings
 
 KEY, LABEL = "row_id", "label"
@@ -147,41 +150,75 @@ def descriptive_report(df: DataFrame, variables: list[str], label: str = LABEL)
     }
 
 
-def train_report(prep: Prepared, parallelism: int | None = None, grid: bool = True, folds: int = 10) -> dict:
-    """Default and depth-limited trees, CV scores, grid search, evaluation."""
-    spark = prep.df.sparkSession
-    train = prep.df.where(F.col("split") == "train")
-    fit_on = prep.df.where(F.col("split").isin("train", "test"))
-    out: dict = {}
-    m_default = ML.fit_tree(train, prep.features, LABEL, None)
-    m_limited = ML.fit_tree(train, prep.features, LABEL, prep.spec.max_depth)
-    out["tree_default_shape"] = ML.tree_shape(spark, m_default)
-    out["tree_limited_shape"] = ML.tree_shape(spark, m_limited)
-    scored = ML.predict_labels(m_limited, fit_on, keep=("split",))
-    out["evaluation"] = H.evaluate_model(scored)
-    folded = G.stratified_folds(train, LABEL, KEY, k=folds)
-    out["cv_scores"] = ML.cross_validation_scores(folded, prep.features, LABEL, k=folds,
-                                                  max_depth=prep.spec.max_depth, parallelism=parallelism)
-    out["cv_summary"] = D.cv_score_summary(out["cv_scores"])
-    best = m_limited
-    if grid:
-        cvm, g = ML.grid_search(folded, prep.features, LABEL, parallelism=parallelism, k=folds)
-        out["grid_scores"] = ML.grid_scores(spark, cvm, g)
-        out["best_params"] = ML.best_params(spark, cvm)
-        best = cvm.bestModel
-    out["best_model"] = best
-    out["feature_importance"] = ML.feature_importance_ranked(spark, best, prep.features)
-    out["tree_rules"] = ML.tree_rules(spark, best, prep.features)
-    return out
-
-
-def validation_report(model, prep: Prepared) -> dict[str, DataFrame]:
-    """Score the held-out split, H6-H8 and the probability ROC."""
+@dataclass
+class Trained:
+    """Stage 03: the chosen tree (as saved), its features, and all result tables."""
+    nodes_path: str
+    features: list[str]
+    tables: dict[str, DataFrame]
+
+
+def _long(spark, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame([(t, k, m, None if v is None else float(v)) for t, k, m, v in rows],
+                                 "table string, item string, metric string, value double")
+
+
+def _melted(df: DataFrame, table: str, item) -> DataFrame:
+    """A result table in long form (table, item, metric, value)."""
+    numbers = [c for c, t in df.dtypes if t in ("int", "bigint", "double")]
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in numbers]))
+    return df.select(F.lit(table).alias("table"), item.alias("item"), cells.alias("c")).select("table", "item", "c.*")
+
+
+def train_report(prep: Prepared, parallelism: int | None = None, folds: int = 10, max_bins: int = ML.MAX_BINS) -> Trained:
+    """Default and depth-limited trees, CV scores, the whole grid, the chosen tree refitted, saved and evaluated.
+
+    Everything after the grid uses the chosen tree. The folded training frame is written once.
+    """
+    spark, feats = prep.df.sparkSession, prep.features
+    filled = prep.df.fillna(MISSING, subset=feats)
+    train = filled.where(F.col("split") == "train")
+    fit_on = filled.where(F.col("split").isin("train", "test"))
+    folded = cut_lineage(G.stratified_folds(train, LABEL, KEY, k=folds))
+    rows: list[tuple] = []
+    for name, depth in (("tree_default", None), ("tree_limited", prep.spec.max_depth)):
+        model = ML.fit_tree(folded, feats, LABEL, depth, max_bins=max_bins)
+        rep = ML.depth_report(model, depth)
+        shape = ML.tree_shape(spark, model).first().asDict()
+        rows += [(name, "shape", k, v) for k, v in shape.items()]
+        rows += [(name, "shape", "effective_depth", rep["effective_depth"]), (name, "shape", "depth_limit_hit", int(rep["limit_hit"]))]
+        scored = ML.predict_labels(model, fit_on, keep=("split",))
+        rows += [(name, r["split"], m, r[m]) for r in H.evaluate_model(scored).collect() for m in r.asDict() if m != "split"]
+    cv = ML.cross_validation_scores(folded, feats, LABEL, k=folds, max_depth=prep.spec.max_depth, parallelism=parallelism)
+    scores = {r["fold"]: r["score"] for r in cv.collect()}
+    rows += [("cv_scores", str(f), "score", s) for f, s in scores.items()]
+    rows += [("cv_summary", "all", m, v) for m, v in D.cv_score_summary(cv).first().asDict().items()]
+    grid = trees.full_grid(folded, feats, MISSING, LABEL, k=folds, parallelism=parallelism, max_bins=max_bins)
+    rows += [("grid_search", f"{g['max_depth']}/{g['min_samples_leaf']}/{g['min_samples_split']}", "mean_accuracy", g["mean_accuracy"])
+             for g in grid]
+    best = trees.best_setting(grid)
+    rows += [("best_params", "chosen", k, -1.0 if v is None else v) for k, v in best.items()]
+    model = ML.fit_tree(folded, feats, LABEL, best["max_depth"], best["min_samples_leaf"], max_bins=max_bins)
+    rows += [("best_params", "chosen", "depth_limit_hit", int(ML.depth_report(model, best["max_depth"])["limit_hit"]))]
+    nodes = trees.truncated(trees.nodes_of(spark, model, feats), best["max_depth"], best["min_samples_split"])
+    path = os.path.join(ensure_checkpoint_dir(spark), "speclab-models", f"{prep.spec.name}-{uuid.uuid4().hex}")
+    trees.node_table(spark, nodes).write.parquet(path)
+    release_at_exit(spark, path)
+    importance = ML.feature_importance_ranked(spark, model, feats).collect()
+    rows += [("feature_importance", r["feature"], "importance", r["importance"]) for r in importance]
+    scored = trees.score_nodes(fit_on, nodes, feats, MISSING, keep=("split",))
+    tables = {"report": _long(spark, rows), "evaluation": H.evaluate_model(scored), "rules": trees.node_table(spark, nodes),
+              "grid": _long(spark, [r for r in rows if r[0] in ("grid_search", "best_params")]), "scored": scored}
+    return Trained(path, feats, tables)
+
+
+def validation_report(spark: SparkSession, trained: Trained, prep: Prepared) -> DataFrame:
+    """The saved tree, loaded, on the held-out split: H6, H7, H8 and the probability ROC (H10), long form."""
     val = prep.df.where(F.col("split") == "val")
-    scored = ML.predict_labels(model, val)
-    return {
-        "accuracy": H.accuracy(scored),
-        "confusion_matrix": H.confusion_matrix(scored),
-        "classification_report": H.classification_report(scored),
-        "roc_curve": H.roc_curve_from_scores(scored, LABEL, "probability"),
-    }
+    scored = cut_lineage(trees.score_nodes(val, trees.nodes_from_table(spark.read.parquet(trained.nodes_path)), trained.features, MISSING))
+    roc = H.roc_curve_from_scores(scored, LABEL, "probability")
+    cm = H.confusion_matrix(scored)
+    return (_melted(H.accuracy(scored), "accuracy", F.lit("all"))
+            .unionByName(_melted(cm, "confusion_matrix", F.concat_ws("/", F.col("actual"), F.col("predicted"))))
+            .unionByName(_melted(H.classification_report(scored), "classification_report", F.col("row_label")))
+            .unionByName(_melted(roc, "roc_curve", F.col("threshold").cast("string"))))

@@ -34,7 +34,7 @@ def get_session(master: str | None = None, app: str = "speclab",
         builder = builder.master(master)
         if master.startswith("local"):
             # local mode: executors live in the driver JVM
-            builder = builder.config("spark.driver.memory", os.environ.get("SPECLAB_DRIVER_MEMORY", "16g"))
+            builder = builder.config("spark.driver.memory", os.environ.get("SPECLAB_DRIVER_MEMORY", "8g"))
     for k, v in DEFAULTS.items():
         builder = builder.config(k, v)
     if shuffle_partitions:

@@ -7,6 +7,7 @@ dataset partitioned by ``split`` so reading one split prunes directories.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -106,10 +107,9 @@ def save_model(model, path: str) -> str:
 
 
 def load_model(path: str):
-    """Load a model saved by A7 (pipeline model or bare tree)."""
+    """Load a model saved by A7; its metadata names the class."""
     from pyspark.ml import PipelineModel
     from pyspark.ml.classification import DecisionTreeClassificationModel
-    try:
-        return PipelineModel.load(path)
-    except Exception:
-        return DecisionTreeClassificationModel.load(path)
+    spark = SparkSession.getActiveSession()
+    kind = json.loads(spark.read.text(f"{path}/metadata").first()["value"])["class"].rpartition(".")[2]
+    return {"PipelineModel": PipelineModel, "DecisionTreeClassificationModel": DecisionTreeClassificationModel}[kind].load(path)

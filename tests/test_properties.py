@@ -72,7 +72,7 @@ def test_quantiles_match_pandas(rd):
 
 
 def test_rank_of_is_dense_permutation(rd):
-    r = Q.rank_of(rd.select("row_id", "test_code", "heat_temp"), ["test_code"], "heat_temp").toPandas()
+    r = Q.rank_of(rd.select("row_id", "test_code", "heat_temp"), ["test_code"], "heat_temp", tie="row_id").toPandas()
     for _, g in r.groupby("test_code"):
         assert sorted(g["_rank"]) == list(range(len(g)))
         assert (g.sort_values("_rank")["heat_temp"].diff().dropna() >= 0).all()
