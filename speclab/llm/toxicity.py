@@ -15,6 +15,7 @@ its score, and tokens whose marginal reaches ``SPAN_AT`` are its offending spans
 from __future__ import annotations
 
 import re
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,9 @@ from speclab.llm.common import bounded_batches, map_texts, type_of
 from speclab.llm.simhash import fingerprint
 
 CHAIN = 128                  # tokens of a chain at most
-DOCS_PER_CLASS = 3000        # bound of the training sample
+DOCS_PER_CLASS = 2000        # bound of the training sample
 FIT_BYTES = 1 << 15          # longer documents are not drawn into the sample (they are scored whole)
-CHAINS_PER_CLASS = 15000     # chains with and without toxic tokens the field is fitted on
+CHAINS_PER_CLASS = 8000     # chains with and without toxic tokens the field is fitted on
 COPY_BITS = 10               # sampled documents this close count once
 SPAN_AT = 0.5
 STEMS = (4, 5)               # letters of the stems a word is known by, if it is longer
@@ -148,25 +149,32 @@ def fit(texts: list[str], toxic: list[int]) -> ToxicityModel:
     keep = _distinct(texts)
     texts, toxic = [texts[i] for i in keep], np.array([toxic[i] for i in keep], int)
     n1, n0 = max(1, int(toxic.sum())), max(1, int((toxic == 0).sum()))
-    chains = [_line_chains(t) for t in texts]
     seen: dict[str, list[int]] = {}
-    for cs, y in zip(chains, toxic):
-        for f in {f for w in {w.lower() for c in cs for w in c} for f in _features(w)[:-1]}:
+    n_chains = 0
+    for text, y in zip(texts, toxic):
+        chains = _line_chains(text)
+        n_chains += len(chains)
+        for f in {f for w in {w.lower() for c in chains for w in c} for f in _features(w)[:-1]}:
             seen.setdefault(f, [0, 0])[y] += 1
     # smoothed ratio of document frequencies; a rare word proves nothing
     bad = {f for f, (b, a) in seen.items()
            if a >= max(3, LEAST_SHARE * n1) and (a + 0.5) / (n1 + 1) > EXCESS * (b + 0.5) / (n0 + 1)}
+    del seen
+    # chains are cut again rather than held: words are interned, and only the kept chains stay
     rng = np.random.default_rng(5)
-    rows: list[tuple[list[str], list[int]]] = []
-    for cs, y in zip(chains, toxic):
-        for c in cs:
-            low = [w.lower() for w in c]
-            rows.append((low, [int(bool(y) and not bad.isdisjoint(_features(w)[:-1])) for w in low]))
-    hot = [i for i, (_, t) in enumerate(rows) if any(t)]
-    cold = [i for i, (_, t) in enumerate(rows) if not any(t)]
-    pick = sorted([*rng.permutation(hot)[:CHAINS_PER_CLASS].tolist(), *rng.permutation(cold)[:CHAINS_PER_CLASS].tolist()])
-    model = ToxicityModel(*_fit_field([rows[i] for i in pick]), np.zeros(3))
-    x = np.array([_document(p) for p in model.tag(texts)]).reshape(-1, 3)
+    hot, cold = [], []
+    for text, y in zip(texts, toxic):
+        for c in _line_chains(text):
+            low = [sys.intern(w.lower()) for w in c]
+            tags = [int(bool(y) and not bad.isdisjoint(_features(w)[:-1])) for w in low] if y else [0] * len(low)
+            if any(tags):
+                hot.append((low, tags))
+            elif rng.random() * n_chains < CHAINS_PER_CLASS:
+                cold.append((low, tags))
+    rows = [hot[i] for i in sorted(rng.permutation(len(hot))[:CHAINS_PER_CLASS].tolist())] + cold
+    model = ToxicityModel(*_fit_field(rows), np.zeros(3))
+    x = np.array([_document(p) for at in range(0, len(texts), 128) for p in model.tag(texts[at:at + 128])]).reshape(-1, 3)
+    model.cache = None
     model.layer = _fit_layer(x, toxic)
     return model
 
