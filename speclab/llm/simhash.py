@@ -238,8 +238,13 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows repeated whole and other rows with that id are reduced to one; rows with a null id are kept, as
     they cannot be told apart from the group's other members.
     """
-    groups = near_duplicates(docs, id_col, text_col, shingle, radius)
-    first = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("sh_first")).distinct()
-    named = docs.where(docs[id_col].isNotNull())
-    kept = named.join(first, named[id_col] == F.col("sh_first"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(docs[id_col].isNull()))
+    groups = cut_lineage(near_duplicates(docs, id_col, text_col, shingle, radius)
+                         .select(F.col(id_col).alias("sh_id"), "component_id").where("sh_id is not null"))
+    # the ids that go are few beside those that stay: texts need not be shuffled to find them
+    gone = cut_lineage(groups.where("sh_id != component_id").select("sh_id").distinct())
+    kept = docs.join(gone, docs[id_col] == F.col("sh_id"), "left_anti")
+    twice = cut_lineage(groups.groupBy("sh_id").count().where("count > 1").select("sh_id"))
+    if twice.isEmpty():
+        return kept
+    again = kept.join(twice, kept[id_col] == F.col("sh_id"), "left_semi").dropDuplicates([id_col])
+    return kept.join(twice, kept[id_col] == F.col("sh_id"), "left_anti").unionByName(again)
