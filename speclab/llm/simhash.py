@@ -241,7 +241,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = cut_lineage(near_duplicates(docs, id_col, text_col, shingle, radius)
                          .select(F.col(id_col).alias("sh_id"), "component_id").where("sh_id is not null"))
     # the ids that go are few beside those that stay: texts need not be shuffled to find them
-    gone = cut_lineage(groups.where("sh_id != component_id").select("sh_id").distinct())
+    gone = cut_lineage(groups.groupBy("sh_id").agg(F.max(F.col("sh_id") == F.col("component_id")).alias("first"))
+                       .where("not first").select("sh_id"))
     kept = docs.join(gone, docs[id_col] == F.col("sh_id"), "left_anti")
     twice = cut_lineage(groups.groupBy("sh_id").count().where("count > 1").select("sh_id"))
     if twice.isEmpty():

@@ -166,6 +166,8 @@ def test_simhash_edges(spark):
     kept = simhash.keep_first(messy(spark))
     assert kept.columns == messy(spark).columns
     assert sorted(r["doc_id"] for r in kept.where("doc_id in (0, 1, 2, 3, 4)").collect()) == [0, 3]
+    twice = spark.createDataFrame([(1, prose(50, 1), "en", "s", 1), (2, prose(50, 1), "en", "s", 1), (2, prose(50, 2), "en", "s", 1)], SCHEMA)
+    assert sorted(r["doc_id"] for r in simhash.keep_first(twice).collect()) == [1, 2]     # an id that is first once stays, once
 
 
 def test_components(spark):
