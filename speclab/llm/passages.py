@@ -1,6 +1,6 @@
-"""Substring deduplication by paragraph MinHash banding.
+"""Substring deduplication by paragraph MinHash banding and winnowed word windows.
 
-Two kinds of passages of at least ``MIN_WORDS`` words are compared. Paragraphs are the lines of a
+Three kinds of passages are compared, the first two of at least ``MIN_WORDS`` words. Paragraphs are the lines of a
 text: their five-word shingles are MinHashed, ``BANDS`` bands of ``ROWS`` minima find pairs, and
 pairs with a Jaccard similarity of 0.8 or more are linked. At 0.8 a pair is found with
 probability 1 - (1 - 0.8^3)^10 = 0.9992. A passage may also stand inside a longer line; for that
@@ -8,6 +8,13 @@ every sentence start opens a run of sentences, as short as the word count allows
 same words are linked. Links are clustered by components; the document with the smallest
 id keeps a passage.
 
+The third kind knows no lines or sentences: every ``SPAN`` words in a row that also stand in another
+document are found, wherever they begin and however they are wrapped. Each window of ``SPAN`` words
+is named by its least ``GRAM``-gram hash; successive windows with one name are one unit. A
+name that one document holds alone is done with; where all units of a name are equal, they are
+shared whole; only the rest is dealt window by window, so rows never exceed the words.
+Words end at Unicode blanks, and each character of scripts written without blanks is a word.
+
 Equal paragraphs are one row before banding. A band's bucket is verified inside a task
 and yields a spanning set of links, not its pairs; a bucket of more than ``BLOCK``
 different paragraphs is dealt as all pairs of its blocks, so every pair is still seen.
@@ -26,6 +33,7 @@ from speclab.llm.common import bounded_batches, cut_lineage, type_of
 from speclab.llm.components import connected_components
 
 SHINGLE = 5
+SPAN, GRAM = 50, 10                  # words of a shared window; words of the gram that names it
 SIMILARITY = 0.8
 MIN_WORDS = 20
 BANDS, ROWS = 10, 3
@@ -33,6 +41,11 @@ BLOCK = 512
 CHUNK = 1 << 20                      # bytes of text laid out at once
 BASE = np.uint64(0x9E3779B97F4A7C15)             # odd, so it has an inverse modulo 2^64
 UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+UNICODE_BLANKS = np.array([0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+# Thai and Lao, Myanmar, Khmer, kana and ideographs, compatibility ideographs, wide forms, further planes
+UNSPACED = ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3001, 0x9FFF), (0xF900, 0xFAFF), (0xFF00, 0xFFEF), (0x20000, 0x3FFFF))
+STOPS = np.array([0x61F, 0x6D4, 0x964, 0x2026, 0x3002, 0xFF01, 0xFF0E, 0xFF1F])
+CLOSERS = np.array([0xBB, 0x2019, 0x201D])
 LOWER_TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -56,6 +69,17 @@ def _ranges(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarra
     return _mix((total[end] - total[first]) * unpower[first] + (end - first).astype(np.uint64))
 
 
+def _wide(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place, size in bytes and code point of the characters above ASCII."""
+    at = np.flatnonzero(raw >= 0xC2)
+    b = [raw[np.minimum(at + k, len(raw) - 1)].astype(np.int64) for k in range(4)]
+    size = 2 + (b[0] >= 0xE0) + (b[0] >= 0xF0)
+    two = (b[0] & 31) << 6 | b[1] & 63
+    three = (b[0] & 15) << 12 | (b[1] & 63) << 6 | b[2] & 63
+    four = (b[0] & 7) << 18 | (b[1] & 63) << 12 | (b[2] & 63) << 6 | b[3] & 63
+    return at, size, np.where(size == 2, two, np.where(size == 3, three, four))
+
+
 class Layout:
     """Words of several texts laid out in one buffer: places, hashes, sentence and line ends."""
 
@@ -63,9 +87,25 @@ class Layout:
         coded = [t.encode("utf-8", "surrogatepass") for t in texts]
         buf = b"\n".join(coded) + b"\n"
         raw = np.frombuffer(buf, np.uint8)
-        blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
-        edge = np.diff(np.concatenate([[1], blank.view(np.int8)]))
-        self.first, self.end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        blank = (raw == 32) | ((raw >= 9) & (raw <= 13)) | ((raw >= 28) & (raw <= 31))
+        solo, head = np.zeros(len(raw), bool), np.zeros(len(raw), bool)   # characters that are words of their own
+        stops = np.isin(raw, np.frombuffer(b".!?", np.uint8))
+        closer = np.isin(raw, np.frombuffer(b"\"')]}*", np.uint8)).astype(np.int64)     # bytes of a closing mark that ends here
+        wide, wide_size, code = _wide(raw)
+        alone = np.zeros(len(code), bool)
+        for low, high in UNSPACED:
+            alone |= (code >= low) & (code <= high)
+        for k in range(4):
+            blank[wide[np.isin(code, UNICODE_BLANKS) & (k < wide_size)] + k] = True
+            solo[wide[alone & (k < wide_size)] + k] = True
+        head[wide[alone]] = True
+        stop = np.isin(code, STOPS)
+        stops[(wide + wide_size - 1)[stop]] = True
+        close = np.isin(code, CLOSERS)
+        closer[(wide + wide_size - 1)[close]] = wide_size[close]
+        after_blank, after_solo = np.append(True, blank[:-1]), np.append(False, solo[:-1])
+        begins = ~blank & (after_blank | head | after_solo & ~solo)
+        self.first, self.end = np.flatnonzero(begins), np.flatnonzero(~after_blank & (blank | begins))
         low = np.frombuffer(buf.translate(LOWER_TABLE), np.uint8).astype(np.uint64) + np.uint64(1)
         self.hash = _ranges(low, self.first, self.end)
         size = np.array([len(c) for c in coded], np.int64)
@@ -75,7 +115,9 @@ class Layout:
         line = np.cumsum(raw == 10)[self.first] if n else np.zeros(0, np.int64)
         last = self.end - 1
         new_line = np.concatenate([line[1:] != line[:-1], [True]]) if n else np.zeros(0, bool)
-        stop = np.isin(raw[last], np.frombuffer(b".!?", np.uint8)) if n else np.zeros(0, bool)
+        for _ in range(2):                                        # a stop may stand before closing marks
+            last = np.where(last - closer[last] >= self.first, last - closer[last], last)
+        stop = stops[last]
         self.line_ends = np.flatnonzero(new_line) + 1             # word index after each line
         self.sentence_ends = np.flatnonzero(new_line | stop) + 1
 
@@ -102,6 +144,29 @@ class Layout:
         ok = end <= line_end
         return first[ok], end[ok]
 
+    def units(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``(first, end, gram, print)`` of the units: successive windows of ``SPAN`` words, inside one
+        text, that have the same least gram. Equal prints: the same words at the same distances."""
+        n = len(self.hash) - SPAN + 1
+        if n < 1:
+            return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
+        at = np.arange(n + SPAN - GRAM)
+        gram = _ranges(self.hash, at, at + GRAM)
+        width, least = 1, at
+        while width < SPAN - GRAM + 1:                # the first least gram of ever wider windows
+            step = min(width, SPAN - GRAM + 1 - width)
+            a, b = least[:-step], least[step:]
+            least = np.where(gram[b] < gram[a], b, a)
+            width += step
+        text = np.searchsorted(self.text_first, self.first, side="right")
+        whole = text[:n] == text[SPAN - 1:]
+        begin = np.flatnonzero(whole & np.append(True, (least[1:] != least[:-1]) | ~whole[:-1]))
+        stop = np.flatnonzero(whole & np.append((least[1:] != least[:-1]) | ~whole[1:], True)) + SPAN
+        place = self.points[self.first]
+        gap = np.diff(place, append=place[-1:]).astype(np.uint64)
+        prints = _mix(_ranges(_mix(self.hash ^ gap * BASE), begin, stop - 1) ^ self.hash[stop - 1])
+        return begin, stop, gram[least[begin]], prints
+
     def places(self, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text index and code point offsets of word ranges."""
         a, b = self.first[first], self.end[end - 1]
@@ -127,28 +192,37 @@ def _bands(shingles: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarr
     return keys
 
 
-def _pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[int], list[str]]]:
-    """Texts in chunks of about ``CHUNK`` characters; a longer text is cut at line ends."""
-    own, shift, part, size = [], [], [], 0
+def _pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[int], list[str], list[int]]]:
+    """Texts in chunks of about ``CHUNK`` characters; a longer text is cut at line ends.
+
+    A piece begins ``SPAN - 1`` words before its cut, so no window is lost; last comes where the cut is.
+    """
+    own, shift, part, cut, size = [], [], [], [], 0
     for i, t in enumerate(texts):
         at = 0
         while t and at < len(t):
             to = len(t) if len(t) - at <= CHUNK else t.find("\n", at + CHUNK)
             to = len(t) if to < 0 else to
+            back = max(0, at - CHUNK)
+            if at:
+                before = t[back:at].rsplit(None, SPAN - 1)
+                back += len(before[0]) if len(before) == SPAN else 0
             own.append(i)
-            shift.append(at)
-            part.append(t[at:to])
+            shift.append(back)
+            part.append(t[back:to])
+            cut.append(at)
             size += to - at
             at = to + 1
             if size >= CHUNK:
-                yield own, shift, part
-                own, shift, part, size = [], [], [], 0
+                yield own, shift, part, cut
+                own, shift, part, cut, size = [], [], [], [], 0
     if part:
-        yield own, shift, part
+        yield own, shift, part, cut
 
 
 def passages(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """``(id, text_hash, start, end, words, bands)``: every paragraph (with bands) and sentence run (``bands`` null)."""
+    """``(id, text_hash, start, end, words, bands, gram)``: every paragraph (with bands), sentence run (neither
+    bands nor gram) and unit of windows (with its gram; ``words`` is its print)."""
     bounded_batches(docs.sparkSession)
     slim = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("text_hash"), docs[text_col].alias("t"))
 
@@ -156,20 +230,29 @@ def passages(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFra
         for batch in batches:
             yield from _emit(batch, least)
 
-    return slim.mapInArrow(run, f"id {type_of(docs, id_col)}, text_hash long, start int, end int, words long, bands array<long>")
+    return slim.mapInArrow(run, f"id {type_of(docs, id_col)}, text_hash long, start int, end int, words long, bands array<long>, gram long")
 
 
 def _emit(batch, least):
-    for own, shift, part in _pieces(batch.column(2).to_pylist()):
+    for own, shift, part, cut in _pieces(batch.column(2).to_pylist()):
         lay = Layout(part)
-        own, shift = np.array(own), np.array(shift)
+        own, shift, cut = np.array(own), np.array(shift), np.array(cut)
         shingles = lay.shingles()
-        for banded, (first, end) in ((True, lay.lines(least)), (False, lay.runs(least))):
+        for kind in ("line", "run", "unit"):
+            if kind == "unit":
+                first, end, gram, words = lay.units()
+            else:
+                first, end = lay.lines(least) if kind == "line" else lay.runs(least)
+                if len(first) and cut.any():              # what lies before the cut was read with the last piece
+                    text, start, _ = lay.places(first, end)
+                    new = start + shift[text] >= cut[text]
+                    first, end = first[new], end[new]
+                words = _ranges(lay.hash, first, end)
             if not len(first):
                 continue
             text, start, stop = lay.places(first, end)
             rows = pa.array(own[text])
-            if banded:
+            if kind == "line":
                 flat = pa.array(_bands(shingles, first, end).view(np.int64).ravel())
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * BANDS), flat)
             else:
@@ -177,8 +260,69 @@ def _emit(batch, least):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(rows), batch.column(1).take(rows),
                  pa.array((start + shift[text]).astype(np.int32)), pa.array((stop + shift[text]).astype(np.int32)),
-                 pa.array(_ranges(lay.hash, first, end).view(np.int64)), bands],
-                names=["id", "text_hash", "start", "end", "words", "bands"])
+                 pa.array(words.view(np.int64)), bands,
+                 pa.array(gram.view(np.int64)) if kind == "unit" else pa.nulls(len(first), pa.int64())],
+                names=["id", "text_hash", "start", "end", "words", "bands", "gram"])
+
+
+def _windows(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(words, first_id, last_id, window, start, end)``: every window of the wanted units
+    ``(words, id, text_hash, start, end, last_id)``, its place counted from the unit's first character."""
+    places = wanted.groupBy("id", "text_hash").agg(F.collect_list(F.struct("start", "end", "words", "last_id")).alias("at"))
+    d = docs.select(docs[id_col].alias("d_id"), F.xxhash64(docs[text_col]).alias("d_hash"), docs[text_col].alias("t"))
+    found = d.join(places, (F.col("d_hash") == F.col("text_hash")) & F.col("d_id").eqNullSafe(F.col("id")))
+    # the places travel as arrays of their fields, so Python meets no struct with an id of any type
+    found = found.select("t", *[F.col("at")[c].alias(c) for c in ("start", "end", "words")], "id", F.col("at")["last_id"].alias("last_id"))
+    kind = type_of(docs, id_col)
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                t = batch.column(0)[row].as_py()
+                start, end, words = (batch.column(c)[row].values.to_numpy() for c in (1, 2, 3))
+                for some in range(0, len(start), 1 << 10):      # units of a long text are laid out some at a time
+                    part = slice(some, some + (1 << 10))
+                    lay = Layout([t[a:b] for a, b in zip(start[part].tolist(), end[part].tolist())])
+                    text = np.searchsorted(lay.text_first, lay.first, side="right") - 1
+                    first = np.arange(max(0, len(lay.hash) - SPAN + 1))
+                    first = first[text[first] == text[first + SPAN - 1]]
+                    unit, a, b = lay.places(first, first + SPAN)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(words[part][unit]), batch.column(4).take(pa.array(np.full(len(first), row))),
+                         batch.column(5)[row].values.take(pa.array(unit + some)), pa.array(_ranges(lay.hash, first, first + SPAN).view(np.int64)),
+                         pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))],
+                        names=["words", "first_id", "last_id", "window", "start", "end"])
+
+    return found.mapInArrow(run, f"words long, first_id {kind}, last_id {kind}, window long, start int, end int").distinct()
+
+
+def _merged(spans):
+    """Sorted ranges, overlapping or touching ones merged."""
+    return F.aggregate(spans, F.array().cast("array<struct<start:int,end:int>>"), lambda acc, x: F.when(
+        (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] + 1 >= x["start"]),
+        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
+            F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))))
+        .otherwise(F.concat(acc, F.array(x))))
+
+
+def shared_windows(docs: DataFrame, units: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, first_id, start, end)``: ranges that cover exactly the ``SPAN``-word windows shared with another document."""
+    grams = cut_lineage(units.groupBy("gram").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"),
+                                                  (F.min("words") != F.max("words")).alias("mixed"))
+                        .where("first_id != last_id").select("gram", "first_id", "mixed"))
+    near = cut_lineage(units.join(grams, "gram").select("words", "id", "text_hash", "start", "end", "first_id", "mixed"))
+    wanted = (near.where("mixed").groupBy("words").agg(F.min(F.struct("id", "text_hash", "start", "end")).alias("at"), F.max("id").alias("last_id"))
+              .select("words", "at.*", "last_id"))
+    windows = cut_lineage(_windows(docs, wanted, id_col, text_col))
+    met = (windows.groupBy("window").agg(F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"))
+           .where("first_id != last_id").select("window", "first_id"))
+    marks = (windows.select("words", "window", "start", "end").join(met, "window").groupBy("words", "first_id")
+             .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("at"))
+             .select("words", F.col("first_id").alias("f"), _merged("at").alias("at")))
+    some = (near.where("mixed").select("words", "id", F.col("start").alias("zero")).join(cut_lineage(marks), "words")
+            .select("id", F.col("f").alias("first_id"), "zero", F.explode("at").alias("x"))
+            .select("id", "first_id", (F.col("zero") + F.col("x.start")).alias("start"), (F.col("zero") + F.col("x.end")).alias("end")))
+    return near.where("not mixed").select("id", "first_id", "start", "end").unionByName(some)
 
 
 def _similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -296,8 +440,9 @@ def duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     One row for each document and each document ``first_id`` that holds its passages first (the
     smallest id of the passage's class). ``spans``: merged code point ranges, ``n_chars`` their length;
-    ``removed`` is false where the document itself is the first. Passages under ``least`` words, and
-    passages that repeat only inside one document, are left alone, so documents without
+    ``removed`` is false where the document itself is the first. Windows of ``SPAN`` words are marked where
+    they reach beyond the document's shared paragraphs and runs. Shorter wrapped passages, passages under
+    ``least`` words, and passages that repeat only inside one document, are left alone, so documents without
     shared passages have no row. Null and empty texts have no passages; null ids are left
     out; rows repeated whole are one document; an empty table gives no rows.
     """
@@ -311,18 +456,19 @@ def duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = cut_lineage(classes.groupBy("root").agg(F.min("id").alias("first_id"), F.max("last").alias("last_id"))
                          .where("first_id != last_id"))
     line_of = cut_lineage(classes.join(shared, "root").select("words", "first_id"))
-    run_of = cut_lineage(every.where("bands is null").groupBy("words").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    runs = every.where("bands is null and gram is null")
+    run_of = cut_lineage(runs.groupBy("words").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
                          .where("first_id != last_id").select("words", "first_id"))
-    hits = (every.where("bands is not null").select("words", "id", "start", "end").join(line_of, "words")
-            .unionByName(every.where("bands is null").select("words", "id", "start", "end").join(run_of, "words")))
+    hits = cut_lineage(every.where("bands is not null").select("words", "id", "start", "end").join(line_of, "words")
+                       .unionByName(runs.select("words", "id", "start", "end").join(run_of, "words")).drop("words"))
     spans = F.array_sort(F.collect_set(F.struct("start", "end")))
-    # sorted ranges, overlapping or touching ones merged
-    merged = F.aggregate("spans", F.array().cast("array<struct<start:int,end:int>>"), lambda acc, x: F.when(
-        (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] + 1 >= x["start"]),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
-            F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))))
-        .otherwise(F.concat(acc, F.array(x))))
-    out = hits.groupBy("id", "first_id").agg(spans.alias("spans")).withColumn("spans", merged)
+    found = cut_lineage(shared_windows(docs, every.where("gram is not null"), id_col, text_col)
+                        .groupBy("id", "first_id").agg(spans.alias("at")).select("id", "first_id", _merged("at").alias("at")))
+    marked = hits.groupBy("id").agg(spans.alias("marked")).withColumn("marked", _merged("marked"))
+    beyond = found.join(marked, "id", "left").select("id", "first_id", F.explode(F.when(F.col("marked").isNull(), F.col("at")).otherwise(
+        F.filter("at", lambda x: ~F.exists("marked", lambda m: (m["start"] <= x["start"]) & (x["end"] <= m["end"]))))).alias("x"))
+    hits = hits.unionByName(beyond.select("id", "first_id", "x.start", "x.end"))
+    out = hits.groupBy("id", "first_id").agg(spans.alias("spans")).withColumn("spans", _merged("spans"))
     return out.select(F.col("id").alias(id_col), "first_id", (F.col("id") != F.col("first_id")).alias("removed"),
                       F.size("spans").alias("n_passages"),
                       F.aggregate("spans", F.lit(0), lambda a, x: a + x["end"] - x["start"]).alias("n_chars"), "spans")

@@ -3,10 +3,12 @@
 import hashlib
 import json
 import random
+import re
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -320,6 +322,70 @@ def test_passages_inside_lines(spark):
         assert any(shared.lower()[:100] in texts[x["doc_id"]][s["start"]:s["end"]].lower() for s in x["spans"])
 
 
+def brute_windows(texts, n=50):
+    """Words (document, place) of windows of ``n`` words that another document holds too."""
+    words = [(t or "").lower().split() for t in texts]
+    at = {}
+    for d, w in enumerate(words):
+        for i in range(len(w) - n + 1):
+            at.setdefault(tuple(w[i:i + n]), set()).add((d, i))
+    return {(d, i + k) for places in at.values() if len({d for d, _ in places}) > 1 for d, i in places for k in range(n)}
+
+
+def marked_words(texts, got):
+    out = set()
+    for x in got:
+        for i, m in enumerate(re.finditer(r"\S+", texts[x["doc_id"]] or "")):
+            if any(s["start"] <= m.start() and m.end() <= s["end"] for s in x["spans"]):
+                out.add((x["doc_id"], i))
+    return out
+
+
+def test_passages_across_lines_and_mid_sentence(spark, monkeypatch):
+    """Wrapped, re-wrapped and mid-sentence copies are marked exactly as far as windows are shared."""
+    def wrap(words, n, by=" "):
+        return "\n".join(by.join(words[i:i + n]) for i in range(0, len(words), n))
+
+    plain = [prose(400, 7000 + s).replace(".", "").split() for s in range(24)]
+    texts = [wrap(w, 9) for w in plain]                        # lines too short for paragraphs
+    texts[3] = wrap(plain[3][:150] + plain[1][100:160] + plain[3][150:], 7)
+    texts[4] = " ".join(plain[4][:80] + plain[1][120:170] + plain[4][80:])          # 50 words, mid-sentence
+    texts[5] = wrap(plain[5][:80] + plain[2][0:49] + plain[5][80:], 9)              # 49 words: too few
+    texts[6] = wrap(plain[6][:20] + plain[2][30:330] + plain[6][20:], 11, "  ")
+    texts[8] = wrap(plain[2][200:270] + plain[8], 13, " \t").upper()
+    texts[9] = texts[10] = wrap(plain[9] + plain[3][40:149], 6)
+    texts += [None, "", wrap(plain[12][:50], 10), wrap(plain[12][:51], 10)]
+    want = brute_windows(texts)
+    got = passages.duplicate_passages(frame(spark, texts)).collect()
+    assert marked_words(texts, got) == want and len({d for d, _ in want}) == 11
+    assert {(x["doc_id"], x["first_id"]) for x in got if x["doc_id"] in (4, 8, 10)} == {(4, 1), (8, 2), (10, 3), (10, 9)}
+    long = [" ".join(plain[13] + plain[14]) + "\n" + wrap(plain[15], 9), wrap(plain[16], 9) + "\n" + wrap(plain[14][300:] + plain[15][:100], 8)]
+    for chunk in (1 << 20, 700):                               # a text read in pieces loses no window
+        monkeypatch.setattr(passages, "CHUNK", chunk)
+        batch = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([0, 1]), pa.array(long)], names=["id", "text_hash", "t"])
+        covered = set()
+        for b in passages._emit(batch, 20):
+            for x in b.to_pylist():
+                if x["gram"] is not None:
+                    w = [m.start() for m in re.finditer(r"\S+", long[x["id"]]) if x["start"] <= m.start() < x["end"]]
+                    covered |= {(x["id"], s) for s in w[:len(w) - 49]}
+        starts = [[m.start() for m in re.finditer(r"\S+", t)] for t in long]
+        assert covered == {(i, s) for i, w in enumerate(starts) for s in w[:len(w) - 49]}
+
+
+def test_passages_without_ascii_blanks(spark):
+    r = random.Random(5)
+    han = ["".join(chr(0x4E00 + r.randrange(3000)) for _ in range(90)) for _ in range(4)]
+    wide = "\u3000".join(prose(60, 7100).replace(".", "").split())
+    texts = [han[0], han[1][:40] + han[0][10:80] + han[1][40:], han[2], wide, prose(30, 7101) + "\u00a0" + wide.replace("\u3000", "\u00a0")]
+    got = {(x["doc_id"], x["first_id"]): x for x in passages.duplicate_passages(frame(spark, texts)).collect()}
+    assert set(got) == {(0, 0), (1, 0), (3, 3), (4, 3)}
+    assert [texts[1][s["start"]:s["end"]] for s in got[1, 0]["spans"]] == [han[0][10:80]]
+    quoted = prose(24, 7102).replace(".", "") + '."'
+    stop = [prose(30, 7103).replace(".", "") + '." ' + quoted + " " + prose(20, 7104), prose(9, 7105) + "! " + quoted + " " + prose(40, 7106)]
+    assert {(x["doc_id"], x["first_id"]) for x in passages.duplicate_passages(frame(spark, stop)).collect()} == {(0, 0), (1, 0)}
+
+
 def test_passages_edges(spark):
     got = passages.duplicate_passages(messy(spark)).collect()
     assert {(x["doc_id"], x["first_id"]) for x in got} == {(6, 6), (7, 6)}
