@@ -6,6 +6,9 @@ over tags met; zero inside menus, forms, adverts and the like). The ratios are s
 a Gaussian kernel and a threshold splits the lines into content and the rest. The
 content region is the container that holds the content clusters; every line of it that is
 not boilerplate is text, however short.
+
+A class or id word and a form only suggest boilerplate: they may as well stand on a wrapper
+round the article. What they suggest is weighed once the page is read (``_Lines.dropped``).
 """
 
 from __future__ import annotations
@@ -36,18 +39,21 @@ sponsor sponsored sponsors subscribe subscription toolbar toc topbar widget widg
 TOKENS = re.compile(r"[a-z]+|[A-Z][a-z]*").findall
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden").search
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
+HEADED = frozenset("article content entry post story".split())     # "entry-header" is the article's own
 SIGMA = 1.0
 CENTRE_SHARE = 0.7       # share of the content mass the region's container must hold
 
 
 class _Lines(HTMLParser):
-    """Lines of a page: ``(text, ratio, boilerplate, container path)``."""
+    """Lines of a page: ``(text, outside links, tags, boilerplate, node, owner)``; an owner is the page, a
+    suggested drop or an article or main."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = [("", 0, False)]   # tag, node, boilerplate
+        self.stack: list[tuple[str, int, bool, int]] = [("", 0, False, 0)]   # tag, node, boilerplate, owner
+        self.owners: list[tuple[int, str | None]] = [(-1, None)]     # of each: parent, what suggested the drop
         self.parents: list[tuple[int, str]] = [(-1, "")]             # of each node: parent, tag
-        self.lines: list[tuple[str, int, int, bool, int]] = []       # text, outside links, tags, boilerplate, node
+        self.lines: list[tuple[str, int, int, bool, int, int]] = []
         self.text: list[str] = []
         self.link = self.in_link = self.tags = 0
 
@@ -57,7 +63,8 @@ class _Lines(HTMLParser):
     def _flush(self):
         words = " ".join("".join(self.text).split())
         if words or self.tags:
-            self.lines.append((words, max(0, len(words) - self.in_link), self.tags, self.stack[-1][2], self._node()))
+            _, _, drop, owner = self._block()
+            self.lines.append((words, max(0, len(words) - self.in_link), self.tags, drop, self._node(), owner))
         self.text, self.in_link, self.tags = [], 0, 0
 
     def _node(self) -> int:
@@ -96,21 +103,32 @@ class _Lines(HTMLParser):
                 if self.stack[i][0] in ("nav", "header", "head", "footer"):
                     self._pop(i)
         own = dict(attrs)
-        inside = self.stack[-1][2]
-        path = [t for t, _, _ in self.stack]
-        drop = inside or tag in DROPPED or tag == "header" and not ("article" in path or "main" in path)
-        if not drop and tag not in ("html", "body", "article", "main"):
+        _, _, inside, owner = self.stack[-1]
+        named = any(t in ("article", "main") for t, *_ in self.stack)
+        role = (own.get("role") or "").lower()
+        drop = inside or tag in DROPPED and tag != "form" or tag == "header" and not named
+        was = owner
+        if tag in ("article", "main"):
+            self.owners.append((owner, None))
+            owner = len(self.owners) - 1
+        elif not drop and tag not in ("html", "body"):
+            drop = (role in ROLES and role != "form" or "hidden" in own or own.get("aria-hidden") == "true"
+                    or bool(HIDDEN((own.get("style") or "").lower())))
             marks = f"{own.get('class') or ''} {own.get('id') or ''}"
-            drop = ((own.get("role") or "").lower() in ROLES or "hidden" in own or own.get("aria-hidden") == "true"
-                    or bool(HIDDEN((own.get("style") or "").lower()))
-                    or marks != " " and any(t.lower() in HINTS for t in TOKENS(marks)))
+            words = {t.lower() for t in TOKENS(marks)} if marks != " " else set()
+            hints = words & HINTS
+            if hints == {"header"} and (named or words & HEADED):
+                hints = None
+            if not drop and (tag == "form" or role == "form" or hints):
+                self.owners.append((owner, f"{tag} {marks}"))
+                owner = len(self.owners) - 1
         node = self._node()
         if tag in CONTAINERS:
             self.parents.append((node, tag))
             node = len(self.parents) - 1
-        if drop and not inside and tag not in BLOCKS:
+        if (drop and not inside or owner != was) and tag not in BLOCKS:
             self.text.append(" ")                    # dropped inline element: its neighbours stay apart
-        self.stack.append((tag, node, drop))
+        self.stack.append((tag, node, drop, owner))
         self.link += tag == "a"
 
     def handle_startendtag(self, tag, attrs):
@@ -126,29 +144,81 @@ class _Lines(HTMLParser):
         if tag == "br":
             self.text.append("\n")
         self.tags += 1
-        if tag == "p" and all(t != "p" for t, _, _ in self.stack):
+        if tag == "p" and all(t != "p" for t, *_ in self.stack):
             return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i][0] == tag:
-                self.link -= sum(t == "a" for t, _, _ in self.stack[i:])
+                self.link -= sum(t == "a" for t, *_ in self.stack[i:])
                 self._pop(i)
                 return
             if self.stack[i][0] in ("article", "main", "body") and tag not in ("article", "main", "body", "html"):
                 return
 
     def handle_data(self, data):
-        tag, _, drop = self.stack[-1]
-        if drop and tag not in BLOCKS and not self._block_dropped():
+        if self.stack[-1][2:] != self._block()[2:]:
             return                                   # a dropped inline element in a kept block
         self.text.append(data)
         if self.link > 0:
             self.in_link += len(data.strip())
 
-    def _block_dropped(self) -> bool:
-        for tag, _, drop in reversed(self.stack):
-            if tag in BLOCKS:
-                return drop
-        return False
+    def _block(self) -> tuple[str, int, bool, int]:
+        """The innermost open block-level element (the page itself if there is none)."""
+        for x in reversed(self.stack):
+            if x[0] in BLOCKS:
+                return x
+        return self.stack[0]
+
+    def dropped(self) -> list[bool]:
+        """Of each line whether it is boilerplate.
+
+        Suggested drops of one tag, class and id that hold most of the page's text outside links are lifted, with
+        the drops around them, unless an article or main stands under fewer drops; the ratios decide there. Where an
+        article or main has text outside of drops, this goes for drops inside one only, and not while a fourth of the
+        text lies outside of all. Failing that, where no article or main is left, the least deeply dropped ones end
+        the drops around them; failing that, where no text is left, the heaviest suggested drops are lifted.
+        """
+        over, named = [0], [False]                   # of each owner: suggested drops from the page down, inside an article or main
+        for parent, mark in self.owners[1:]:
+            over.append(over[parent] + (mark is not None))
+            named.append(named[parent] or mark is None)
+        mass = [0] * len(self.owners)
+        for x in self.lines:
+            if not x[3]:
+                mass[x[5]] += x[1]
+        total = sum(mass)
+        lifted = set()
+        by_mark: dict[str, int] = {}
+        inside: dict[int, int] = {}                  # suggested drop -> its text, without what further drops hold
+        for i, m in enumerate(mass):
+            at = i
+            while at > 0 and self.owners[at][1] is None:
+                at = self.owners[at][0]
+            if at > 0 and m:
+                inside[at] = inside.get(at, 0) + m
+        kept = sum(m for m, n, d in zip(mass, named, over) if n and not d)
+        plain = sum(m for m, d in zip(mass, over) if not d)
+        if kept:
+            inside = {i: m for i, m in inside.items() if named[i]}
+        for i, m in inside.items():
+            by_mark[self.owners[i][1]] = by_mark.get(self.owners[i][1], 0) + m
+        best = max(by_mark, key=by_mark.get, default=None)
+        articles = [i for i, (_, mark) in enumerate(self.owners) if i and mark is None and mass[i] and over[i]]
+        least = min((over[i] for i in articles), default=len(over))
+        lift = (best is not None and (not kept or 4 * plain < total) and 2 * by_mark[best] > total
+                and (kept or min(over[i] for i in inside if self.owners[i][1] == best) <= least))
+        if not lift and not kept and articles:
+            lifted |= {i for i in articles if over[i] == least}
+        elif lift or best is not None and not plain:
+            for i in inside:
+                if self.owners[i][1] == best:
+                    while i > 0:
+                        if self.owners[i][1] is not None:
+                            lifted.add(i)
+                        i = self.owners[i][0]
+        gone = [False]
+        for i, (parent, mark) in enumerate(self.owners[1:], 1):
+            gone.append(False if mark is None and i in lifted else gone[parent] or mark is not None and i not in lifted)
+        return [x[3] or gone[x[5]] for x in self.lines]
 
     def close(self):
         super().close()
@@ -168,11 +238,11 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     page = _Lines()
     page.feed(html)
     page.close()
-    lines = page.lines
-    kept = [i for i, x in enumerate(lines) if x[0] and not x[3]]
+    lines, dropped = page.lines, page.dropped()
+    kept = [i for i, x in enumerate(lines) if x[0] and not dropped[i]]
     if not kept:
         return ""
-    ratio = np.array([0.0 if x[3] else x[1] / max(1, x[2]) for x in lines])
+    ratio = np.array([0.0 if d else x[1] / max(1, x[2]) for x, d in zip(lines, dropped)])
     smooth = _smooth(ratio, sigma)
     threshold = smooth.std()
     content = [i for i in kept if smooth[i] > threshold and ratio[i] > 0] or kept

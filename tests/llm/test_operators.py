@@ -414,6 +414,30 @@ def test_page_text():
     assert html_text.main_text("plain &lt;text&gt;") == "plain <text>"
 
 
+def test_page_text_in_hinted_wrappers():
+    """A wrapper whose class, id or tag only sounds like boilerplate does not take the article with it."""
+    body = "".join(f"<p>Paragraph {i} of the article, with a good number of words to count as content.</p>" for i in range(4))
+    want = "\n\n".join(f"Paragraph {i} of the article, with a good number of words to count as content." for i in range(4))
+    side = '<div class="sidebar"><p>A sidebar teaser that has some words as well.</p></div>'
+    talk = '<section id="comments">' + "<article class=comment><p>A reader comment with some words in it.</p></article>" * 2 + "</section>"
+    for wrap in ('div class="layout with-sidebar"', 'div id="content-sidebar-wrap"', 'div class="post has-comments"',
+                 'div class="search-results"', "form action=/", 'x-page class="layout with-sidebar"', "main><div class='with-sidebar'"):
+        end = wrap.split()[0].split(">")[0]
+        for inner in (f"<article>{body}</article>", f"<main>{body}</main>", f"<div>{body}</div>", f'<div class="related-wrap">{body}</div>'):
+            page = f"<body><nav><a href=/>Home</a></nav><{wrap}>{inner}{side}{talk}</{end}><footer>f</footer>"
+            assert html_text.main_text(page) == want, (wrap, inner)
+    short = "<article><p>One short paragraph of an article.</p></article>"
+    assert html_text.main_text(f'<div class="with-sidebar">{short}{talk}</div>') == "One short paragraph of an article."
+    posts = "".join(f'<div class="post has-comments">{p}</p></div>' for p in body.split("</p>")[:-1])
+    assert html_text.main_text(f"<body>{posts}{side}") == want
+    for head in ('<article><div class="entry-header"><h1>The headline</h1></div>', '<article><div id="header"><h1>The headline</h1></div>',
+                 '<div class="post"><div class="entry-header"><h1>The headline of it</h1></div>'):
+        assert html_text.main_text(f"<body>{head}{body}").endswith(want) and "The headline" in html_text.main_text(f"<body>{head}{body}")
+    assert html_text.main_text('<div class="ad">' + body + "</div><article><p>Tiny.</article>") == "Tiny."
+    assert html_text.main_text(f'<article><h1>T</h1><div class="entry share-wrap">{body}</div></article>') == "T\n\n" + want
+    assert html_text.main_text(f"<article>{body}<form><p>Your mail address</p></form>{talk}</article>{side}") == want
+
+
 def test_pages_edges(spark):
     rows = [(1, "u", None), (2, None, "<p>a"), (None, "u", "<article><p>b</article>"), (4, "u", "<div>" * 3000 + "deep"), (4, "u", "<p>a")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
