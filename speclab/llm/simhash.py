@@ -62,12 +62,14 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int(np.packbits((2 * votes > n).astype(np.uint8), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """``(id_col, fp)`` per document; ``fp`` holds the 64 bits as a long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
+                 more: list[str] | None = None) -> DataFrame:
+    """``(id_col, *more, fp)`` per document; ``fp`` holds the 64 bits as a long."""
     def make(texts):
         fp = np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts))
         return {"fp": pa.array(fp.view(np.int64))}
-    return map_texts(docs, id_col, text_col, [], f"`{id_col}` {type_of(docs, id_col)}, fp long", make)
+    schema = ", ".join(f"`{c}` {type_of(docs, c)}" for c in (id_col, *(more or [])))
+    return map_texts(docs, id_col, text_col, more or [], f"{schema}, fp long", make)
 
 
 def _masks(width: int, flips: int) -> np.ndarray:
@@ -233,19 +235,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose id is its near-duplicate group's smallest, all their columns.
+    """The first row of each near-duplicate group of ``docs``, all its columns.
 
-    Rows repeated whole and other rows with that id are reduced to one; rows with a null id are kept, as
-    they cannot be told apart from the group's other members.
+    First is the smallest id, null ids last, then the smallest text hash; so an id that stands on several
+    texts keeps each one that is first in its group. Rows with equal id and text are reduced to one.
     """
-    groups = cut_lineage(near_duplicates(docs, id_col, text_col, shingle, radius)
-                         .select(F.col(id_col).alias("sh_id"), "component_id").where("sh_id is not null"))
-    # the ids that go are few beside those that stay: texts need not be shuffled to find them
-    gone = cut_lineage(groups.groupBy("sh_id").agg(F.max(F.col("sh_id") == F.col("component_id")).alias("first"))
-                       .where("not first").select("sh_id"))
-    kept = docs.join(gone, docs[id_col] == F.col("sh_id"), "left_anti")
-    twice = cut_lineage(groups.groupBy("sh_id").count().where("count > 1").select("sh_id"))
-    if twice.isEmpty():
+    slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("t"), F.xxhash64(docs[text_col]).alias("text_hash"))
+    own = cut_lineage(fingerprints(slim, "id", "t", shingle, ["text_hash"]))
+    fps = cut_lineage(own.select("fp").distinct())
+    roots = connected_components(fingerprint_links(fps, fps.count(), radius))
+    rows = cut_lineage(own.join(roots, own.fp == roots.node, "left").groupBy("id", "text_hash")
+                       .agg(F.first(F.coalesce("root", "fp")).alias("root"), F.count("*").alias("n")))
+    first = cut_lineage(rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("at"))
+                        .select("at.id", "at.text_hash"))
+    # the rows that go are few beside those that stay: texts need not be shuffled to find them
+    gone = cut_lineage(_beside(rows, first, rows["id"], rows["text_hash"], "left_anti").select("id", "text_hash"))
+    kept = _beside(docs, gone, docs[id_col], F.xxhash64(docs[text_col]), "left_anti")
+    again = cut_lineage(rows.where("n > 1").select("id", "text_hash"))
+    if again.isEmpty():
         return kept
-    again = kept.join(twice, kept[id_col] == F.col("sh_id"), "left_semi").dropDuplicates([id_col])
-    return kept.join(twice, kept[id_col] == F.col("sh_id"), "left_anti").unionByName(again)
+    once = _beside(kept, again, kept[id_col], F.xxhash64(kept[text_col]), "left_semi").dropDuplicates([id_col, text_col])
+    return _beside(kept, again, kept[id_col], F.xxhash64(kept[text_col]), "left_anti").unionByName(once)
+
+
+def _beside(rows: DataFrame, keys: DataFrame, own_id, own_hash, how: str) -> DataFrame:
+    """Rows with (``left_semi``) or without (``left_anti``) a key ``(id, text_hash)``; null ids are equal."""
+    keys = keys.select(F.col("id").alias("sh_id"), F.col("text_hash").alias("sh_hash"))
+    return rows.join(keys, own_id.eqNullSafe(F.col("sh_id")) & (own_hash == F.col("sh_hash")), how)

@@ -172,6 +172,17 @@ def test_simhash_edges(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_first(twice).collect()) == [1, 2]     # an id that is first once stays, once
 
 
+def test_keep_first_goes_by_rows(spark):
+    """Every group keeps one row, its least by id (null last) and text hash, whatever the order of the rows."""
+    a, b, c, d, e, f = (prose(50, 8000 + s) for s in range(6))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, d), (None, a), (None, e), (None, e), (None, f), (4, f), (3, d), (5, None), (None, "")]
+    rows = [(i, t, "en", "s", 1) for i, t in rows]
+    want = {(1, a), (2, b), (3, c), (3, d), (None, e), (4, f), (5, None)}
+    for order in (rows, rows[::-1]):
+        got = simhash.keep_first(spark.createDataFrame(order, SCHEMA).repartition(3, "text")).collect()
+        assert {(r["doc_id"], r["text"]) for r in got} == want and len(got) == len(want)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 100 + i) for i in range(30)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     got = dict(map(tuple, components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
