@@ -46,6 +46,9 @@ UNICODE_BLANKS = np.array([0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0
 UNSPACED = ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3001, 0x9FFF), (0xF900, 0xFAFF), (0xFF00, 0xFFEF), (0x20000, 0x3FFFF))
 STOPS = np.array([0x61F, 0x6D4, 0x964, 0x2026, 0x3002, 0xFF01, 0xFF0E, 0xFF1F])
 CLOSERS = np.array([0xBB, 0x2019, 0x201D])
+BLANK_BYTES = np.isin(np.arange(256), [32, *range(9, 14), *range(28, 32)])
+STOP_BYTES = np.isin(np.arange(256), list(b".!?"))
+CLOSER_BYTES = np.isin(np.arange(256), list(b"\"')]}*")).astype(np.uint8)
 LOWER_TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -58,13 +61,23 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}     # a plain table: it travels with the pickled code
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``BASE`` and ``UNBASE`` up to ``n``; kept up to a few chunks' length."""
+    size = 1 << max(16, n.bit_length())
+    got = POWERS.get(size) or tuple(np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size, b)])) for b in (BASE, UNBASE))
+    if size <= 4 * CHUNK:
+        POWERS[size] = got
+    return got
+
+
 def _ranges(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Order-dependent hashes of the ranges [first, end) of a uint64 array."""
     if not len(first):
         return np.zeros(0, np.uint64)
-    longest = len(values) + 1
-    power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(longest, BASE)]))
-    unpower = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(longest, UNBASE)]))
+    power, unpower = _powers(len(values))
     total = np.concatenate([[np.uint64(0)], np.cumsum(values * power[:len(values)], dtype=np.uint64)])
     return _mix((total[end] - total[first]) * unpower[first] + (end - first).astype(np.uint64))
 
@@ -87,10 +100,9 @@ class Layout:
         coded = [t.encode("utf-8", "surrogatepass") for t in texts]
         buf = b"\n".join(coded) + b"\n"
         raw = np.frombuffer(buf, np.uint8)
-        blank = (raw == 32) | ((raw >= 9) & (raw <= 13)) | ((raw >= 28) & (raw <= 31))
+        blank = BLANK_BYTES[raw]
         solo, head = np.zeros(len(raw), bool), np.zeros(len(raw), bool)   # characters that are words of their own
-        stops = np.isin(raw, np.frombuffer(b".!?", np.uint8))
-        closer = np.isin(raw, np.frombuffer(b"\"')]}*", np.uint8)).astype(np.int64)     # bytes of a closing mark that ends here
+        stops, closer = STOP_BYTES[raw], CLOSER_BYTES[raw]        # closer: bytes of a closing mark that ends here
         wide, wide_size, code = _wide(raw)
         alone = np.zeros(len(code), bool)
         for low, high in UNSPACED:
@@ -293,7 +305,7 @@ def _windows(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
                          pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))],
                         names=["words", "first_id", "last_id", "window", "start", "end"])
 
-    return found.mapInArrow(run, f"words long, first_id {kind}, last_id {kind}, window long, start int, end int").distinct()
+    return found.mapInArrow(run, f"words long, first_id {kind}, last_id {kind}, window long, start int, end int")
 
 
 def _merged(spans):
