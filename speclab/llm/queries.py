@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speclab.llm import decontaminate, html_text, language, mixing, passages, sharding, simhash, token_count, topk, toxicity
+from speclab.llm import (decontaminate, fill_middle, html_text, language, mixing, packing, passages, sharding, simhash, spelling,
+                         token_count, topk, toxicity)
 from speclab.llm.common import table
 
 QUERIES = {}
@@ -91,3 +92,23 @@ ORACLE["op2_exact_topk"] = topk.ORACLE
 @_query
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.duplicate_passages(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.restore(fill_middle.transform(table(spark, sf_dir, "documents")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2("restored", 256).alias("restored_sha256"))
+
+
+ORACLE["op12_fill_middle"] = fill_middle.ORACLE
+
+
+@_query
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
