@@ -112,3 +112,6 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_spelling_variants"] = spelling.ORACLE

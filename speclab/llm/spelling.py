@@ -158,3 +158,42 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     formed = linked.select("word", "n", "n_near", F.when(good, F.col("near")).alias("form"), F.when(good, F.col("near_n")).alias("form_n"))
     root = follow(formed.where("form is not null"))
     return formed.join(root, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+
+
+# crc32 by its byte table, made here bit by bit; a pair one character apart shares the rest beside one position
+ORACLE = f"""
+WITH tab AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS r FROM documents),
+own AS (SELECT doc_id, r, count(*) AS n FROM runs WHERE length(r) >= {LEAST_CHARS} GROUP BY ALL),
+hexed AS (SELECT r, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || r)) AS x FROM own),
+hashed AS (
+  SELECT r, n, xor(list_reduce(list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h
+  FROM hexed, tab),
+w AS (
+  SELECT CASE WHEN h % {DROP_EVERY} = 0 THEN substr(r, 1, (h % length(r))::INT) || substr(r, (h % length(r))::INT + 2) ELSE r END AS word, n FROM hashed),
+c AS (SELECT word, sum(n)::BIGINT AS n FROM w WHERE length(word) >= {LEAST_CHARS} GROUP BY word HAVING sum(n) >= {LEAST_COUNT}),
+rest AS (
+  SELECT word, p, substr(word, 1, p) || substr(word, p + 2) AS k, length(word) AS size
+  FROM (SELECT word, unnest(range(length(word)))::INT AS p FROM c)),
+near AS (
+  SELECT a.word, b.word AS near FROM rest a JOIN rest b ON a.p = b.p AND a.k = b.k AND a.size = b.size AND a.word != b.word
+  UNION SELECT word, k FROM rest WHERE k IN (SELECT word FROM c)
+  UNION SELECT k, word FROM rest WHERE k IN (SELECT word FROM c)),
+best AS (
+  SELECT a.word, count(*) AS n_near, min(struct_pack(o := -b.n, w := near)) AS first
+  FROM near a JOIN c b ON b.word = a.near GROUP BY a.word),
+linked AS (
+  SELECT c.word, c.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -first.o >= {MORE} * c.n THEN first.w END AS form,
+    CASE WHEN -first.o >= {MORE} * c.n THEN -first.o END AS form_n
+  FROM c LEFT JOIN best ON best.word = c.word),
+path AS (
+  WITH RECURSIVE p(word, last) AS (
+    SELECT word, word FROM c
+    UNION ALL SELECT p.word, l.form FROM p JOIN linked l ON l.word = p.last WHERE l.form IS NOT NULL)
+  SELECT p.word, p.last AS root FROM p JOIN linked l ON l.word = p.last WHERE l.form IS NULL)
+SELECT l.word, form, root, n, n_near, form_n::BIGINT AS form_n FROM linked l JOIN path ON path.word = l.word
+"""
