@@ -69,6 +69,15 @@ def rank_of(df: DataFrame, keys: Sequence[str], value: str, tie: str, ranges: in
                 .drop("_b", "_boff"))
 
 
+def average_ranks(vc: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, value, rank, n) from value counts: the rank, from 1, that equal values of a key share, and the key's rows."""
+    keys = list(keys)
+    vc = ranged(vc, keys, [value]) if "_b" not in vc.columns else vc
+    below = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return (vc.join(_range_offsets(vc, keys).select(*keys, "_b", "_boff", "n"), keys + ["_b"])
+              .select(*keys, value, (F.col("_boff") + F.coalesce(F.sum("cnt").over(below), F.lit(0)) + (F.col("cnt") + 1) / 2).alias("rank"), "n"))
+
+
 def exact_quantiles(df: DataFrame | None, keys: Sequence[str], value: str, probs: Sequence[float],
                     vc: DataFrame | None = None) -> DataFrame:
     """(keys, prob, quantile) with linear interpolation; exact, distributed.

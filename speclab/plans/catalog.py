@@ -1056,3 +1056,5 @@ def _reg_stages(t):
 
 for _t in ("t2", "t3", "t5", "t6"):
     _reg_stages(_t)
+
+from speclab.plans import insights  # noqa: E402,F401  (registers its queries)
