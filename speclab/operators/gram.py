@@ -66,9 +66,9 @@ def correlation_of(sums: DataFrame) -> DataFrame:
     n = F.col("n")
     va, vb = n * F.col("qa") - F.col("sa") * F.col("sa"), n * F.col("qb") - F.col("sb") * F.col("sb")
     varies = (va > CONSTANT * n * F.col("qa")) & (vb > CONSTANT * n * F.col("qb")) & (n > 1)
-    r = F.when(varies, (n * F.col("g") - F.col("sa") * F.col("sb")) / (F.sqrt(va) * F.sqrt(vb)))
-    same = F.when(varies, F.lit(1.0))
-    return sums.withColumn("r", F.when(F.col("pos_a") == F.col("pos_b"), same).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))))
+    r = (n * F.col("g") - F.col("sa") * F.col("sb")) / (F.sqrt(va) * F.sqrt(vb))
+    r = F.when(F.col("pos_a") == F.col("pos_b"), F.lit(1.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    return sums.withColumn("r", F.when(varies, r))
 
 
 def named(cells: DataFrame, columns: Sequence[str], full: bool) -> DataFrame:

@@ -42,18 +42,20 @@ def impute_missing(df: DataFrame, medians: DataFrame, features: Sequence[str], g
     """
     feats = list(features)
     overall = {r["variable"]: r["value"] for r in medians.where(F.col("level") == OVERALL).collect()}
+    kept = df.columns
     if group is not None:
-        slim = medians.where(F.col("level") == "group").groupBy(F.col("group_value").alias("_gv")).agg(
-            *[F.max(F.when(F.col("variable") == f, F.col("value"))).alias(f"_m{i}") for i, f in enumerate(feats)])
-        df = df.join(slim, F.col(group).cast("string").eqNullSafe(F.col("_gv")), "left")
+        own = "_m"
+        while any(c.startswith(own) for c in kept):      # names the input does not use
+            own = "_" + own
+        slim = medians.where(F.col("level") == "group").groupBy(F.col("group_value").alias(own)).agg(
+            *[F.max(F.when(F.col("variable") == f, F.col("value"))).alias(f"{own}{i}") for i, f in enumerate(feats)])
+        df = df.join(slim, F.col(group).cast("string").eqNullSafe(F.col(own)), "left")
     out = []
-    for c in df.columns:
+    for c in kept:
         if c in feats:
-            i = feats.index(c)
             v = F.col(c).cast("string").try_cast("double")
-            v = F.when(~F.isnan(v), v)
-            fill = [F.col(f"_m{i}")] if group is not None else []
-            out.append(F.coalesce(v, *fill, F.lit(overall.get(c)).cast("double")).alias(c))
-        elif c != "_gv" and not (group is not None and c in {f"_m{i}" for i in range(len(feats))}):
+            fill = [F.col(f"{own}{feats.index(c)}")] if group is not None else []
+            out.append(F.coalesce(F.when(~F.isnan(v), v), *fill, F.lit(overall.get(c)).cast("double")).alias(c))
+        else:
             out.append(F.col(c))
     return df.select(*out)

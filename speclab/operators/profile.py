@@ -226,8 +226,10 @@ def melt_features(df: DataFrame, id_vars: Sequence[str], variables: Sequence[str
                   var_name: str = "variable", value_name: str = "value") -> DataFrame:
     """Wide -> long with numeric coercion (dirty text -> NULL, NaN -> NULL)."""
     def num(c):
-        return (F.when(~F.isnan(F.col(c)), F.col(c)) if _is_float(df, c)
-                else coerce_numeric(F.col(c).cast("string") if df.schema[c].dataType == T.BooleanType() else F.col(c)))
+        if isinstance(df.schema[c].dataType, (T.StringType, T.BooleanType)):
+            v = coerce_numeric(F.col(c).cast("string"))
+            return F.when(~F.isnan(v), v)          # the text "nan" is missing too
+        return F.when(~F.isnan(F.col(c)), F.col(c)) if _is_float(df, c) else coerce_numeric(F.col(c))
     proj = df.select(*id_vars, *[num(c).cast("double").alias(c) for c in variables])
     return proj.unpivot(list(id_vars), list(variables), var_name, value_name)
 

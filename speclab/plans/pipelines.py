@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from speclab.functions import scalar as S
 from speclab.operators import clean as B
+from speclab.operators import impute
 from speclab.operators import metrics as H
 from speclab.operators import models as ML
 from speclab.operators import profile as D
@@ -103,8 +104,8 @@ def preprocess(spark: SparkSession, sf_dir: str, spec: TargetSpec, rd: DataFrame
                smote_k: int = 5) -> Prepared:
     """Stage 01 end to end -> keyed frame with ``split`` (and ``synthetic``).
 
-    T1 / T4: labelled rows are split as they are. The others select columns, split, coerce, and
-    balance train and test; the validation split keeps every row. ``report["rows"]``:
+    T1 / T4: labelled rows are split as they are. The others select columns, split, coerce, fill missing
+    readings (``TargetSpec.missing``) and balance train and test; the validation split keeps every row. ``report["rows"]``:
     rows after each step and, by split, rows with a missing feature.
     """
     rd = rd if rd is not None else readings(spark, sf_dir)
@@ -125,6 +126,11 @@ def preprocess(spark: SparkSession, sf_dir: str, spec: TargetSpec, rd: DataFrame
                                               out.where(gap).groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
             if spec.missing == "drop":
                 out = out.where(~(gap & F.col("split").isin(list(spec.balance_splits))))
+            elif spec.missing == "impute":
+                # fitted on the training rows alone, applied to every split
+                medians = cut_lineage(impute.fit_medians(out.where("split = 'train'"), feats))
+                out = impute.impute_missing(out, medians, feats)
+                rep["imputation"] = {r["variable"]: r["value"] for r in medians.collect()}
         from speclab.operators.smote import smote_oversample
         filled = out.select(*[c for c in out.columns if c not in feats],
                             *[F.coalesce(F.col(c), F.when(F.col("split").isin(list(spec.balance_splits)), F.lit(MISSING))).alias(c)

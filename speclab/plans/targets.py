@@ -48,9 +48,10 @@ class TargetSpec:
     smote: bool = True
     balance_splits: tuple[str, ...] = ("train", "test")
     max_depth: int | None = None                # depth of the limited tree (H2)
-    # rows with a missing feature after coercion: "keep" leaves every row in its split (balancing and
-    # training see the value MISSING), "drop" removes them from the balanced splits; both are counted
-    missing: str = "keep"
+    # missing features after coercion: "impute" fills every split with the medians of the training rows,
+    # "keep" leaves the gaps (balancing and training see the value MISSING), "drop" removes such rows from
+    # the balanced splits; all are counted. A feature without a training median is MISSING to a model.
+    missing: str = "impute"
     extra: dict = field(default_factory=dict)
 
     def label_expr(self, c: Column) -> Column:

@@ -2,6 +2,7 @@
 reports run, and the invariants the reference checks by eye hold."""
 
 import dataclasses
+import statistics
 
 import duckdb
 import pytest
@@ -29,11 +30,19 @@ def test_preprocess_invariants(spark, sf, rd, t):
     # every labelled row is in exactly one split
     assert df.where("not synthetic").count() == prep.report["rows"]["labelled"]
     if spec.smote:
-        # train and test are complete; the validation rows keep their gaps
-        assert D.null_counts(df.where("split != 'val'").drop("label")).count() == 0
+        # every split is complete, filled by medians of the training rows
+        assert D.null_counts(df.drop("label")).count() == 0
         assert df.where("synthetic and split = 'val'").count() == 0
-        gaps = prep.report["rows"]["missing_feature"]
-        assert gaps.get("val", 0) == df.where("split = 'val'").count() - df.where("split = 'val'").na.drop(subset=prep.features).count()
+        assert set(prep.report["imputation"]) == set(prep.features)
+        kept = P.preprocess(spark, sf, dataclasses.replace(spec, missing="keep"), rd=rd)
+        gaps = kept.report["rows"]["missing_feature"]
+        assert gaps == prep.report["rows"]["missing_feature"]
+        # without imputation the validation rows keep their gaps
+        val = kept.df.where("split = 'val'")
+        assert gaps.get("val", 0) == val.count() - val.na.drop(subset=kept.features).count()
+        for f, m in prep.report["imputation"].items():
+            seen = [r[0] for r in kept.df.where("split = 'train' and not synthetic").select(f).collect() if r[0] != MISSING]
+            assert m == pytest.approx(statistics.median(seen))
     splits = {r.split for r in df.select("split").distinct().collect()}
     assert splits == ({"train", "val"} if spec.split == "80_20" else {"train", "test", "val"})
     bal = {r.split: (r.n_pos, r.n_neg) for r in D.label_balance(df).collect()}
