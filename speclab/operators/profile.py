@@ -21,7 +21,6 @@ from speclab.functions.scalar import coerce_numeric, round2
 from speclab.operators.quantiles import mode_from_counts, quantiles_wide, ranged, value_counts_by
 
 FLOATS = (T.DoubleType, T.FloatType)
-DISTINCT_BATCH = 6          # columns counted in one aggregate
 
 
 def _is_float(df: DataFrame, c: str) -> bool:
@@ -76,28 +75,23 @@ def dataset_shape(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- D2 / D3 / D4
 
 def _as_text_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column_name, value) with NaN treated as missing, values as text."""
-    proj = df.select(*[_nan_to_null(df, c).cast("string").alias(c) for c in cols])
+    """(column_name, value) with NaN treated as missing, values as text (one zero)."""
+    proj = df.select(*[(_nan_to_null(df, c) + F.lit(0).cast(df.schema[c].dataType) if _is_float(df, c) else F.col(c)).cast("string").alias(c)
+                       for c in cols])
     return proj.unpivot([], list(cols), "column_name", "value")
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Non-null distinct count per column, NaN not counted (pandas ``nunique``).
 
-    Columns are counted in batches of ``DISTINCT_BATCH``: Spark expands each row once
-    per counted column, so one aggregate over k columns would write k x k cells a row.
-    Inside a batch the aggregation is two-phase (partial + final), so a value shared by
-    a third of the rows collapses map-side.
+    One scan: (column, value as text) pairs are reduced by a partial aggregate before the shuffle, so a value
+    shared by a third of the rows collapses map-side, and the distinct pairs are counted by column.
     """
     cols = list(columns or df.columns)
-    out = df.sparkSession.createDataFrame([], "column_name string, n_distinct long")
-    for at in range(0, len(cols), DISTINCT_BATCH):
-        part = cols[at:at + DISTINCT_BATCH]
-        wide = df.agg(*[F.count_distinct(_nan_to_null(df, c)).alias(f"_d{i}") for i, c in enumerate(part)])
-        stack = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"_d{i}").cast("long").alias("n_distinct"))
-                                    for i, c in enumerate(part)]))
-        out = out.unionByName(wide.select(stack.alias("p")).select("p.*"))
-    return out
+    pairs = _as_text_long(df, cols).where(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.lit(1).alias("_one"))
+    found = pairs.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
+    return (_names_frame(df.sparkSession, cols, "column_name").join(found, "column_name", "left")
+            .select("column_name", F.coalesce("n_distinct", F.lit(0)).cast("long").alias("n_distinct")))
 
 
 def first_distinct(df: DataFrame, columns: Sequence[str], k: int) -> dict[str, list]:

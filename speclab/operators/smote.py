@@ -81,14 +81,16 @@ class _Cells:
         self.child.append((0, 0))
         spread = np.ptp(rows, axis=0) if len(rows) else np.zeros(1)
         axis = int(spread.argmax())
-        cut = float(np.median(rows[:, axis])) if len(rows) > least else 0.0
-        left = rows[:, axis] < cut if len(rows) > least else np.zeros(0, bool)
-        if len(rows) <= least or not left.any():
+        if len(rows) <= least or not spread[axis] > 0:
             self.child[at] = (self.leaves, -1)
             self.leaves += 1
             return at
+        x = rows[:, axis]
+        cut = float(np.median(x))
+        if not (x < cut).any():          # half the rows or more share the least value: they are one side
+            cut = float(x[x > cut].min())
         self.axis[at], self.cut[at] = axis, cut
-        self.child[at] = (self._grow(rows[left], least), self._grow(rows[~left], least))
+        self.child[at] = (self._grow(rows[x < cut], least), self._grow(rows[x >= cut], least))
         return at
 
     def of(self, x: np.ndarray) -> np.ndarray:
@@ -183,12 +185,9 @@ def nearest_neighbours(points: DataFrame, features: Sequence[str], key: str = "r
         return asks, p, q, d, bound
 
     def search_own(rows):
-        asks, p, q, d, _ = own_cell(rows)
-        return pa.table({"_pid": pa.array(p, pa.int64()), "_qid": pa.array(q, pa.int64()), "_d2": pa.array(d, pa.float64())})
-
-    def visits(rows):
-        """(cell, position, limit): the other cells each position must look into."""
-        asks, _, _, _, bound = own_cell(rows)
+        """The neighbours found in a cell (``_qid`` set), and (cell, position, limit) of the other cells each
+        position must look into (``_qid`` null)."""
+        asks, p, q, d, bound = own_cell(rows)
         x, pid = _columns_of(rows, feats)[asks], rows.column("_pid").to_numpy()[asks]
         name, home = rows.column(g)[0].as_py(), rows.column("_cell")[0].as_py()
         same = np.array([v == name for v in boxes.column(g).to_pylist()]) & (boxes.column("_cell").to_numpy() != home)
@@ -203,13 +202,16 @@ def nearest_neighbours(points: DataFrame, features: Sequence[str], key: str = "r
             out_i.append(np.full(len(hit), i))
         c = np.concatenate(out_c) if out_c else np.zeros(0, np.int64)
         i = np.concatenate(out_i) if out_i else np.zeros(0, np.int64)
-        return pa.table({g: pa.array([name] * len(c), pa.string()), "_cell": pa.array(c, pa.int64()), "_pid": pa.array(pid[i], pa.int64()),
-                         "_limit": pa.array(bound[i], pa.float64()),
-                         **{f: pa.array(x[i, j], pa.float64()) for j, f in enumerate(feats)}})
-
-    near = placed.groupBy(g, "_cell").applyInArrow(lambda rows: search_own(rows), "_pid long, _qid long, _d2 double")
-    ask = cut_lineage(placed.groupBy(g, "_cell").applyInArrow(
-        lambda rows: visits(rows), f"{g} string, _cell long, _pid long, _limit double, " + ", ".join(f"`{f}` double" for f in feats)))
+        none = len(p)
+        return pa.table({g: pa.array([name] * (none + len(c)), pa.string()), "_cell": pa.array([home] * none + c.tolist(), pa.int64()),
+                         "_pid": pa.array(np.concatenate([p, pid[i]]), pa.int64()), "_qid": pa.array(q.tolist() + [None] * len(c), pa.int64()),
+                         "_d2": pa.array(np.concatenate([d, bound[i]]), pa.float64()),
+                         **{f: pa.array(np.concatenate([np.zeros(none), x[i, j]]), pa.float64()) for j, f in enumerate(feats)}})
+
+    first = cut_lineage(placed.groupBy(g, "_cell").applyInArrow(
+        lambda rows: search_own(rows), f"`{g}` string, _cell long, _pid long, _qid long, _d2 double, " + ", ".join(f"`{f}` double" for f in feats)))
+    near = first.where("_qid is not null").select("_pid", "_qid", "_d2")
+    ask = first.where("_qid is null").drop("_qid").withColumnRenamed("_d2", "_limit")
     # a cell asked by many positions is looked into by blocks of askers
     ask = ask.withColumn("_part", F.pmod(F.xxhash64("_pid"), F.lit(ASK_PARTS)))
     there = placed.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ASK_PARTS - 1).cast("long"))))

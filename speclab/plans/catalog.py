@@ -878,7 +878,8 @@ def _h5(spark, sf):
 @q("cross_validation_scores")
 def _h11(spark, sf):
     train = _model_data(spark, sf).where("split = 'train'")
-    return ML.cross_validation_scores(G.stratified_folds(train), MODEL_VARS, "label",
+    from speclab.session import cut_lineage
+    return ML.cross_validation_scores(cut_lineage(G.stratified_folds(train)), MODEL_VARS, "label",
                                       max_depth=TARGETS["t2"].max_depth)
 
 
@@ -898,7 +899,12 @@ def _h13(spark, sf):
 
 @q("tree_rules")
 def _h14(spark, sf):
-    return ML.tree_rules(spark, _model(spark, sf, TARGETS["t2"].max_depth), MODEL_VARS)
+    """One row a node: its rule, or its class where it is a leaf."""
+    from speclab.operators import trees
+    nodes = trees.node_table(spark, trees.nodes_of(spark, _model(spark, sf, TARGETS["t2"].max_depth), MODEL_VARS))
+    rule = F.when(F.col("feature").isNotNull(), F.concat_ws(" <= ", "feature", F.col("threshold").cast("string"))) \
+        .otherwise(F.concat(F.lit("class: "), F.col("prediction").cast("string")))
+    return nodes.withColumn("rule", rule)
 
 
 @q("feature_importance_ranked")
@@ -906,18 +912,32 @@ def _f2(spark, sf):
     return ML.feature_importance_ranked(spark, _model(spark, sf, TARGETS["t2"].max_depth), MODEL_VARS)
 
 
-@q("save_model")
+_TEST_ROWS = O.with_lab("t2", f"SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS n_same FROM lab JOIN ({SPLIT70_BODY}) USING (row_id) "
+                              "WHERE split = 'test'", SPLIT70_CTE.replace("FROM readings", "FROM lab"))
+
+
+def _same_scores(spark, sf, other):
+    """Test rows, and those to which a stored model gives exactly the scores of the fitted one."""
+    mine = ML.predict_labels(_model(spark, sf, TARGETS["t2"].max_depth), _test(spark, sf)).select(
+        "row_id", F.col("prediction").alias("_p"), F.col("probability").alias("_q"))
+    both = mine.join(other, "row_id", "left")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("_p") == F.col("prediction")) & (F.col("_q") == F.col("probability"))).alias("n_same"))
+
+
+@q("save_model", _TEST_ROWS)
 def _a7(spark, sf):
+    """The stored files, read as Spark stores them and walked as a node table, score as the fitted model does."""
+    from speclab.operators import trees
     path = A.save_model(_model(spark, sf, TARGETS["t2"].max_depth), scratch_path(spark, "model"))
-    _MEMO[("saved", spark.sparkContext.applicationId, sf)] = path
-    return spark.createDataFrame([(path,)], "path string")
+    nodes = trees.nodes_of(spark, A.load_model(path), MODEL_VARS)
+    return _same_scores(spark, sf, trees.score_nodes(_test(spark, sf), nodes, MODEL_VARS, MISSING))
 
 
-@q("load_model")
+@q("load_model", _TEST_ROWS)
 def _a8(spark, sf):
-    path = _MEMO.get(("saved", spark.sparkContext.applicationId, sf)) or A.save_model(_model(spark, sf, TARGETS["t2"].max_depth),
-                                                     scratch_path(spark, "model"))
-    return ML.predict_labels(A.load_model(path), _test(spark, sf))
+    """A model saved and loaded scores as the fitted one does."""
+    path = A.save_model(_model(spark, sf, TARGETS["t2"].max_depth), scratch_path(spark, "model"))
+    return _same_scores(spark, sf, ML.predict_labels(A.load_model(path), _test(spark, sf)))
 
 
 @q("validate_model")

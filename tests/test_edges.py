@@ -225,3 +225,42 @@ def test_knn_matches_brute_force_over_many_cells(spark, monkeypatch):
         same = [j for j in range(400) if (j % 3 == 0) == (i % 3 == 0) and j != i]
         want = sorted(((float(((x[i] - x[j]) ** 2).sum()), f"p{j:03d}") for j in same))[:3]
         assert [q for _, q in sorted(got[f"p{i:03d}"])] == [q for _, q in want]
+
+
+def test_cells_are_cut_where_most_readings_are_missing():
+    """60 % of the widest feature at its least value: cells stay of bounded size."""
+    import numpy as np
+
+    from speclab.operators.smote import CELL_POSITIONS, _Cells
+    rng = np.random.default_rng(1)
+    x = np.stack([np.where(rng.random(50_000) < 0.6, -1.0, rng.random(50_000) * 1000), rng.random(50_000), rng.random(50_000) * 5], 1)
+    sizes = np.bincount(_Cells(x, len(x)).of(x))
+    assert len(sizes) >= 90 and sizes.max() <= 2 * CELL_POSITIONS
+    same = np.zeros((3000, 2))
+    assert _Cells(same, 3000).leaves == 1
+
+
+def test_synthetic_rows_lie_between_near_neighbours(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from speclab.operators.smote import smote_oversample
+    rng = np.random.default_rng(3)
+    rows = [(f"r{i}", float(a), float(b), int(i < 40), "train") for i, (a, b) in enumerate(rng.random((200, 2)) * 10)]
+    df = spark.createDataFrame(rows, "row_id string, x double, y double, label int, split string")
+    out = smote_oversample(df, ["x", "y"], k=3)
+    made = np.array([(r["x"], r["y"]) for r in out.where("synthetic").collect()])
+    assert len(made) == 120 and out.where(F.col("label") == 1).count() == 160
+    p = np.array([r[1:3] for r in rows if r[3] == 1])
+    d = ((p[:, None] - p[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, 1)[:, :3]
+    for s in made:
+        # on a segment from a minority row to one of its three neighbours
+        ok = False
+        for i in range(len(p)):
+            for j in near[i]:
+                v, w = p[j] - p[i], s - p[i]
+                t = w @ v / (v @ v)
+                ok |= -1e-9 <= t <= 1 + 1e-9 and abs(w - t * v).max() < 1e-9
+        assert ok
