@@ -7,7 +7,8 @@ words fits the remaining budget.
 
 No source is sorted whole. A source's key range is cut into bins, bin sums are
 pre-aggregated, and only the bin where the budget ends is cut again, until it holds few
-rows; only those rows are ordered.
+rows or a single key; only those rows are ordered. Rows equal in id and text share a key: the equal
+rows of one partition are ordered as one weighted row, of which so many are taken as fit.
 """
 
 from __future__ import annotations
@@ -64,7 +65,7 @@ def targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
 
 
 def _plan(slim: DataFrame, max_epochs: int) -> DataFrame:
-    """One row a source: target, epochs, and the key range [lo, hi) in which ``budget`` words end."""
+    """One row a source: target, epochs, and the key range [lo, hi] in which ``budget`` words end."""
     sizes = slim.groupBy("mix_source").agg(F.sum("mix_size").alias("source_size"))
     plan = (targets(cut_lineage(sizes), max_epochs)
             .withColumn("epochs", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)))
@@ -72,31 +73,33 @@ def _plan(slim: DataFrame, max_epochs: int) -> DataFrame:
             .withColumn("budget", F.when(F.col("epochs") < max_epochs,
                                          F.col("target") - F.col("epochs") * F.col("source_size")).otherwise(0.0))
             .withColumn("lo", F.lit(0.0))
-            .withColumn("hi", F.when(F.col("budget") > 0, 1.0 + 1.0 / (1 << 20)).otherwise(0.0))
+            .withColumn("hi", F.when(F.col("budget") > 0, 1.0).otherwise(-1.0))
             .withColumn("rows_in", F.lit(1 << 62)))
     plan = cut_lineage(plan)
+    open_ = (F.col("rows_in") > ORDERED_ROWS) & (F.col("budget") > 0) & (F.col("lo") < F.col("hi"))
     for _ in range(ROUNDS):
-        if plan.where((F.col("rows_in") > ORDERED_ROWS) & (F.col("budget") > 0)).isEmpty():
+        if plan.where(open_).isEmpty():
             break
         width = (F.col("hi") - F.col("lo")) / BINS
-        inside = _with_plan(slim, plan).where("mix_at >= lo and mix_at < hi")
-        bins = (inside.withColumn("bin", F.least(F.floor((F.col("mix_at") - F.col("lo")) / width), F.lit(BINS - 1)))
-                .groupBy("mix_source", "bin").agg(F.sum("mix_size").alias("words"), F.count("*").alias("n")))
+        inside = _with_plan(slim, plan.where(open_)).where("mix_at >= lo and mix_at <= hi")
+        at = F.least(F.coalesce(F.floor(F.try_divide(F.col("mix_at") - F.col("lo"), width)), F.lit(0)), F.lit(BINS - 1))
+        bins = inside.withColumn("bin", at).groupBy("mix_source", "bin").agg(
+            F.sum("mix_size").alias("words"), F.count("*").alias("n"), F.min("mix_at").alias("least"), F.max("mix_at").alias("most"))
         run = Window.partitionBy("mix_source").orderBy("bin")
         bins = bins.withColumn("upto", F.sum("words").over(run)).withColumnRenamed("mix_source", "b_source")
         found = (plan.join(bins, (F.col("mix_source").eqNullSafe(F.col("b_source"))) & (F.col("upto") >= F.col("budget")),
                            "left")
-                 .groupBy("mix_source").agg(F.min_by(F.struct("bin", "words", "n", "upto"), "bin").alias("at"))
+                 .groupBy("mix_source").agg(F.min_by(F.struct("bin", "words", "n", "upto", "least", "most"), "bin").alias("at"))
                  .withColumnRenamed("mix_source", "b_source"))
+        # the bins are disjoint and the ends of the range fall into different ones, so it shrinks to one key at last
         plan = cut_lineage(
             plan.join(found, F.col("mix_source").eqNullSafe(F.col("b_source")))
-            .withColumn("go", F.col("at.bin").isNotNull() & (F.col("budget") > 0) & (F.col("rows_in") > ORDERED_ROWS))
+            .withColumn("go", F.col("at.bin").isNotNull() & open_)
             .select("mix_source", "source_size", "target", "epochs",
                     F.when(F.col("go"), F.col("budget") - (F.col("at.upto") - F.col("at.words")))
                     .otherwise(F.col("budget")).alias("budget"),
-                    F.when(F.col("go"), F.col("lo") + F.col("at.bin") * width).otherwise(F.col("lo")).alias("lo"),
-                    F.when(F.col("go") & (F.col("at.bin") < BINS - 1), F.col("lo") + (F.col("at.bin") + 1) * width)
-                    .otherwise(F.col("hi")).alias("hi"),
+                    F.when(F.col("go"), F.col("at.least")).otherwise(F.col("lo")).alias("lo"),
+                    F.when(F.col("go"), F.col("at.most")).otherwise(F.col("hi")).alias("hi"),
                     F.when(F.col("go"), F.col("at.n")).otherwise(F.col("rows_in")).alias("rows_in")))
     return plan
 
@@ -112,14 +115,26 @@ def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
 def _copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Rows with ``mix_copies``: complete epochs, and one more for those the fractional epoch selects."""
     known = _with_plan(rows, plan)
-    plain = known.where("not (mix_at >= lo and mix_at < hi)").withColumn(
-        "mix_copies", F.col("epochs") + F.when((F.col("hi") > 0) & (F.col("mix_at") < F.col("lo")), 1).otherwise(0))
-    order = Window.partitionBy("mix_source").orderBy("mix_key", "mix_mark").rowsBetween(Window.unboundedPreceding, -1)
-    edge = known.where("mix_at >= lo and mix_at < hi").withColumn(
-        "mix_before", F.coalesce(F.sum("mix_size").over(order), F.lit(0)))
-    edge = edge.withColumn("mix_copies", F.col("epochs") + F.when(
-        F.col("mix_before") + F.col("mix_size") / 2 <= F.col("budget"), 1).otherwise(0)).drop("mix_before")
-    return plain.unionByName(edge)
+    plain = known.where("not (mix_at >= lo and mix_at <= hi)").withColumn(
+        "mix_copies", F.col("epochs") + F.when((F.col("hi") >= 0) & (F.col("mix_at") < F.col("lo")), 1).otherwise(0))
+    # the rows at the budget's end, with a number inside the partition they come from
+    edge = cut_lineage(known.where("mix_at >= lo and mix_at <= hi").withColumn("mix_row", F.monotonically_increasing_id()))
+    edge = edge.withColumn("mix_part", F.shiftright("mix_row", 33))
+    key = ["mix_source", "mix_key", "mix_mark", "mix_part"]
+    order = Window.partitionBy("mix_source").orderBy("mix_key", "mix_mark", "mix_part").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (edge.groupBy(*key, "mix_size", "budget").agg(F.count("*").alias("n"))
+              .withColumn("before", F.coalesce(F.sum(F.col("mix_size") * F.col("n")).over(order), F.lit(0))))
+    first = F.col("before") + F.col("mix_size") / 2 <= F.col("budget")
+    more = F.floor(F.try_divide(F.col("budget") - F.col("before") - F.col("mix_size") / 2, "mix_size"))
+    quota = F.when(first, F.least(F.col("n"), F.coalesce(more, F.col("n")) + 1)).otherwise(0)
+    blocks = blocks.select(*[F.col(c).alias(f"b_{c}") for c in key], quota.alias("mix_quota"))
+    own = Window.partitionBy(*key).orderBy("mix_row")
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"b_{c}"))
+    edge = (edge.withColumn("mix_nr", F.row_number().over(own)).join(blocks, same)
+            .withColumn("mix_copies", F.col("epochs") + F.when(F.col("mix_nr") <= F.col("mix_quota"), 1).otherwise(0)))
+    return plain.unionByName(edge.select(*plain.columns))
 
 
 def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, max_epochs: int) -> tuple[DataFrame, DataFrame]:

@@ -300,3 +300,43 @@ def test_variants_edges(spark):
     assert spelling.variants(frame(spark, [None, "", "a b c", "x" * 200000])).count() == 0
     repeated = frame(spark, ["longword"] * 7)
     assert sum(r["n"] for r in spelling.variants(repeated).collect()) == sum(v[2] for v in brute_variants([(i, "longword") for i in range(7)]).values())
+
+
+# ---- mixing: rows that share a key
+
+def test_mixing_takes_parts_of_repeated_rows(spark):
+    from speclab.llm import mixing
+    for equal in (200, 1000, 3000):
+        rows = [(1, "a b", None, "same", 0)] * equal + [(10 + i, "c d", None, "other", 0) for i in range(equal)]
+        got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5))
+        by = {r["one"]: r for r in got.groupBy((F.col("doc_id") == 1).alias("one")).agg(F.sum("taken").alias("t"), F.max("target").alias("w"),
+                                                                                       F.max("taken").alias("most")).collect()}
+        for r in by.values():
+            assert abs(r["t"] - r["w"]) <= 2 and r["most"] <= 6
+    # two groups of equal rows whose keys share a bin for long, and a source of empty rows
+    rows = [(i % 3, "w " * (i % 3 + 1), None, None, 0) for i in range(3000)] + [(7, "", None, "void", 0)] * 400
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    assert got.count() == 3400
+    t = got.where("doc_id < 3").agg(F.sum("taken").alias("t"), F.max("target").alias("w")).first()
+    assert abs(t["t"] - t["w"]) <= 3
+
+
+def test_keep_first_leaves_kept_texts_where_they_are(spark):
+    """Without broadcast joins too, only rows that may go are shuffled with their texts."""
+    from speclab.llm import simhash
+    docs = frame(spark, [prose(60, i % 900) for i in range(1000)])
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = simhash.keep_first(docs)
+        assert kept.count() == 900
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert plan.lstrip().startswith("AdaptiveSparkPlan") and "Union" in plan
+        moved = docs.where(simhash._in_slots(b"\xff" * (simhash.SLOTS // 8), F.col("doc_id"), F.xxhash64("text")))
+        assert moved.count() == 1000
+        gone = spark.createDataFrame([(i, 0) for i in range(50)], "id long, text_hash long")
+        marked = simhash._slots(gone)
+        hit = spark.range(100000).where(simhash._in_slots(marked, F.col("id"), F.lit(0).cast("long")))
+        assert {r["id"] for r in hit.collect()} >= set(range(50)) and hit.count() <= 60
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
