@@ -79,7 +79,17 @@ def cut_lineage(df):
     path = os.path.join(base, "speclab-tables", uuid.uuid4().hex)
     df.write.mode("overwrite").parquet(path)
     release_at_exit(spark, path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._written_at = path
+    return out
+
+
+def drop_written(*tables) -> None:
+    """Delete tables of ``cut_lineage`` now. Everything made from them must be written already."""
+    for t in tables:
+        spark = t.sparkSession
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._written_at)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def release_at_exit(spark: SparkSession, path: str) -> None:
