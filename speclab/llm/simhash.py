@@ -39,6 +39,7 @@ GROUP_VARIANTS = 1 << 20      # variants a prefix group holds on average
 BLOCK_VARIANTS = 1 << 21      # variants a task holds at once
 GROUP_ROWS = 1 << 18          # rows of a prefix group before it is dealt on more bits
 DEAL_BITS = 4
+SLOTS = 1 << 21               # bits that tell rows that may go from rows that stay
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -248,14 +249,39 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        .agg(F.first(F.coalesce("root", "fp")).alias("root"), F.count("*").alias("n")))
     first = cut_lineage(rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("at"))
                         .select("at.id", "at.text_hash"))
-    # the rows that go are few beside those that stay: texts need not be shuffled to find them
     gone = cut_lineage(_beside(rows, first, rows["id"], rows["text_hash"], "left_anti").select("id", "text_hash"))
-    kept = _beside(docs, gone, docs[id_col], F.xxhash64(docs[text_col]), "left_anti")
-    again = cut_lineage(rows.where("n > 1").select("id", "text_hash"))
-    if again.isEmpty():
-        return kept
-    once = _beside(kept, again, kept[id_col], F.xxhash64(kept[text_col]), "left_semi").dropDuplicates([id_col, text_col])
-    return _beside(kept, again, kept[id_col], F.xxhash64(kept[text_col]), "left_anti").unionByName(once)
+    # only rows whose key may go, or stands more than once, are shuffled with their texts; the others stay where they are
+    marked = _slots(gone.unionByName(rows.where("n > 1").select("id", "text_hash")))
+    own_id, own_hash = docs[id_col], F.xxhash64(docs[text_col])
+    hit = _in_slots(marked, own_id, own_hash)
+    maybe = docs.where(hit)
+    rest = _beside(maybe, gone.hint("merge"), maybe[id_col], F.xxhash64(maybe[text_col]), "left_anti").dropDuplicates([id_col, text_col])
+    return docs.where(~hit).unionByName(rest)
+
+
+def _slot(own_id, own_hash):
+    return F.pmod(F.xxhash64(own_id, own_hash), F.lit(SLOTS))
+
+
+def _bit(slot):
+    return F.call_function("shiftleft", F.lit(1), slot % 8)
+
+
+def _slots(keys: DataFrame) -> bytes:
+    """A bit for each slot that a key ``(id, text_hash)`` falls into; at most ``SLOTS / 8`` rows reach the driver."""
+    slot = _slot(F.col("id"), F.col("text_hash"))
+    found = keys.select(slot.alias("s")).groupBy(F.shiftright("s", 3).alias("byte")).agg(
+        F.bit_or(_bit(F.col("s").cast("int"))).alias("bits")).toPandas()
+    out = np.zeros(SLOTS // 8, np.uint8)
+    out[found["byte"].to_numpy(np.int64)] = found["bits"].to_numpy(np.uint8)
+    return out.tobytes()
+
+
+def _in_slots(marked: bytes, own_id, own_hash):
+    """Whether a row's slot is marked: true for every key that went into ``marked``, and for few others while it is sparse."""
+    slot = _slot(own_id, own_hash).cast("int")
+    byte = F.conv(F.hex(F.substring(F.lit(marked), F.shiftright(slot, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return byte.bitwiseAND(_bit(slot)) != 0
 
 
 def _beside(rows: DataFrame, keys: DataFrame, own_id, own_hash, how: str) -> DataFrame:
