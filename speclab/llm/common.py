@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speclab.session import cut_lineage  # noqa: F401  (re-exported for the operators)
+from speclab.session import cut_lineage, drop_written  # noqa: F401  (re-exported for the operators)
 
 # Arrow batches handed to Python are bounded by bytes, so a run of very long
 # texts cannot fill a worker; used only where the session left the setting open.

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speclab.llm.common import bounded_batches, cut_lineage, type_of
+from speclab.llm.common import bounded_batches, cut_lineage, drop_written, type_of
 from speclab.llm.components import connected_components
 
 SHINGLE = 5
@@ -429,7 +429,7 @@ def _several(t: pa.Table):
 
 
 def paragraph_links(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, similarity: float, block: int) -> DataFrame:
-    """Links ``(a, b)`` between different paragraphs; ``lines``: one row a paragraph, with its place and bands."""
+    """Links ``(a, b)`` between different paragraphs, written; ``lines``: one row a paragraph, with its place and bands."""
     rows = (lines.select("words", F.explode("bands").alias("bucket")).select("bucket", "words")
             .repartition("bucket").sortWithinPartitions("bucket"))
     met = cut_lineage(rows.mapInArrow(_colliding, "bucket long, words long"))
@@ -443,7 +443,9 @@ def paragraph_links(docs: DataFrame, lines: DataFrame, id_col: str, text_col: st
              .select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "words"))
     ready = dealt.join(sets, "words").select("bucket", "p", "q", "words", "sh")
     ready = ready.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
-    return ready.mapInArrow(_verify(similarity), "a long, b long").distinct()
+    links = cut_lineage(ready.mapInArrow(_verify(similarity), "a long, b long").distinct())
+    drop_written(met, sets, large)
+    return links
 
 
 def duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_WORDS,
@@ -465,6 +467,7 @@ def duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = connected_components(paragraph_links(docs, lines, id_col, text_col, similarity, block))
     classes = cut_lineage(lines.select("words", "id", "last").join(roots, F.col("words") == F.col("node"), "left")
                           .select("words", F.coalesce("root", "words").alias("root"), "id", "last"))
+    drop_written(lines)          # its places and bands have served
     shared = cut_lineage(classes.groupBy("root").agg(F.min("id").alias("first_id"), F.max("last").alias("last_id"))
                          .where("first_id != last_id"))
     line_of = cut_lineage(classes.join(shared, "root").select("words", "first_id"))
