@@ -17,7 +17,8 @@ SUBSET = [
     "correlation_matrix", "remove_highly_correlated_features", "chi2_pairwise", "infer_column_kind",
     "split_80_20", "split_70_15_15", "stratified_folds", "nearest_minority_neighbours", "smote_oversample",
     "classification_report", "roc_curve_from_scores", "evaluate_model", "preprocess_t1",
-    "drop_associated_categoricals", "read_split_datasets",
+    "drop_associated_categoricals", "read_split_datasets", "spearman_matrix", "linear_regression", "pca_reconstruction", "histogram",
+    "spec_limits", "impute_missing", "historical_validation", "multi_objective_tradeoff", "contrast_products", "load_model",
 ]
 
 
