@@ -17,12 +17,11 @@ from pyspark.sql import functions as F
 from speclab.operators.quantiles import average_ranks, value_counts_by
 from speclab.session import cut_lineage
 
-ORIGIN_ROWS = 1000         # rows looked at for an origin near the data; it only steers rounding
 CONSTANT = 1e-12           # variance below this share of the mean square around the origin is rounding
 SUMS = ("n", "sa", "sb", "qa", "qb", "g")
 
 
-def _doubles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def doubles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The columns as doubles named by position, NaN as null."""
     out = []
     for i, c in enumerate(columns):
@@ -35,29 +34,46 @@ def pair_sums(df: DataFrame, columns: Sequence[str], origin: Sequence[float] | N
     """``(pos_a, pos_b, n, sa, sb, qa, qb, g)`` for ``pos_a <= pos_b``, and the origin of each column.
 
     Sums over the rows that hold both values: of ``a`` and ``b`` less their origins, of their squares and of their
-    product. One scan of ``df`` (and the first ``ORIGIN_ROWS`` rows where no origin is given). Null and NaN are
-    missing; an empty input gives counts of 0.
+    product. One scan of ``df``. Where no origin is given, a task sums around the means of its first batch, its rows are
+    written, and all are moved to the mean of the tasks' origins. Null and NaN are missing; an empty input gives
+    counts of 0.
     """
     cols = list(columns)
-    x = _doubles(df, cols)
-    if origin is None:
-        near = x.limit(ORIGIN_ROWS).agg(*[F.avg(c).alias(c) for c in x.columns]).first()
-        origin = [near[c] if near[c] is not None and np.isfinite(near[c]) else 0.0 for c in x.columns]
-    o, k = np.array(origin, float), len(cols)
+    x, k = doubles(df, cols), len(cols)
     a, b = np.triu_indices(k)
+    fixed = None if origin is None else np.array(origin, float)
 
     def run(batches):
-        total = np.zeros((len(SUMS), k, k))
+        total, o = np.zeros((len(SUMS), k, k)), fixed
         for batch in batches:
             raw = np.stack([np.asarray(batch.column(i).to_numpy(zero_copy_only=False), float) for i in range(k)], 1)
             have = ~np.isnan(raw)
-            z, one = np.where(have, raw - o, 0.0), have.astype(float)
-            s, q = z.T @ one, (z * z).T @ one
-            total += np.stack([one.T @ one, s, s.T, q, q.T, z.T @ z])
+            if o is None and len(raw):
+                o = np.where(have, raw, 0.0).sum(0) / np.maximum(have.sum(0), 1)
+                o = np.where(np.isfinite(o), o, 0.0)
+            if len(raw):
+                z, one = np.where(have, raw - o, 0.0), have.astype(float)
+                s, q = z.T @ one, (z * z).T @ one
+                total += np.stack([one.T @ one, s, s.T, q, q.T, z.T @ z])
+        o = np.zeros(k) if o is None else o
         yield pa.RecordBatch.from_arrays(
-            [pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), *(pa.array(t[a, b]) for t in total)], names=["pos_a", "pos_b", *SUMS])
+            [pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(o[a]), pa.array(o[b]), *(pa.array(t[a, b]) for t in total)],
+            names=["pos_a", "pos_b", "oa", "ob", *SUMS])
 
-    parts = x.mapInArrow(run, "pos_a int, pos_b int, " + ", ".join(f"{s} double" for s in SUMS))
+    parts = x.mapInArrow(run, "pos_a int, pos_b int, oa double, ob double, " + ", ".join(f"{s} double" for s in SUMS))
+    if origin is None:
+        parts = cut_lineage(parts)
+        near = {r["pos_a"]: r["o"] for r in parts.where("pos_a = pos_b and n > 0").groupBy("pos_a").agg(F.avg("oa").alias("o")).collect()}
+        origin = [float(near.get(i, 0.0)) for i in range(k)]
+        at = F.array(*[F.lit(v) for v in origin])
+        da, db = F.col("oa") - F.element_at(at, F.col("pos_a") + 1), F.col("ob") - F.element_at(at, F.col("pos_b") + 1)
+        n, sa, sb = F.col("n"), F.col("sa"), F.col("sb")
+        parts = parts.where("n > 0").select(
+            "pos_a", "pos_b", "n", (sa + n * da).alias("sa"), (sb + n * db).alias("sb"), (F.col("qa") + 2 * da * sa + n * da * da).alias("qa"),
+            (F.col("qb") + 2 * db * sb + n * db * db).alias("qb"), (F.col("g") + db * sa + da * sb + n * da * db).alias("g"))
+        every = df.sparkSession.createDataFrame([(int(i), int(j), *[0.0] * len(SUMS)) for i, j in zip(a, b)],
+                                                "pos_a int, pos_b int, " + ", ".join(f"{s} double" for s in SUMS))
+        parts = parts.unionByName(every)          # pairs that no row holds
     return parts.groupBy("pos_a", "pos_b").agg(*[F.sum(s).alias(s) for s in SUMS]), list(origin)
 
 
@@ -95,7 +111,7 @@ def spearman_matrix(df: DataFrame, columns: Sequence[str], full: bool = True) ->
     """
     cols = list(columns)
     k = len(cols)
-    x = cut_lineage(_doubles(df, cols).withColumn("rid", F.monotonically_increasing_id()))
+    x = cut_lineage(doubles(df, cols).withColumn("rid", F.monotonically_increasing_id()))
     holes = x.agg(F.count(F.lit(1)).alias("all"), *[F.count(f"v{i}").alias(f"v{i}") for i in range(k)]).first()
     gaps = [i for i in range(k) if holes[f"v{i}"] < holes["all"]]
     # a ranking: a column among the rows where a partner with gaps is there too (itself: all its rows)
@@ -128,7 +144,7 @@ class Moments:
     def __init__(self, df: DataFrame, columns: Sequence[str]):
         self.columns = list(columns)
         k = len(self.columns)
-        x = _doubles(df, self.columns).dropna()
+        x = doubles(df, self.columns).dropna()
         sums, origin = pair_sums(x, x.columns)
         self.n, total, products = 0, np.zeros(k), np.zeros((k, k))
         for r in sums.collect():

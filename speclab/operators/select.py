@@ -26,6 +26,7 @@ CATEGORY_MAX_DISTINCT = 5   # fewer than this many distinct values -> category
 CORR_THRESHOLD = 0.8
 TARGET_CORR_THRESHOLD = 0.03
 CHI2_ALPHA = 0.05
+JVM_PAIRS = 400            # pairs of one JVM aggregate
 
 
 # ---------------------------------------------------------------- M7
@@ -63,11 +64,18 @@ def kinds_of(df: DataFrame, columns: Sequence[str] | None = None,
 def correlation_matrix(df: DataFrame, columns: Sequence[str], full: bool = True) -> DataFrame:
     """M1: pairwise-complete Pearson r for every pair, one scan whatever the number of columns.
 
-    Long form (col_a, col_b, pos_a, pos_b, r); with ``full`` both triangles and
+    Up to ``JVM_PAIRS`` pairs are one aggregate of the JVM; more would outgrow its generated code and go
+    through ``gram.pair_sums``. Long form (col_a, col_b, pos_a, pos_b, r); with ``full`` both triangles and
     the diagonal (1 for a non-constant column, NULL for a constant one). NaN is missing.
     """
     cols = list(columns)
-    return gram.named(gram.correlation_of(gram.pair_sums(df, cols)[0]), cols, full)
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    if len(pairs) > JVM_PAIRS:
+        return gram.named(gram.correlation_of(gram.pair_sums(df, cols)[0]), cols, full)
+    x = gram.doubles(df, cols)
+    wide = x.agg(*[(F.when(F.stddev_pop(f"v{i}") > 0, F.lit(1.0)) if i == j else safe_corr(f"v{i}", f"v{j}")).alias(f"r_{i}_{j}") for i, j in pairs])
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("pos_a"), F.lit(j).alias("pos_b"), F.col(f"r_{i}_{j}").alias("r")) for i, j in pairs]))
+    return gram.named(wide.select(cells.alias("p")).select("p.*"), cols, full)
 
 
 def correlated_pairs(df: DataFrame, columns: Sequence[str], threshold: float = CORR_THRESHOLD) -> DataFrame:

@@ -91,3 +91,29 @@ def test_narrow_band_of_values_spreads_over_ranges(spark):
     got = Q.exact_quantiles(df, ["k"], "value", [0.5], vc=df.groupBy("k", "value").agg(F.sum("cnt").alias("cnt"))).collect()
     want = {r["k"]: r["m"] for r in df.groupBy("k").agg(F.median("value").alias("m")).collect()}
     assert all(abs(r["quantile"] - want[r["k"]]) < 1e-9 for r in got)
+
+
+def test_no_function_is_defined_twice():
+    import ast
+    import pathlib
+
+    import speclab
+    for path in pathlib.Path(speclab.__file__).parent.rglob("*.py"):
+        names = [n.name for n in ast.parse(path.read_text()).body if isinstance(n, (ast.FunctionDef, ast.ClassDef)) and not n.decorator_list]
+        assert len(names) == len(set(names)), path
+
+
+def test_chi_square_reads_observed_cells_only(spark):
+    """Two columns of many values: no grid of all margins is built."""
+    from pyspark.sql import functions as F
+
+    from speclab.operators import select as M
+    df = spark.range(3000).select((F.col("id") % 1499).cast("string").alias("a"), (F.col("id") % 1511).cast("string").alias("b"))
+    out = M.chi2_pairwise(df, ["a", "b"])
+    row = out.first()
+    assert row["dof"] == 1498 * 1510
+    n, ra, cb = 3000, df.groupBy("a").count(), df.groupBy("b").count()
+    cells = (df.groupBy("a", "b").agg(F.count("*").alias("o")).join(ra.withColumnRenamed("count", "ra"), "a")
+             .join(cb.withColumnRenamed("count", "cb"), "b"))
+    want = n * (cells.agg(F.sum(F.col("o") * F.col("o") / (F.col("ra") * F.col("cb")))).first()[0] - 1)
+    assert abs(row["statistic"] - want) < 1e-6 * want
