@@ -2,10 +2,11 @@
 
 The standard library's parser streams start, end and text events. Block-level
 tags cut the page into lines; each line has a text-to-tag ratio (text outside links
-over tags met; zero inside menus, forms, adverts and the like). The ratios are smoothed by
-a Gaussian kernel and a threshold splits the lines into content and the rest. The
-content region is the container that holds the content clusters; every line of it that is
-not boilerplate is text, however short.
+over tags met). Tags and class words only weigh it: nothing inside menus, headers, adverts
+and the like, more inside an article. The logarithms of the weighed ratios are smoothed by a
+Gaussian kernel, and a threshold splits the lines into content and the rest. The content region
+is the container that holds the content clusters, or the article around it; its clusters and
+the lines between them are the text.
 
 A class or id word and a form only suggest boilerplate: they may as well stand on a wrapper
 round the article. What they suggest is weighed once the page is read (``_Lines.dropped``).
@@ -41,6 +42,8 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden").search
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 HEADED = frozenset("article content entry post story".split())     # "entry-header" is the article's own
 SIGMA = 1.0
+NAMED_WEIGHT = 16.0      # of a line inside an article or main; 1 elsewhere, 0 for boilerplate
+THRESHOLD = 0.15         # share of the highest smoothed score above which a line is content
 CENTRE_SHARE = 0.7       # share of the content mass the region's container must hold
 
 
@@ -50,27 +53,33 @@ class _Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool, int]] = [("", 0, False, 0)]   # tag, node, boilerplate, owner
+        # tag, node, boilerplate, owner, place of the innermost block (the page itself if there is none)
+        self.stack: list[tuple[str, int, bool, int, int]] = [("", 0, False, 0, 0)]
+        self.open: dict[str, list[int]] = {}                         # places of each tag's open elements
         self.owners: list[tuple[int, str | None]] = [(-1, None)]     # of each: parent, what suggested the drop
         self.parents: list[tuple[int, str]] = [(-1, "")]             # of each node: parent, tag
         self.lines: list[tuple[str, int, int, bool, int, int]] = []
         self.text: list[str] = []
-        self.link = self.in_link = self.tags = 0
+        self.in_link = self.tags = 0
 
     def updatepos(self, i, j):
         return j                                     # line numbers are not used
 
     def _flush(self):
         words = " ".join("".join(self.text).split())
-        if words or self.tags:
-            _, _, drop, owner = self._block()
-            self.lines.append((words, max(0, len(words) - self.in_link), self.tags, drop, self._node(), owner))
-        self.text, self.in_link, self.tags = [], 0, 0
+        if words:                                    # tags without text count for the next line
+            _, _, drop, owner, _ = self._block()
+            self.lines.append((words, max(0, len(words) - self.in_link), self.tags, drop, self.stack[-1][1], owner))
+            self.tags = 0
+        self.text, self.in_link = [], 0
 
-    def _node(self) -> int:
-        return self.stack[-1][1]
+    def _last(self, *tags: str) -> int:
+        """Place of the innermost open element of these tags (0: none)."""
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
 
     def _pop(self, at: int):
+        for tag, *_ in self.stack[at:]:
+            self.open[tag].pop()
         del self.stack[at:]
 
     def handle_starttag(self, tag, attrs):
@@ -82,29 +91,21 @@ class _Lines(HTMLParser):
                 self.text.append("\n")
             return
         if tag in BLOCKS and tag not in ("html", "body", "head"):
-            for i in range(len(self.stack) - 1, 0, -1):      # an open paragraph ends here
-                if self.stack[i][0] == "p":
-                    self._pop(i)
-                    break
-                if self.stack[i][0] in BLOCKS:
-                    break
+            if self._block()[0] == "p":                      # an open paragraph ends here
+                self._pop(self.stack[-1][4])
         if tag in CLOSES:
-            ends = CLOSES[tag].split()
-            for i in range(len(self.stack) - 1, 0, -1):
-                if self.stack[i][0] in ends:
-                    self._pop(i)
-                    break
-                if self.stack[i][0] in ("ul", "ol", "dl", "table", "select", "menu"):
-                    break
+            at = self._last(*CLOSES[tag].split())
+            if at > self._last("ul", "ol", "dl", "table", "select", "menu"):
+                self._pop(at)
         if tag in ("td", "th"):
             self.text.append(" ")
-        if tag in ("article", "main", "body"):
-            for i in range(len(self.stack) - 1, 0, -1):      # never inside these: they were left open
-                if self.stack[i][0] in ("nav", "header", "head", "footer"):
-                    self._pop(i)
+        if tag in ("article", "main", "body"):       # never inside these: they were left open
+            at = min((self.open[t][0] for t in ("nav", "header", "head", "footer") if self.open.get(t)), default=0)
+            if at:
+                self._pop(at)
         own = dict(attrs)
-        _, _, inside, owner = self.stack[-1]
-        named = any(t in ("article", "main") for t, *_ in self.stack)
+        _, _, inside, owner, block = self.stack[-1]
+        named = self._last("article", "main") > 0
         role = (own.get("role") or "").lower()
         drop = inside or tag in DROPPED and tag != "form" or tag == "header" and not named
         was = owner
@@ -122,14 +123,15 @@ class _Lines(HTMLParser):
             if not drop and (tag == "form" or role == "form" or hints):
                 self.owners.append((owner, f"{tag} {marks}"))
                 owner = len(self.owners) - 1
-        node = self._node()
+        node = self.stack[-1][1]
         if tag in CONTAINERS:
             self.parents.append((node, tag))
             node = len(self.parents) - 1
         if (drop and not inside or owner != was) and tag not in BLOCKS:
             self.text.append(" ")                    # dropped inline element: its neighbours stay apart
-        self.stack.append((tag, node, drop, owner))
-        self.link += tag == "a"
+        at = len(self.stack)
+        self.stack.append((tag, node, drop, owner, at if tag in BLOCKS else block))
+        self.open.setdefault(tag, []).append(at)
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
@@ -144,29 +146,19 @@ class _Lines(HTMLParser):
         if tag == "br":
             self.text.append("\n")
         self.tags += 1
-        if tag == "p" and all(t != "p" for t, *_ in self.stack):
-            return
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i][0] == tag:
-                self.link -= sum(t == "a" for t, *_ in self.stack[i:])
-                self._pop(i)
-                return
-            if self.stack[i][0] in ("article", "main", "body") and tag not in ("article", "main", "body", "html"):
-                return
+        at = self._last(tag)
+        if at and (tag in ("article", "main", "body", "html") or at > self._last("article", "main", "body")):
+            self._pop(at)
 
     def handle_data(self, data):
-        if self.stack[-1][2:] != self._block()[2:]:
+        if self.stack[-1][2:4] != self._block()[2:4]:
             return                                   # a dropped inline element in a kept block
         self.text.append(data)
-        if self.link > 0:
+        if self.open.get("a"):
             self.in_link += len(data.strip())
 
-    def _block(self) -> tuple[str, int, bool, int]:
-        """The innermost open block-level element (the page itself if there is none)."""
-        for x in reversed(self.stack):
-            if x[0] in BLOCKS:
-                return x
-        return self.stack[0]
+    def _block(self) -> tuple[str, int, bool, int, int]:
+        return self.stack[self.stack[-1][4]]
 
     def dropped(self) -> list[bool]:
         """Of each line whether it is boilerplate.
@@ -189,12 +181,12 @@ class _Lines(HTMLParser):
         lifted = set()
         by_mark: dict[str, int] = {}
         inside: dict[int, int] = {}                  # suggested drop -> its text, without what further drops hold
+        nearest = [0]                                # of each owner: the innermost suggested drop around it, itself included
+        for i, (parent, mark) in enumerate(self.owners[1:], 1):
+            nearest.append(nearest[parent] if mark is None else i)
         for i, m in enumerate(mass):
-            at = i
-            while at > 0 and self.owners[at][1] is None:
-                at = self.owners[at][0]
-            if at > 0 and m:
-                inside[at] = inside.get(at, 0) + m
+            if nearest[i] and m:
+                inside[nearest[i]] = inside.get(nearest[i], 0) + m
         kept = sum(m for m, n, d in zip(mass, named, over) if n and not d)
         plain = sum(m for m, d in zip(mass, over) if not d)
         if kept:
@@ -211,10 +203,9 @@ class _Lines(HTMLParser):
         elif lift or best is not None and not plain:
             for i in inside:
                 if self.owners[i][1] == best:
-                    while i > 0:
-                        if self.owners[i][1] is not None:
-                            lifted.add(i)
-                        i = self.owners[i][0]
+                    while i > 0 and i not in lifted:
+                        lifted.add(i)
+                        i = nearest[self.owners[i][0]]
         gone = [False]
         for i, (parent, mark) in enumerate(self.owners[1:], 1):
             gone.append(False if mark is None and i in lifted else gone[parent] or mark is not None and i not in lifted)
@@ -239,36 +230,39 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     page.feed(html)
     page.close()
     lines, dropped = page.lines, page.dropped()
-    kept = [i for i, x in enumerate(lines) if x[0] and not dropped[i]]
-    if not kept:
+    live = np.array([not d for d in dropped], bool)
+    if not live.any():
         return ""
-    ratio = np.array([0.0 if d else x[1] / max(1, x[2]) for x, d in zip(lines, dropped)])
-    smooth = _smooth(ratio, sigma)
-    threshold = smooth.std()
-    content = [i for i in kept if smooth[i] > threshold and ratio[i] > 0] or kept
-    # content mass of every container, its descendants' included
-    mass: dict[int, float] = {}
-    for i in content:
-        node = lines[i][4]
-        while node >= 0:
-            mass[node] = mass.get(node, 0.0) + len(lines[i][0])
-            node = page.parents[node][0]
-    total = mass[0]
-    region = max((n for n in mass if mass[n] >= CENTRE_SHARE * total), default=0)
-    node = region
-    while node > 0:                                  # an article or main around it is the region
-        if page.parents[node][1] in ("article", "main"):
-            region = node
-        node = page.parents[node][0]
-
-    def inside(node: int) -> bool:
-        while node > region:
-            node = page.parents[node][0]
-        return node == region
-
-    named = page.parents[region][1] in ("article", "main")
-    chosen = set(content)
-    return "\n\n".join(lines[i][0] for i in kept if inside(lines[i][4]) or not named and i in chosen)
+    named = [False]                                  # of each node: inside an article or main
+    for parent, tag in page.parents[1:]:
+        named.append(named[parent] or tag in ("article", "main"))
+    node = [x[4] for x in lines]
+    weight = live * np.where([named[n] for n in node], NAMED_WEIGHT, 1.0)
+    score = _smooth(np.log1p(weight * [x[1] / max(1, x[2]) for x in lines]), sigma)
+    content = live & (score > THRESHOLD * score.max())
+    # content mass of every container, its descendants' included (a node's number is above its parent's)
+    mass = [0] * len(page.parents)
+    for i in np.flatnonzero(content):
+        mass[node[i]] += len(lines[i][0])
+    for n in range(len(mass) - 1, 0, -1):
+        mass[page.parents[n][0]] += mass[n]
+    region = max(n for n, m in enumerate(mass) if m >= CENTRE_SHARE * mass[0])
+    at = region
+    while at > 0:                                    # an article or main around it is the region
+        if page.parents[at][1] in ("article", "main"):
+            region = at
+        at = page.parents[at][0]
+    within = [region == 0]
+    for n, (parent, _) in enumerate(page.parents[1:], 1):
+        within.append(n == region or within[parent])
+    inside = live & [within[n] for n in node]
+    chosen = np.flatnonzero(inside & content)
+    if not len(chosen):
+        return ""
+    # clusters of one region are one text: what stands between them joins them
+    joined = inside.copy()
+    joined[:chosen[0]] = joined[chosen[-1] + 1:] = False
+    return "\n\n".join(lines[i][0] for i in np.flatnonzero(joined))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",),
