@@ -74,16 +74,15 @@ def _item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return w.select(F.array_join(F.slice("words", F.col("at") + 1, WINDOW), " ").alias("window"), "item").distinct()
 
 
-def _starts(g: int, m: int) -> Column:
-    """Starts of the m-word windows that contain a g-gram of ``met``, each once."""
-    size = F.size("words")
-    at = F.filter(F.sequence(F.lit(0), size - g), lambda i: F.array_contains(F.col("met"), F.get(F.col(f"g{g}"), i)))
+def _starts() -> Column:
+    """Starts of the ``m``-word windows that contain a met gram of ``g`` words at one of the places ``ats``, each once."""
+    last = F.size("words") - F.col("m")
 
     def around(i):
-        first, last = F.greatest(i - (m - g), F.lit(0)), F.least(i, size - m)
-        return F.sequence(first, F.greatest(first, last))        # a start past the last window is cut below
+        first = F.greatest(i - (F.col("m") - F.col("g")), F.lit(0))
+        return F.sequence(first, F.greatest(first, F.least(i, last)))        # a start past the last window is cut below
 
-    return F.filter(F.array_distinct(F.flatten(F.transform(at, around))), lambda i: i <= size - m)
+    return F.filter(F.array_distinct(F.flatten(F.transform("ats", around))), lambda i: i <= last)
 
 
 def contaminated_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id",
@@ -110,21 +109,27 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, text_col: str = "text"
     text = F.coalesce(docs[text_col], F.lit(""))
     slim = docs.select(text.alias("t"))
     every = _with_prints(slim.select(F.xxhash64("t").alias("text_hash"), _words(F.col("t")).alias("words")), short)
-    met = cut_lineage(every.select("text_hash", F.explode_outer("prints").alias("print")).join(prints, "print")
-                      .groupBy("text_hash").agg(F.collect_set("print").alias("met")))
+    met = cut_lineage(every.select("text_hash", F.explode_outer("prints").alias("print")).join(prints, "print", "left_semi")
+                      .select("text_hash").distinct())
 
-    # extension: windows around the met fingerprints, texts once each
-    found = (slim.withColumn("text_hash", F.xxhash64("t")).join(met, "text_hash")
-             .groupBy(F.md5("t").alias("mark")).agg(F.first("t").alias("t"), F.first("met").alias("met")))
+    # extension: texts once each, windows around the places whose gram is a fingerprint of the items
+    found = (slim.withColumn("text_hash", F.xxhash64("t")).join(met, "text_hash", "left_semi")
+             .groupBy(F.md5("t").alias("mark")).agg(F.first("t").alias("t")))
     found = cut_lineage(found).withColumn("words", _words(F.col("t")))
+    grams = found
     for m in sorted({K, *short}):
-        found = _with_grams(found, m)
-    size = F.size("words")
-    hits = None
+        grams = _with_grams(grams, m)
+    places = None
     for m in [WINDOW, *short]:
-        part = (found.where(size >= m).select("mark", "words", F.explode_outer(_starts(K if m == WINDOW else m, m)).alias("at"))
-                .select("mark", "at", F.lit(m).alias("m"), F.array_join(F.slice("words", F.col("at") + 1, m), " ").alias("window")))
-        hits = part if hits is None else hits.unionByName(part)
+        g = K if m == WINDOW else m
+        whole = F.slice(f"g{g}", 1, F.greatest(F.size("words") - (g - 1), F.lit(0)))
+        part = grams.select("mark", F.posexplode_outer(whole).alias("at", "print")).withColumn("m", F.lit(m)).withColumn("g", F.lit(g))
+        places = part if places is None else places.unionByName(part)
+    places = places.join(prints, "print", "left_semi").groupBy("mark", "m", "g").agg(F.collect_list("at").alias("ats"))
+    # the starts are a column of their own, so that the explode above them copies no word array a row
+    hits = (found.join(places, "mark").select("mark", "m", "words", _starts().alias("starts"))
+            .select("mark", "m", "words", F.explode_outer("starts").alias("at"))
+            .select("mark", "at", "m", F.array_join(F.slice("words", F.col("at") + 1, F.col("m")), " ").alias("window")))
     # a window that many items share is one hit; its items are joined to distinct (text, window) rows
     hits = cut_lineage(hits.where("window is not null").join(windows.select("window").distinct(), "window", "left_semi"))
     covered = F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("at", "m")), lambda x: F.sequence(
@@ -146,8 +151,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """
     spans = contaminated_spans(docs, items, text_col, item_id, item_text)
     text = F.coalesce(docs[text_col], F.lit(""))
-    own = docs.select(docs[id_col].alias("id"), F.md5(text).alias("mark"),
-                      F.regexp_count(text, F.lit(_any_case())).cast("long").alias("n_words"))
+    words = F.split(text, _any_case())               # an empty string stands before or after a break at an end
+    n_words = F.size(F.array_remove(words, "")).cast("long")
+    own = docs.select(docs[id_col].alias("id"), F.md5(text).alias("mark"), n_words.alias("n_words"))
     zero = F.lit(0).cast("long")
     return own.join(spans, "mark", "left").select(
         F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),
@@ -163,8 +169,8 @@ def clean_documents(docs: DataFrame, items: DataFrame, text_col: str = "text", i
 
 
 def _any_case() -> str:
-    """The word pattern on texts that are not lower-cased yet: A-Z are letters too."""
-    return WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
+    """The pattern between words on texts that are not lower-cased yet: A-Z are letters too."""
+    return SPLIT.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
 
 
 ORACLE = rf"""
