@@ -133,24 +133,26 @@ class ByteNet:
 
 
 def train(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text",
-          docs_per_label: int = DOCS_PER_LABEL) -> ByteNet | None:
-    """Fit on a sample of about ``docs_per_label`` documents a label, picked by a hash of the id.
+          docs_per_label: int = DOCS_PER_LABEL, max_labels: int = MAX_LABELS) -> ByteNet | None:
+    """Fit on a sample of about ``docs_per_label`` different documents a label, picked by a hash of id and text.
 
-    Rows with a null label or without a letter are not used; None where nothing is
-    left. The driver receives at most ``docs_per_label`` (in expectation) times
-    ``WINDOWS_PER_DOC`` windows of ``WINDOW`` bytes for each of at most ``MAX_LABELS`` labels.
+    Rows with a null label or without a letter are not used; None where nothing is left. Equal rows are one
+    document, rows of one id with different texts are several. Of more than ``max_labels`` labels the commonest
+    are learned (ties by name), and no other is ever predicted. The driver receives at most ``docs_per_label``
+    (in expectation) times ``WINDOWS_PER_DOC`` windows of ``WINDOW`` bytes for each of them.
     """
     rows = docs.select(docs[label_col].cast("string").alias("label"), docs[id_col].cast("string").alias("id"),
                        docs[text_col].alias("t")).where(F.col("label").isNotNull() & F.col("t").rlike(r"\p{L}"))
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().limit(MAX_LABELS + 1).collect()}
+    mark = F.xxhash64("id", "t")
+    often = (rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(mark).alias("different"))
+             .orderBy(F.desc("n"), "label").limit(max_labels))
+    counts = {r["label"]: max(1, r["different"]) for r in often.collect()}
     if not counts:
         return None
-    if len(counts) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
     labels = sorted(counts)
     parts = 1 << 20
     share = F.create_map(*[F.lit(v) for k in labels for v in (k, min(parts, -(-parts * docs_per_label // counts[k])))])
-    drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(parts)) < share[F.col("label")])
+    drawn = rows.where(F.pmod(mark, F.lit(parts)) < F.try_element_at(share, F.col("label"))).distinct()
     bounded_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
