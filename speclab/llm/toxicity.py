@@ -234,8 +234,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on about ``docs_per_class`` labelled documents a class, picked by a hash of the id.
 
     The drawn labels (a bounded number of rows) are broadcast to the documents; the
-    driver receives at most that many texts of at most ``FIT_BYTES`` bytes. A document labelled
-    twice is toxic if any label says so; null labels and ids are ignored. None where no label is left.
+    driver receives at most that many texts of at most ``FIT_BYTES`` bytes: an id on many rows
+    gives one of its texts, the one of least hash. A document labelled twice is toxic if any label
+    says so; null labels and ids are ignored. None where no label is left.
     """
     own = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
            .groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("y")))
@@ -248,8 +249,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     drawn = own.where(F.pmod(F.xxhash64("id"), F.lit(parts)) < share[F.col("y")])
     texts = (docs.select(docs[id_col].alias("id"), docs[text_col].alias("t"))
              .where(F.col("t").isNotNull() & (F.octet_length("t") <= FIT_BYTES)))
-    rows = sorted((str(r["id"]), r["y"], r["t"]) for r in
-                  texts.join(F.broadcast(drawn), "id").select("id", "y", "t").collect())
+    one = (texts.join(F.broadcast(drawn), "id").groupBy("id", "y")
+           .agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t"))["t"].alias("t")))
+    rows = sorted((str(r["id"]), r["y"], r["t"]) for r in one.collect())
     return fit([t for _, _, t in rows], [y for _, y, _ in rows])
 
 
