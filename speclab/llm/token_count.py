@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import pre_tokenizers
 
 from speclab.llm.common import map_texts, type_of
 
@@ -58,6 +59,24 @@ def load_vocabulary(path: str) -> dict:
             "special": sorted(special, key=len, reverse=True)}
 
 
+def odd_characters(pattern: str) -> frozenset[str]:
+    """Characters that the file's library and ``regex`` put into different classes (letter, number, blank, other).
+
+    The two know different Unicode versions. Characters of one class are tried together: the library
+    splits them unless it agrees, and only such a block is tried one by one.
+    """
+    split = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    classes = {lead: regex.findall(kind, every) for lead, kind in (("a", r"\p{L}"), ("1", r"\p{N}"), ("!", r"[^\s\p{L}\p{N}]"))}
+    odd = {c for c in regex.findall(r"\s", every) if any(len(split(lead + c + lead)) != 3 for lead in classes)}
+    for lead, chars in classes.items():
+        for i in range(0, len(chars), 1024):
+            block = chars[i:i + 1024]
+            if len(split(lead + "".join(block))) > 1:
+                odd.update(c for c in block if len(split(lead + c)) > 1)
+    return frozenset(odd)
+
+
 def _ranks(vocab: dict, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rank and merged symbol of each pair (rank NONE where the pair has no merge)."""
     key = left * vocab["size"] + right
@@ -122,15 +141,16 @@ class TokenCounter:
 
     No pre-token crosses a single space between two non-blanks (a space only leads
     a pre-token), so a text is cut there first and each distinct chunk is split
-    by the pattern once.
+    by the pattern once; chunks with a character of ``odd`` are split by the library's own rule.
     """
 
     BLANKS = re.compile(r" \s|\s ").search
     CUT = re.compile(r"(?<=\S) (?=\S)").split
 
-    def __init__(self, vocab: dict, pattern: str):
-        self.vocab, self.words, self.chunks = vocab, {}, {}
-        self.pre_tokens = regex.compile(pattern).findall
+    def __init__(self, vocab: dict, pattern: str, odd: frozenset[str] = frozenset()):
+        self.vocab, self.words, self.chunks, self.odd = vocab, {}, {}, odd
+        self.pattern = regex.compile(pattern).findall
+        self.library = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
         self.special = regex.compile("|".join(map(regex.escape, vocab["special"]))) if vocab["special"] else None
 
     def __call__(self, texts: list[str | None]) -> list[int]:
@@ -144,6 +164,11 @@ class TokenCounter:
             at = to
         return out
 
+    def pre_tokens(self, text: str) -> list[str]:
+        if text.isascii() or self.odd.isdisjoint(text):
+            return self.pattern(text)
+        return [text[a:b] for _, (a, b) in self.library(text)]
+
     def _cut(self, text: str) -> list[str]:
         return self.CUT(text) if self.BLANKS(text) else text.split(" ")
 
@@ -179,13 +204,14 @@ def count_tokens(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "
     has it. Whole texts, no truncation; repeated rows, null ids and extra
     columns are fine; an empty table gives no rows.
     """
-    arrays = docs.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary))
+    arrays = docs.sparkSession.sparkContext.broadcast((load_vocabulary(vocabulary), odd_characters(pattern)))
 
     counter: list[TokenCounter] = []
 
     def make(texts):
         if not counter:
-            counter.append(TokenCounter(arrays.value, pattern))
+            vocab, odd = arrays.value
+            counter.append(TokenCounter(vocab, pattern, odd))
         tokens = pa.array(counter[0](texts), pa.int64())
         return {"n_bytes": pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64()),
                 "n_tokens": tokens,

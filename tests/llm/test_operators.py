@@ -64,6 +64,21 @@ def test_tokens_match_the_library(spark):
         assert got[i]["over_limit"] == (len(want[i].ids) > 1024)
 
 
+def test_tokens_of_characters_the_pattern_engines_class_differently():
+    """Unassigned or newer code points: the library's own rule splits them."""
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    odd = token_count.odd_characters(public_tokenizers.PATTERN)
+    r, chars = random.Random(5), sorted(odd)
+    texts = ["".join(r.choice([r.choice(chars), chr(r.choice([r.randrange(32, 0xD800), r.randrange(0xE000, 0x110000)])), " ", "\n", "a", "'s", "1",
+                               "\x1c", "\x85", "\u180e", "\u3000", "<|endoftext|>"]) for _ in range(r.randrange(1, 40))) for _ in range(2000)]
+    want = [len(e.ids) for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    vocab = token_count.load_vocabulary(path)
+    assert token_count.TokenCounter(vocab, public_tokenizers.PATTERN, odd)(texts) == want
+    if odd:
+        assert token_count.TokenCounter(vocab, public_tokenizers.PATTERN)(texts) != want
+
+
 def test_tokens_edges(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     assert token_count.count_tokens(messy(spark), path, public_tokenizers.PATTERN).count() == len(ODD) + 2
