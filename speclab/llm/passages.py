@@ -318,7 +318,7 @@ def _merged(spans):
 
 
 def shared_windows(docs: DataFrame, units: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, first_id, start, end)``: ranges that cover exactly the ``SPAN``-word windows shared with another document."""
+    """``(id, text_hash, first_id, start, end)``: ranges that cover exactly the ``SPAN``-word windows shared with another document."""
     grams = cut_lineage(units.groupBy("gram").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"),
                                                   (F.min("words") != F.max("words")).alias("mixed"))
                         .where("first_id != last_id").select("gram", "first_id", "mixed"))
@@ -331,10 +331,10 @@ def shared_windows(docs: DataFrame, units: DataFrame, id_col: str, text_col: str
     marks = (windows.select("words", "window", "start", "end").join(met, "window").groupBy("words", "first_id")
              .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("at"))
              .select("words", F.col("first_id").alias("f"), _merged("at").alias("at")))
-    some = (near.where("mixed").select("words", "id", F.col("start").alias("zero")).join(cut_lineage(marks), "words")
-            .select("id", F.col("f").alias("first_id"), "zero", F.explode("at").alias("x"))
-            .select("id", "first_id", (F.col("zero") + F.col("x.start")).alias("start"), (F.col("zero") + F.col("x.end")).alias("end")))
-    return near.where("not mixed").select("id", "first_id", "start", "end").unionByName(some)
+    some = (near.where("mixed").select("words", "id", "text_hash", F.col("start").alias("zero")).join(cut_lineage(marks), "words")
+            .select("id", "text_hash", F.col("f").alias("first_id"), "zero", F.explode("at").alias("x"))
+            .select("id", "text_hash", "first_id", (F.col("zero") + F.col("x.start")).alias("start"), (F.col("zero") + F.col("x.end")).alias("end")))
+    return near.where("not mixed").select("id", "text_hash", "first_id", "start", "end").unionByName(some)
 
 
 def _similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -450,10 +450,11 @@ def paragraph_links(docs: DataFrame, lines: DataFrame, id_col: str, text_col: st
 
 def duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_WORDS,
                        similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """``(id_col, first_id, removed, n_passages, n_chars, spans)``: documents that share passages with others.
+    """``(id_col, text_hash, first_id, removed, n_passages, n_chars, spans)``: documents that share passages with others.
 
-    One row for each document and each document ``first_id`` that holds its passages first (the
-    smallest id of the passage's class). ``spans``: merged code point ranges, ``n_chars`` their length;
+    One row for each text of a document and each document ``first_id`` that holds its passages first (the
+    smallest id of the passage's class). Where one id stands on several texts, each has rows of its own, told apart
+    by ``text_hash`` (16 hex digits of the text's xxhash64), as offsets belong to one text. ``spans``: merged code point ranges, ``n_chars`` their length;
     ``removed`` is false where the document itself is the first. Windows of ``SPAN`` words are marked where
     they reach beyond the document's shared paragraphs and runs. Shorter wrapped passages, passages under
     ``least`` words, and passages that repeat only inside one document, are left alone, so documents without
@@ -474,16 +475,16 @@ def duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     runs = every.where("bands is null and gram is null")
     run_of = cut_lineage(runs.groupBy("words").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
                          .where("first_id != last_id").select("words", "first_id"))
-    hits = cut_lineage(every.where("bands is not null").select("words", "id", "start", "end").join(line_of, "words")
-                       .unionByName(runs.select("words", "id", "start", "end").join(run_of, "words")).drop("words"))
+    hits = cut_lineage(every.where("bands is not null").select("words", "id", "text_hash", "start", "end").join(line_of, "words")
+                       .unionByName(runs.select("words", "id", "text_hash", "start", "end").join(run_of, "words")).drop("words"))
     spans = F.array_sort(F.collect_set(F.struct("start", "end")))
     found = cut_lineage(shared_windows(docs, every.where("gram is not null"), id_col, text_col)
-                        .groupBy("id", "first_id").agg(spans.alias("at")).select("id", "first_id", _merged("at").alias("at")))
-    marked = hits.groupBy("id").agg(spans.alias("marked")).withColumn("marked", _merged("marked"))
-    beyond = found.join(marked, "id", "left").select("id", "first_id", F.explode(F.when(F.col("marked").isNull(), F.col("at")).otherwise(
+                        .groupBy("id", "text_hash", "first_id").agg(spans.alias("at")).select("id", "text_hash", "first_id", _merged("at").alias("at")))
+    marked = hits.groupBy("id", "text_hash").agg(spans.alias("marked")).withColumn("marked", _merged("marked"))
+    beyond = found.join(marked, ["id", "text_hash"], "left").select("id", "text_hash", "first_id", F.explode(F.when(F.col("marked").isNull(), F.col("at")).otherwise(
         F.filter("at", lambda x: ~F.exists("marked", lambda m: (m["start"] <= x["start"]) & (x["end"] <= m["end"]))))).alias("x"))
-    hits = hits.unionByName(beyond.select("id", "first_id", "x.start", "x.end"))
-    out = hits.groupBy("id", "first_id").agg(spans.alias("spans")).withColumn("spans", _merged("spans"))
-    return out.select(F.col("id").alias(id_col), "first_id", (F.col("id") != F.col("first_id")).alias("removed"),
+    hits = hits.unionByName(beyond.select("id", "text_hash", "first_id", "x.start", "x.end"))
+    out = hits.groupBy("id", "text_hash", "first_id").agg(spans.alias("spans")).withColumn("spans", _merged("spans"))
+    return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("text_hash")), 16, "0").alias("text_hash"), "first_id", (F.col("id") != F.col("first_id")).alias("removed"),
                       F.size("spans").alias("n_passages"),
                       F.aggregate("spans", F.lit(0), lambda a, x: a + x["end"] - x["start"]).alias("n_chars"), "spans")

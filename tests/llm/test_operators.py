@@ -412,6 +412,18 @@ def test_passages_without_ascii_blanks(spark):
     assert {(x["doc_id"], x["first_id"]) for x in passages.duplicate_passages(frame(spark, stop)).collect()} == {(0, 0), (1, 0)}
 
 
+def test_passages_of_one_id_on_several_texts(spark):
+    """Offsets belong to one text: two texts of an id have rows of their own."""
+    shared = " ".join(f"alpha{i}" for i in range(30)) + "."
+    other = " ".join(f"beta{i}" for i in range(60)) + "."
+    texts = {1: [f"{shared}\n{other}"], 2: [f"Own words go first.\n{shared}", f"A third text of that id starts otherwise.\n{other}"]}
+    docs = spark.createDataFrame([(i, t) for i, ts in texts.items() for t in ts + ts[:1]], "doc_id long, text string")
+    got = [r for r in passages.duplicate_passages(docs).collect() if r["doc_id"] == 2]
+    assert len(got) == 2 and len({r["text_hash"] for r in got}) == 2 and all(r["removed"] and r["first_id"] == 1 for r in got)
+    hit = {t[s["start"]:s["end"]] for r, t in zip(sorted(got, key=lambda r: r["n_chars"]), texts[2]) for s in r["spans"]}
+    assert hit == {shared, other}
+
+
 def test_passages_edges(spark):
     got = passages.duplicate_passages(messy(spark)).collect()
     assert {(x["doc_id"], x["first_id"]) for x in got} == {(6, 6), (7, 6)}
