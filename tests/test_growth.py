@@ -96,3 +96,47 @@ def test_missing_feature_and_label(spark):
     assert trees.fit_nodes(gap, FEATS, -9.0)[0]["n"] == 100
     with pytest.raises(ValueError, match="0 or 1"):
         trees.fit_nodes(d.withColumn("label", F.lit(2)), FEATS, -1.0)
+
+
+def test_rows_meet_their_ranks_without_being_taken_apart(spark, monkeypatch):
+    """X4 spread every row over all rankings and put it together again by two shuffles of that."""
+    from speclab.operators import gram
+    seen, kept = [], gram.pair_sums
+    monkeypatch.setattr(gram, "pair_sums", lambda df, *a: seen.append(df) or kept(df, *a))
+    rows = [(float(i % 7), None if i % 5 == 0 else float(i * i % 11), -0.0 if i % 3 else float(i)) for i in range(60)]
+    d = spark.createDataFrame(rows, "a double, b double, c double")
+    got = {(r["col_a"], r["col_b"]): r["r"] for r in gram.spearman_matrix(d, FEATS).collect()}
+    want = d.toPandas().corr("spearman")
+    assert got == pytest.approx({(a, b): want.loc[a, b] for a in FEATS for b in FEATS})
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
+
+
+def test_only_sample_makers_look_for_neighbours(spark, monkeypatch):
+    """Every minority point was searched, however few samples were needed."""
+    from speclab.operators import smote
+    rng = random.Random(5)
+    rows = [(f"k{i}", rng.random(), rng.random(), int(i >= 40), "train") for i in range(83)]
+    d = spark.createDataFrame(rows, "row_id string, a double, b double, label int, split string")
+    asked, search = [], smote.nearest_neighbours
+
+    def spy(points, *a, **kw):
+        out = search(points, *a, **kw)
+        asked.append(out.select("row_id").distinct().count())
+        whole = {tuple(r) for r in search(points, *a, **{**kw, "ask": None}).collect()}
+        assert {tuple(r) for r in out.collect()} <= whole
+        return out
+    monkeypatch.setattr(smote, "nearest_neighbours", spy)
+    out = smote.smote_oversample(d, ["a", "b"])
+    assert out.where("synthetic").count() == 3 and asked == [3]
+
+
+def test_product_rows_are_written_before_their_metadata_passes(spark, sf, monkeypatch):
+    """The constant columns were looked for in the joined tables, which were then read and joined again."""
+    from speclab.plans import pipelines as P
+    from speclab.plans.targets import TARGETS
+    from speclab.sources.readings import readings
+    seen, kept = [], P.D.drop_constant_columns
+    monkeypatch.setattr(P.D, "drop_constant_columns", lambda df, **kw: seen.append(df) or kept(df, **kw))
+    P.labelled(readings(spark, sf), TARGETS["t6"])
+    assert "Join" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
