@@ -88,6 +88,42 @@ def test_grid_collects_no_model(spark, monkeypatch):
     assert len(grid) == 5 and all(0 < g["mean_accuracy"] < 1 for g in grid)
 
 
+@pytest.mark.parametrize("local", [1 << 17, 9])
+def test_tree_of_many_rows_is_not_held_by_the_driver(spark, monkeypatch, local):
+    """The chosen tree was collected and sent back; its shape, cuts, importances and scores came from the driver's list."""
+    monkeypatch.setattr(growth, "LOCAL_ROWS", local)
+    d = _rows(spark, 260)
+    asked = dict(depths=[None, 3, 50], leaves=[1, 3], splits=[2, 30], k=3)
+    lists = {(depth, leaf): trees.fit_nodes(d, FEATS, -1.0, "label", depth, leaf) for depth, leaf in ((None, 1), (3, 1), (5, 3))}
+
+    def refuse(*_, **__):
+        raise AssertionError("a tree reached the driver")
+    monkeypatch.setattr(growth.Grower, "grown", refuse)
+    made, init = [], growth.Grower.__init__
+    monkeypatch.setattr(growth.Grower, "__init__", lambda self, *a, **kw: made.append(1) or init(self, *a, **kw))
+    grower = trees.grown_together(d, FEATS, -1.0, cv_depth=5, **asked)
+    for (depth, leaf), nodes in lists.items():
+        table = trees.fit_table(d, FEATS, -1.0, "label", depth, leaf, grower=grower)
+        assert trees.nodes_from_table(trees.node_table(spark, table)) == _plain(nodes)
+        assert trees.shape_of(table) == trees.shape_of(nodes) and trees.depth_report(table, depth) == trees.depth_report(nodes, depth)
+        assert dict(trees.feature_importance(table, FEATS)) == pytest.approx(dict(trees.feature_importance(nodes, FEATS)), abs=1e-12)
+        for deep, least in ((None, 2), (None, 40), (2, 2), (4, 10)):
+            cut = trees.truncated(nodes, deep, least)
+            assert trees.nodes_from_table(trees.node_table(spark, trees.truncated(table, deep, least))) == _plain(cut)
+        # the last cut, walked whole and subtree by subtree
+        want = {tuple(r) for r in trees.score_nodes(d, cut, FEATS, -1.0, keep=("fold",)).collect()}
+        cut = trees.truncated(table, deep, least)
+        monkeypatch.setattr(trees, "SLOT_ROWS", 7)
+        for few in (1 << 14, 0):
+            monkeypatch.setattr(trees, "WALK_NODES", few)
+            assert {tuple(r) for r in trees.score_nodes(d, cut, FEATS, -1.0, keep=("fold",)).collect()} == want
+    grid = trees.full_grid(d, FEATS, -1.0, grower=grower, **asked)
+    scores = [r["score"] for r in ML.cross_validation_scores(d, FEATS, k=3, max_depth=5, grower=grower).collect()]
+    assert len(made) == 1
+    assert grid == trees.full_grid(d, FEATS, -1.0, **asked)
+    assert scores == [r["score"] for r in ML.cross_validation_scores(d, FEATS, k=3, max_depth=5).collect()]
+
+
 def test_missing_feature_and_label(spark):
     d = _rows(spark, 60)
     gap = d.withColumn("a", F.when(F.col("row_id") != "r7", F.col("a")))
