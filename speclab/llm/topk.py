@@ -7,8 +7,8 @@ bounded number of pivots; max over pivots of |d(q, p) - d(v, p)| is a lower boun
 
 Candidates lie in blocks of bounded size, dealt by their nearest pivot; queries lie in groups,
 dealt alike. A block's range of distances to each pivot rules it out for a whole group, by
-the k-th best score each query has in a bounded seed sample. Inside a task a query's candidates
-are evaluated in the order of their bounds until the next bound exceeds the k-th distance.
+the k-th best score each query has in a bounded seed sample. Inside a task a group's candidates
+are evaluated in rounds, in the order of their bounds, until those left lie beyond the k-th distance of every query.
 Bounds are compared with a slack wider than any rounding error, so ties are never lost.
 """
 
@@ -25,7 +25,7 @@ PIVOTS = 32
 SEED_ROWS = 1024             # bound of the sample pivots and first thresholds come from
 BLOCK_ROWS = 2048            # candidates of a block at most
 GROUP_ROWS = 256             # queries of a group at most
-STEP = 128                   # candidates evaluated at once, in bound order
+STEP = 512                   # candidates of a round, in bound order
 SLACK = 1e-7
 EXACT = float(1 << 52)       # sums up to here are exact in double precision
 
@@ -50,6 +50,17 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
+def _narrow(v: np.ndarray) -> np.ndarray:
+    """The same integers in the least width that holds them all."""
+    low, high = int(v.min(initial=0)), int(v.max(initial=0))
+    return v.astype(next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+
+
+def _wide(data, rows: int, dim: int) -> np.ndarray:
+    """Rows of ``_narrow`` as int64; the width follows from the length."""
+    return np.frombuffer(data, f"i{memoryview(data).nbytes // (rows * dim)}").reshape(rows, dim).astype(np.int64)
+
+
 class Space:
     """The metric space: dimension, squared largest norm, pivots, and a seed sample for first thresholds."""
 
@@ -106,35 +117,48 @@ class Space:
         return np.sqrt(np.maximum(0.0, d2)) + self.slack()
 
 
-def _best(space: Space, qid, q, cid, c, threshold, k: int):
-    """Top-k of each query among one block, candidates taken in bound order until no bound is near enough."""
-    tq, tc = space.table(q, True), space.table(c, False)
+def _best(space: Space, qid, q, tq, cid, c, threshold, k: int):
+    """Top-k of each query of a group among one block: candidates are taken in rounds in the order of their bounds, and each
+    round scores those that a query's bound still lets through for all such queries together."""
+    tc = space.table(c, False)
     bound = np.zeros((len(q), len(c)))
     for p in range(tq.shape[1]):
         np.maximum(bound, np.abs(tq[:, p, None] - tc[None, :, p]), out=bound)
+    near = space.reach(q, threshold)
+    open_ = (bound <= near[:, None]) & (cid[None] != qid[:, None])
+    used = np.flatnonzero(open_.any(0))
+    # nearest first: by how far inside its reach the candidate lies for the query that it may serve best
+    order = used[np.argsort(np.where(open_[:, used], bound[:, used] - near[:, None], np.inf).min(0, initial=np.inf), kind="stable")]
+    least, low = threshold.copy(), np.iinfo(np.int64).min
+    best = np.full((len(q), k), low)
     out_q, out_v, out_s = [], [], []
-    for i in range(len(q)):
-        near = space.reach(q[i:i + 1], threshold[i:i + 1])[0]
-        open_ = np.flatnonzero((bound[i] <= near) & (cid != qid[i]))
-        order = open_[np.argsort(bound[i, open_], kind="stable")]
-        best_s, best_v = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        least = threshold[i]
-        for at in range(0, len(order), STEP):
-            part = order[at:at + STEP]
-            if bound[i, part[0]] > near:
-                break
-            s = space.scores(q[i:i + 1], c[part])[0]
-            best_s, best_v = np.concatenate([best_s, s]), np.concatenate([best_v, cid[part]])
-            keep = np.lexsort((best_v, -best_s))[:k]
-            best_s, best_v = best_s[keep], best_v[keep]
-            if len(keep) == k and best_s[-1] > least:
-                least = best_s[-1]
-                near = space.reach(q[i:i + 1], np.array([least]))[0]
-        ok = best_s >= threshold[i]
-        out_q.append(np.full(int(ok.sum()), qid[i]))
-        out_v.append(best_v[ok])
-        out_s.append(best_s[ok])
-    return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)
+    for at in range(0, len(order), STEP):
+        part = order[at:at + STEP]
+        some = open_[:, part] & (bound[:, part] <= near[:, None])
+        rows, part = np.flatnonzero(some.any(1)), part[some.any(0)]
+        if not len(rows):
+            continue
+        some = open_[np.ix_(rows, part)] & (bound[np.ix_(rows, part)] <= near[rows, None])
+        s = space.scores(q[rows], c[part])
+        some &= s >= least[rows, None]
+        i, j = np.nonzero(some)
+        out_q.append(rows[i])
+        out_v.append(cid[part[j]])
+        out_s.append(s[i, j])
+        best[rows] = np.partition(np.concatenate([best[rows], np.where(some, s, low)], axis=1), -k, axis=1)[:, -k:]
+        kth = best[rows].min(1)
+        up = rows[kth > least[rows]]
+        least[up] = best[up].min(1)
+        near[up] = space.reach(q[up], least[up])
+    if not out_q:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i, v, s = np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)
+    keep = np.flatnonzero(s >= least[i])
+    keep = keep[np.lexsort((v[keep], -s[keep], i[keep]))]
+    i, v, s = i[keep], v[keep], s[keep]
+    first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, np.int64)
+    rank = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)]))
+    return qid[i[rank < k]], v[rank < k], s[rank < k]
 
 
 def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, queries: str = "id % 50 = 0",
@@ -179,14 +203,15 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k:
             v = _matrix(group.column("v"), space.dim)
             ids = group.column("id").to_numpy()
             t = space.table(v, query)
-            edge = space.reach(v, space.first_thresholds(ids, v)).max() if query else 0.0
+            first = space.first_thresholds(ids, v) if query else np.zeros(0, np.int64)
+            edge = space.reach(v, first).max() if query else 0.0
             return pa.table({"block": pa.array([key[0].as_py() << 32 | key[1].as_py()]), "ids": pa.array([ids.tobytes()], pa.binary()),
-                             "v": pa.array([v.astype(np.int64).tobytes()], pa.binary()),
+                             "v": pa.array([_narrow(v).tobytes()], pa.binary()), "first": pa.array([first.tobytes()], pa.binary()),
                              "low": pa.array([t.min(0).tolist()], pa.list_(pa.float64())),
                              "high": pa.array([t.max(0).tolist()], pa.list_(pa.float64())), "reach": pa.array([float(edge)])})
 
         return cut_lineage(d.groupBy("cell", "part").applyInArrow(
-            pack, "block long, ids binary, v binary, low array<double>, high array<double>, reach double"))
+            pack, "block long, ids binary, v binary, first binary, low array<double>, high array<double>, reach double"))
 
     blocks = packed(placed, block_rows, False)
     groups = packed(placed.where(queries).dropDuplicates(["id", "v"]), group_rows, True)
@@ -197,16 +222,17 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k:
     apart = F.array_max(F.zip_with(F.zip_with("bl", "gh", lambda x, y: x - y), F.zip_with("gl", "bh", lambda x, y: x - y),
                                    lambda x, y: F.greatest(x, y)))
     pairs = cut_lineage(g.join(b, apart <= F.col("reach")).select("g", "b"))
-    work = (pairs.join(groups.select(F.col("block").alias("g"), F.col("ids").alias("qi"), F.col("v").alias("qv")), "g")
+    work = (pairs.join(groups.select(F.col("block").alias("g"), F.col("ids").alias("qi"), F.col("v").alias("qv"), F.col("first").alias("qf")), "g")
             .join(blocks.select(F.col("block").alias("b"), F.col("ids").alias("ci"), F.col("v").alias("cv")), "b")
-            .select("qi", "qv", "ci", "cv"))
+            .select("qi", "qv", "qf", "ci", "cv"))
 
     def search(batches):
         for batch in batches:
             for j in range(batch.num_rows):
-                qi, qv, ci, cv = (np.frombuffer(batch.column(i)[j].as_py(), np.int64) for i in range(4))
-                qv, cv = qv.reshape(-1, space.dim), cv.reshape(-1, space.dim)
-                q, v, s = _best(space, qi, qv, ci, cv, space.first_thresholds(qi, qv), k)
+                qi, qv, qf, ci, cv = (batch.column(i)[j].as_buffer() for i in range(5))
+                qi, qf, ci = (np.frombuffer(x, np.int64) for x in (qi, qf, ci))
+                qv, cv = _wide(qv, len(qi), space.dim), _wide(cv, len(ci), space.dim)
+                q, v, s = _best(space, qi, qv, space.table(qv, True), ci, cv, qf, k)
                 yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.int64())],
                                                  names=["query_id", "vec_id", "score"])
 

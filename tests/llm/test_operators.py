@@ -118,6 +118,25 @@ def test_topk(spark, case):
     assert sorted(map(tuple, got)) == brute_topk(rows)
 
 
+def test_topk_scores_a_group_together(monkeypatch):
+    """Each query of a group scored its own small steps of a block: time per query and step, not per number."""
+    rng = np.random.default_rng(4)
+    v, k = rng.integers(-9, 10, (1200, 6)), 5
+    v[700:760] = v[0]
+    ids, q = rng.permutation(1200), rng.permutation(1200)[:40]
+    space = topk.Space(6, float((v * v).sum(1).max()), ids[:64], v[:64], 8, k)
+    calls, score = [], topk.Space.scores
+    first = space.first_thresholds(ids[q], v[q])
+    monkeypatch.setattr(topk.Space, "scores", lambda self, a, b: calls.append(a.shape[0] * b.shape[0]) or score(self, a, b))
+    got = sorted(zip(*(x.tolist() for x in topk._best(space, ids[q], v[q], space.table(v[q], True), ids, v, first, k))))
+    want = []
+    for i in q:
+        s = v @ v[i]
+        want += [(ids[i], ids[j], s[j]) for j in np.lexsort((ids, -s)) if j != i][:k]
+    assert got == sorted(want)
+    assert len(calls) <= -(-1200 // topk.STEP) and sum(calls) <= 40 * 1200
+
+
 def test_topk_empty(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
